@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import LOWER, UPPER, cut
+from netloom.llm.common import cut
 
-LOWER_ASCII = str.maketrans(UPPER, LOWER)
-BLANK = re.compile("[ \t-\r]+")
-MASK = (1 << 64) - 1
 #: Odd multipliers of the 64-bit mixing steps (fixed values).
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
@@ -50,17 +46,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, k: int, seen: dict[str, int]) -> np.ndarray:
+def shingle_hashes(text: str | None, k: int, seen: _WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of the whole sequence, where there are fewer words."""
-    found = [w for w in BLANK.split((text or "").translate(LOWER_ASCII)) if w]
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and [ \\t-\\r] only
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter((seen[w] for w in found), np.uint64, len(found))
+    h = np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
     k = min(k, len(h))
     out = np.full(len(h) - k + 1, np.uint64(k))
     for j in range(k):
-        out = _mix(out * M1 + h[j : len(h) - k + 1 + j])
-    return np.unique(out)
+        out = out * M1 + h[j : len(h) - k + 1 + j]
+        out ^= out >> np.uint64(29)
+    return np.unique(_mix(out))
 
 
 def _band(n: int, base: float) -> int:
@@ -98,6 +95,25 @@ def signatures(x: np.ndarray, num: int, den: int, thin: int = 4, slack: float =
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
+def sketch(x: np.ndarray, cells: int = 512) -> bytes:
+    """How many elements fall in each cell of the hashed domain; what two sets share in no cell exceeds the smaller count."""
+    return np.bincount((x >> np.uint64(20)).astype(np.int64) % cells, minlength=cells).astype(np.uint32 if len(x) > 65_535 else np.uint16).tobytes()
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for den * |intersection| >= num * |union|; drops no linked pair."""
+    held = sets.select("id", "sketch", "n")
+
+    def room(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = lambda s, n: np.frombuffer(s, np.uint32 if n > 65_535 else np.uint16).astype(np.int64)
+        for rows in batches:
+            most = np.array([np.minimum(counts(s, m), counts(t, n)).sum() for s, m, t, n in zip(rows["s"], rows["m"], rows["t"], rows["n"], strict=True)], np.int64)
+            yield rows.loc[den * most >= num * (rows["m"].to_numpy() + rows["n"].to_numpy() - most), ["a", "b"]]
+
+    one = pairs.join(held.toDF("a", "s", "m"), "a").join(held.toDF("b", "t", "n"), "b")
+    return cut(one.select("a", "b", "s", "m", "t", "n").mapInPandas(room, "a long, b long").distinct(), "possible")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id reachable. Min labels with pointer jumping."""
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -115,26 +131,35 @@ def components(links: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have den * |intersection| >= num * |union|."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    salt = F.pmod(F.xxhash64("b"), F.lit(64))  # a hub's partners are dealt into 64 groups, each with its own copy of the hub
+    dealt = pairs.select("a", "b", salt.alias("salt"))
+    wanted = dealt.select(F.col("a").alias("id"), "a", "salt").union(dealt.select(F.col("b").alias("id"), "a", "salt")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = _WordHashes()
-        for rows in batches:
-            yield pd.DataFrame({"id": rows["id"], "s": [shingle_hashes(t, k, seen).tobytes() for t in rows["text"]]})
-
-    held = cut(texts.join(ids, "id", "left_semi").mapInPandas(sets, "id long, s binary"), "sets")
-
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, last = _WordHashes(), (None, b"")
         for rows in batches:
-            keep = []
-            for s, t in zip(rows["s"], rows["t"], strict=True):
-                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield rows.loc[keep, ["a", "b"]]
-
-    one = pairs.join(held.withColumnRenamed("id", "a"), "a")
-    return one.join(held.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t").mapInPandas(linked, "a long, b long")
+            out = []
+            for i, t in zip(rows["id"], rows["text"], strict=True):
+                if i != last[0]:
+                    last = (i, shingle_hashes(t, k, seen).tobytes())
+                out.append(last[1])
+            yield pd.DataFrame({"a": rows["a"], "salt": rows["salt"], "id": rows["id"], "s": out})
+
+    held = texts.join(wanted, "id").mapInPandas(sets, "a long, salt long, id long, s binary")
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        hub = rows["a"].iloc[0]
+        x = np.frombuffer(rows["s"][rows["id"] == hub].iloc[0], np.uint64)
+        found = []
+        for i, s in zip(rows["id"], rows["s"], strict=True):
+            y = np.frombuffer(s, np.uint64)
+            at = np.searchsorted(x, y)
+            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+            if i != hub and den * both >= num * (len(x) + len(y) - both):
+                found.append(i)
+        return pd.DataFrame({"a": np.full(len(found), hub, np.int64), "b": np.array(found, np.int64)})
+
+    return held.groupBy("a", "salt").applyInPandas(linked, "a long, b long")
 
 
 def similar_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,37 +170,46 @@ def similar_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         seen = _WordHashes()
         for rows in batches:
             found = [shingle_hashes(t, k, seen) for t in rows["text"]]
-            yield pd.DataFrame({"id": rows["id"], "n": [len(x) for x in found], "key": [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in found]})
+            made = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
+            yield pd.DataFrame({"id": rows["id"], "n": [len(x) for x in found], "key": [x.hex() for x in made], "mark": [int.from_bytes(x[:8], "little", signed=True) for x in made], "sketch": [sketch(x) for x in found]})
 
-    sets = cut(texts.mapInPandas(keys, "id long, n long, key string"), "keys")
+    sets = cut(texts.mapInPandas(keys, "id long, n long, key string, mark long, sketch binary"), "keys")
     some = sets.where("n > 0 and id is not null")
-    classes = cut(some.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("held")), "classes")
+    classes = cut(some.groupBy("key", "mark", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("held")), "classes")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = _WordHashes()
+        seen, done = _WordHashes(), set()  # marks of one partition: equal sets sign once
         for rows in batches:
             for start in range(0, len(rows), 200):
-                some = rows.iloc[start : start + 200]
-                found = [signatures(shingle_hashes(t, k, seen), num, den) for t in some["text"]]
-                yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), [len(x) for x in found]), "sig": np.concatenate(found)})
-
-    reps = texts.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    signed = reps.mapInPandas(sign, "id long, sig long")
-    per = "partition by sig"
-    buckets = signed.selectExpr("id", "sig", f"min(id) over ({per}) as first", f"max(id) over ({per}) as last").where("first != last")
-    buckets = cut(buckets.drop("last").distinct(), "buckets")
-
-    star = cut(buckets.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    links = cut(_verified(star, texts, k, num, den), "links")
+                marks, signs = [], [np.empty(0, np.int64)]
+                for t in rows["text"].iloc[start : start + 200]:
+                    x = shingle_hashes(t, k, seen)
+                    mark = int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
+                    if mark not in done:
+                        done.add(mark)
+                        signs.append(signatures(x, num, den))
+                        marks.append(np.full(len(signs[-1]), mark, np.int64))
+                yield pd.DataFrame({"mark": np.concatenate([signs[0], *marks]), "sig": np.concatenate(signs)})
+
+    signed = texts.where("id is not null").mapInPandas(sign, "mark long, sig long")
+    met = signed.selectExpr("mark", "sig", "min(mark) over (partition by sig) as lo", "max(mark) over (partition by sig) as hi").where("lo != hi")
+    met = cut(met.select("mark", "sig").distinct(), "met")
+    # From here on classes go by their smallest doc_id. Sets that share a mark by chance both stand for it.
+    named = met.join(classes.select("mark", "n", F.col("rep").alias("id")), "mark").select("sig", "id", "n")
+    buckets = cut(named.selectExpr("sig", "id", "n", "min(struct(id, n)) over (partition by sig) as first"), "buckets")
+    near = f"least(n, m) * {den} >= greatest(n, m) * {num}"
+    star = buckets.selectExpr("first.id as a", "first.n as m", "id as b", "n").where("a != b").where(near)
+    star = cut(star.select("a", "b").distinct(), "star")
+    links = cut(_verified(_possible(star, sets, num, den), texts, k, num, den), "links")
     comps = components(links)
     # Members of a bucket that are not in one component yet are compared across components, but for the pairs done above.
-    member = buckets.join(comps, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c"))
+    member = buckets.join(comps, "id", "left").select("id", "n", "sig", F.coalesce("component", "id").alias("c"))
     member = cut(member, "members")
     open_sigs = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi and m > 2").select("sig")
     member = cut(member.join(open_sigs, "sig", "left_semi"), "open")
-    left, right = member.select("sig", F.col("id").alias("a"), F.col("c").alias("ca")), member.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"))
-    more = left.join(right, "sig").where("a < b and ca != cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(_verified(cut(more, "cross"), texts, k, num, den))
+    left, right = member.select("sig", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca")), member.select("sig", F.col("id").alias("b"), "n", F.col("c").alias("cb"))
+    more = left.join(right, "sig").where("a < b and ca != cb").where(near).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    links = links.union(_verified(_possible(cut(more, "cross"), sets, num, den), texts, k, num, den))
     comps = cut(components(links), "components")
 
     reach = classes.join(comps, classes["rep"] == comps["id"], "left").select("key", F.coalesce("component", "rep").alias("component"), "held")
