@@ -1,4 +1,108 @@
-"""Queries over the reference operators (see below)."""
+"""Named queries over the test tables, each with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netloom.functions.display_filter import compile_filter
+from netloom.operators import rollups, series, tcp
+from netloom.plans.model import FIELDS, PACKETS_SQL, SEGMENTS_SQL, packets, segments
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+HOUR = 3_600_000_000
+
+
+def _on_packets(name: str, sql: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(packets(spark, sf_dir))
+    ORACLE_SQL[name] = f"WITH {PACKETS_SQL} {sql}"
+
+
+def _on_segments(name: str, sql: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(segments(spark, sf_dir))
+    ORACLE_SQL[name] = f"WITH {SEGMENTS_SQL} {sql}"
+
+
+FILTERS = {
+    "filter_presence": ("k", "k IS NOT NULL"),
+    "filter_missing": ("tcp.seq != 3", "false"),
+    "filter_not_missing_is_true": ("not tcp.seq == 3", "true"),
+    "filter_compare_number": ("k >= 40 and frame.len < 5000", "coalesce(k >= 40, false) AND coalesce(bytes < 5000, false)"),
+    "filter_string_ci": ('app == "PURCHASE" or app == "Click"', "coalesce(lower(app) IN ('purchase', 'click'), false)"),
+    "filter_bool": ("out == true", "coalesce(outbound, false)"),
+    "filter_mismatch_is_false": ('k != "3"', "false"),
+    "filter_in_mixed_set": ('k in {1, 2, "3", 90}', "coalesce(k IN (1, 2, 90), false)"),
+    "filter_contains": ('app contains "IE"', "coalesce(contains(lower(app), 'ie'), false)"),
+    "filter_nested": ('not (k < 50 or app == "view") and out != true', "NOT (coalesce(k < 50, false) OR coalesce(lower(app) = 'view', false)) AND coalesce(outbound <> true, false)"),
+}
+for _name, (_source, _where) in FILTERS.items():
+    _on_packets(_name, f"SELECT ordinal, flow, bytes FROM p WHERE {_where}", lambda p, s=_source: p.where(compile_filter(s, FIELDS)).select("ordinal", "flow", "bytes"))
+
+SERIES = {"all": ("", "true"), "buys": ('app == "purchase"', "coalesce(app = 'purchase', false)"), "high": ("k >= 90", "coalesce(k >= 90, false)")}
+
+
+def _series_sql(width: int) -> str:
+    one = " UNION ALL ".join(f"SELECT '{k}' AS series, * FROM p WHERE {w}" for k, (_, w) in SERIES.items())
+    return f"""SELECT series, CAST(floor(ts_us / {width}.0) AS BIGINT) * {width} AS bucket_us, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, count(k) AS agg_count,
+  CAST(sum(k) AS DECIMAL(38,0)) AS agg_sum, min(CAST(k AS BIGINT)) AS agg_min, max(CAST(k AS BIGINT)) AS agg_max FROM ({one}) GROUP BY ALL"""
+
+
+def _series(p: DataFrame, width: int) -> DataFrame:
+    return series.io_series(p, {k: compile_filter(v[0], FIELDS) for k, v in SERIES.items()}, width, F.col("k").cast("bigint"))
+
+
+_on_packets("io_series_100ms", _series_sql(100_000), lambda p: _series(p, 100_000))
+_on_packets("series_hours", _series_sql(HOUR), lambda p: _series(p, HOUR))
+_on_packets("series_rollup_avg", f"""SELECT series, CAST(floor(bucket_us / {24 * HOUR}.0) AS BIGINT) * {24 * HOUR} AS bucket_us, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes,
+  CAST(sum(agg_count) AS BIGINT) AS agg_count, CAST(sum(agg_sum) AS DECIMAL(38,0)) AS agg_sum, min(agg_min) AS agg_min, max(agg_max) AS agg_max, CAST(sum(agg_sum) AS DOUBLE) / sum(agg_count) AS agg_avg
+  FROM ({_series_sql(HOUR)}) GROUP BY ALL""", lambda p: series.roll_up(_series(p, HOUR), 24 * HOUR).withColumn("agg_sum", F.col("agg_sum").cast("decimal(38,0)")))
+_on_packets("series_late_split", f""", l AS (SELECT ordinal, flow, ts_us - CASE WHEN k % 7 = 0 THEN {9 * HOUR} ELSE 0 END AS ts_us FROM p),
+w AS (SELECT *, first(ts_us) OVER (ORDER BY ordinal) AS f, max(ts_us) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM l)
+SELECT ordinal, coalesce(ts_us // {HOUR} < greatest(f // {HOUR}, (m - {5 * HOUR}) // {HOUR}), false) AS late FROM w""",
+    lambda p: series.late_split(p.withColumn("ts_us", F.col("ts_us") - F.when(F.col("k") % 7 == 0, 9 * HOUR).otherwise(0)), HOUR, 5 * HOUR).select("ordinal", "late"))
+
+_FLOW = """CAST(coalesce(sum(bytes) FILTER (outbound), 0) AS BIGINT) AS bytes_tx, CAST(coalesce(sum(bytes) FILTER (NOT outbound), 0) AS BIGINT) AS bytes_rx, count(*) FILTER (outbound) AS packets_tx,
+  count(*) FILTER (NOT outbound) AS packets_rx, min(ts_us) AS first_us, max(ts_us) AS last_us"""
+_on_packets("flow_rollup", f"SELECT flow, {_FLOW} FROM p GROUP BY flow", lambda p: rollups.flows(p, "flow"))
+_on_packets("conversation_rollup", f"SELECT flow, app, {_FLOW}, max(ts_us) - min(ts_us) AS duration_us FROM p GROUP BY flow, app", lambda p: rollups.flows(p, "flow", "app").withColumn("duration_us", F.col("last_us") - F.col("first_us")))
+_on_packets("protocol_hierarchy", "SELECT outbound, app, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS packets, CAST(2 - grouping(outbound) - grouping(app) AS INTEGER) AS depth FROM p GROUP BY ROLLUP (outbound, app)", lambda p: rollups.hierarchy(p, ["outbound", "app"]))
+_on_packets("app_shares", "SELECT app, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS packets, sum(bytes) * 100.0::DOUBLE / (SELECT sum(bytes) FROM p) AS percent FROM p GROUP BY app", lambda p: rollups.shares(p, "app"))
+_on_packets("top_n_flows", "SELECT flow, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY flow ORDER BY bytes DESC, flow LIMIT 10", lambda p: rollups.top_n(p, "flow", 10))
+_on_packets("keyset_page", "SELECT ordinal, ts_us, flow, bytes FROM p WHERE (ts_us, ordinal) > (1704200000000000, 0) ORDER BY ts_us, ordinal LIMIT 200", lambda p: rollups.keyset_page(p, (1704200000000000, 0)).select("ordinal", "ts_us", "flow", "bytes"))
+_on_packets("flow_sessions_gap", f""", g AS (SELECT *, coalesce(CAST(ts_us - lag(ts_us) OVER (PARTITION BY flow ORDER BY ts_us, ordinal) > {8 * HOUR} AS INTEGER), 1) AS fresh FROM p),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY flow ORDER BY ts_us, ordinal ROWS UNBOUNDED PRECEDING) AS instance FROM g)
+SELECT flow, CAST(instance AS BIGINT) AS instance, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM i GROUP BY ALL""",
+    lambda p: rollups.sessions(p, "flow", 8 * HOUR).groupBy("flow", "instance").agg(F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes")))
+_MATCH = """, q AS (SELECT flow, ordinal, ts_us, row_number() OVER (PARTITION BY flow ORDER BY ordinal) AS n FROM p WHERE app = 'view'),
+r AS (SELECT flow, ordinal, ts_us, row_number() OVER (PARTITION BY flow ORDER BY ordinal) AS n FROM p WHERE app = 'purchase'),
+m AS (SELECT q.flow, q.n, q.ordinal AS req_ordinal, CASE WHEN r.ordinal > q.ordinal THEN r.ordinal END AS resp_ordinal, CASE WHEN r.ordinal > q.ordinal THEN r.ts_us - q.ts_us END AS service_us FROM q LEFT JOIN r USING (flow, n))"""
+_fifo = lambda p: rollups.match_fifo(p, "flow", F.col("app") == "view", F.col("app") == "purchase")
+_on_packets("txn_fifo", f"{_MATCH} SELECT flow, n, req_ordinal, resp_ordinal, service_us FROM m", _fifo)
+_on_packets("service_time_summary", f"""{_MATCH}, s AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY service_us NULLS LAST, req_ordinal) AS rn, count(service_us) OVER (PARTITION BY flow) AS c FROM m)
+SELECT flow, count(service_us) AS answered, count(*) FILTER (service_us IS NULL) AS unanswered, min(service_us) AS min_us, max(service_us) AS max_us,
+  max(service_us) FILTER (rn = greatest(1, ceil(c * 50 / 100.0))) AS p50_us, max(service_us) FILTER (rn = greatest(1, ceil(c * 95 / 100.0))) AS p95_us FROM s GROUP BY flow""", lambda p: rollups.service_times(_fifo(p), "flow"))
+
+_RETRANSMIT = """, d AS (SELECT *, coalesce(((seq - lag(seq) OVER (PARTITION BY flow ORDER BY i) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0) AS step FROM s),
+a AS (SELECT *, sum(step) OVER (PARTITION BY flow ORDER BY i ROWS UNBOUNDED PRECEDING) AS pos FROM d),
+r AS (SELECT *, coalesce(pos <= max(pos) OVER (PARTITION BY flow ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS retransmit FROM a)"""
+_on_segments("retransmit_mark", f"{_RETRANSMIT} SELECT flow, seq, bytes, retransmit FROM r", lambda s: tcp.retransmits(s).select("flow", "seq", "bytes", "retransmit"))
+_on_segments("packet_loss", f"{_RETRANSMIT} SELECT flow, count(*) AS segments, count(*) FILTER (retransmit) AS retransmits, least(100.0::DOUBLE, count(*) FILTER (retransmit) * 100.0::DOUBLE / count(*)) AS loss FROM r GROUP BY flow", lambda s: tcp.loss_percent(tcp.retransmits(s)))
+_on_segments("first_reset", """, b AS (SELECT *, coalesce(max(CAST(rst AS INTEGER)) OVER (PARTITION BY flow ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS before FROM s)
+SELECT flow, bool_or(rst) AS reset, CAST(sum(CASE WHEN before THEN bytes ELSE 0 END) AS BIGINT) AS bytes_until FROM b GROUP BY flow""", tcp.first_reset)
+
+
+def follow_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnRenamed("turn", "at").withColumn("size", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    return tcp.turns(c, "conv_id", "at", "role", "size")
+
+
+QUERIES["follow_turns"] = follow_turns
+ORACLE_SQL["follow_turns"] = """WITH c AS (SELECT conv_id, turn AS pos, role, CAST(coalesce(length(text), 0) AS BIGINT) AS size FROM conversations),
+s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, role ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st,
+  coalesce(CAST(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS INTEGER), 1) AS fresh FROM c),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS turn FROM s)
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, CAST(min(st) AS BIGINT) AS start, CAST(sum(size) AS BIGINT) AS length FROM r GROUP BY conv_id, turn, role"""
