@@ -30,11 +30,15 @@ def _hashed(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def _fingerprints(hashed: DataFrame, id_col: str, short: list[int]) -> DataFrame:
-    """Distinct winnowed hashes of each text, and its n-gram hashes for the lengths of short items."""
+    """Distinct winnowed hashes of each text, and its n-gram hashes for the lengths of short items; null for a text without any.
+
+    `explode_outer`, because for `explode` the optimiser adds a filter on the array's size and pushes it below the hashes,
+    whose expressions it then nests: work that grows with the square of a text's length.
+    """
     span = WINDOW - GRAM + 1
     least = lambda i: F.least(*[F.get("g", i + j) for j in range(span)])
     mins = F.when(F.size("g") >= span, F.transform(F.sequence(F.lit(0), F.size("g") - span), least)).otherwise(F.array().cast("array<bigint>"))
-    return hashed.select(id_col, F.explode(F.array_distinct(F.concat(mins, *[_grams(F.col("h"), m) for m in short]))).alias("fp"))
+    return hashed.select(id_col, F.explode_outer(F.array_distinct(F.concat(mins, *[_grams(F.col("h"), m) for m in short]))).alias("fp"))
 
 
 def _spans(df: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -67,11 +71,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = _fingerprints(_hashed(tokens(base), "id"), "id", short).join(winnowed.union(exact).distinct() if short else winnowed, "fp", "left_semi").select("id").distinct()
     near = cut(tokens(base.join(found, "id", "left_semi")), "near")
 
-    hits = _hashed(near, "id").select("id", F.size("h").alias("len"), F.posexplode("g").alias("pos", "fp")).join(winnowed, "fp", "left_semi")
+    hits = _hashed(near, "id").select("id", F.size("h").alias("len"), F.posexplode_outer("g").alias("pos", "fp")).join(winnowed, "fp", "left_semi")
     starts = hits.where(F.col("len") >= WINDOW).select("id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - (WINDOW - GRAM)), F.least(F.col("pos"), F.col("len") - WINDOW))).alias("start"))
     spans = _spans(near.join(starts.groupBy("id").agg(F.collect_set("start").alias("starts")), "id"), "id", WINDOW)
     for m in short:
-        at = _hashed(near, "id").select("id", "h").select("id", F.posexplode(_grams(F.col("h"), m)).alias("start", "fp")).join(exact, "fp", "left_semi")
+        at = _hashed(near, "id").select("id", "h").select("id", F.posexplode_outer(_grams(F.col("h"), m)).alias("start", "fp")).join(exact, "fp", "left_semi")
         spans = spans.union(_spans(near.join(at.groupBy("id").agg(F.collect_set("start").alias("starts")), "id"), "id", m))
     texts = windows.select("span", "n").distinct()
     occurrences = cut(spans.join(texts, ["span", "n"], "left_semi").distinct(), "occurrences")
