@@ -8,7 +8,9 @@ admissible pair of sizes. Signatures over fewer than `thin` elements are left ou
 none such; otherwise all are kept, so the guarantee stands (see `signatures`).
 
 Equal sets collapse to one representative before signing. Members of one signature bucket are compared with its
-smallest id; what is then still in different components is compared as well, so no link between components is lost.
+smallest id; of what is then still in different components, all pairs that share a prefix element are compared as well.
+A set's prefix holds its n - ceil(t n) + 1 rarest elements, so linked pairs always share one and no link is lost, while
+otherwise different texts around one common passage do not meet: its elements are the most frequent ones.
 
 Edge cases: null, empty or blank texts have an empty set and link with nothing; repeated rows with one doc_id link by
 that id; rows with a null doc_id come back with a null component; extra columns are ignored.
@@ -162,6 +164,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return held.groupBy("a", "salt").applyInPandas(linked, "a long, b long")
 
 
+def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members (id, c) in different components c whose rarest elements meet; misses no linked pair.
+
+    Elements go by their count among members, then by hash. An element that only one member holds meets nothing but counts
+    for its place. At the first element both sets hold, what is left of either bounds the intersection.
+    """
+
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = _WordHashes()
+        for rows in batches:
+            for i, t in zip(rows["id"], rows["text"], strict=True):
+                x = shingle_hashes(t, k, seen)
+                mark = int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
+                yield pd.DataFrame({"id": np.full(len(x), i, np.int64), "mark": np.full(len(x), mark, np.int64), "n": np.full(len(x), len(x), np.int64), "e": x.view(np.int64)})
+
+    held = cut(texts.join(members.select("id"), "id", "left_semi").mapInPandas(elements, "id long, mark long, n long, e long"), "elements")
+    shared = held.groupBy("e").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    ranked = held.join(shared, "e").selectExpr("id", "mark", "n", "e", "dense_rank() over (partition by id, mark order by held, e) as r")
+    placed = ranked.selectExpr("id", "n", "e", "n - max(r) over (partition by id, mark) + r - 1 as before")
+    prefix = cut(placed.where(f"before <= n - ceil(n * {num} / {den})").join(members, "id"), "prefix")
+    a, b = prefix.toDF("a", "n", "e", "pa", "ca"), prefix.toDF("b", "m", "e", "pb", "cb")
+    met = a.join(b, "e").where("a < b and ca != cb").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
+    return met.where(f"least(n - pa, m - pb) * {den + num} >= {num} * (n + m)").select("a", "b").distinct()
+
+
 def similar_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -203,12 +230,10 @@ def similar_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     links = cut(_verified(_possible(star, sets, num, den), texts, k, num, den), "links")
     comps = components(links)
     # Members of a bucket that are not in one component yet are compared across components, but for the pairs done above.
-    member = buckets.join(comps, "id", "left").select("id", "n", "sig", F.coalesce("component", "id").alias("c"))
-    member = cut(member, "members")
+    member = cut(buckets.join(comps, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c")), "members")
     open_sigs = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi and m > 2").select("sig")
-    member = cut(member.join(open_sigs, "sig", "left_semi"), "open")
-    left, right = member.select("sig", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca")), member.select("sig", F.col("id").alias("b"), "n", F.col("c").alias("cb"))
-    more = left.join(right, "sig").where("a < b and ca != cb").where(near).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    member = cut(member.join(open_sigs, "sig", "left_semi").select("id", "c").distinct(), "open")
+    more = _prefix_pairs(member, texts, k, num, den).join(star, ["a", "b"], "left_anti")
     links = links.union(_verified(_possible(cut(more, "cross"), sets, num, den), texts, k, num, den))
     comps = cut(components(links), "components")
 
