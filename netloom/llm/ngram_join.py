@@ -164,26 +164,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return held.groupBy("a", "salt").applyInPandas(linked, "a long, b long")
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int, cells: int = 1 << 18) -> DataFrame:
     """Pairs (a, b) of members (id, c) in different components c whose rarest elements meet; misses no linked pair.
 
-    Elements go by their count among members, then by hash. An element that only one member holds meets nothing but counts
-    for its place. At the first element both sets hold, what is left of either bounds the intersection.
+    Elements go by the count of their cell, of `cells` cells of the hashed domain filled by all members, then by hash: any
+    order that all sets follow keeps the guarantee. The table of cells has a fixed size, so tasks can hold it. At the
+    first element both sets hold, what is left of either bounds the intersection.
     """
+    chosen = texts.join(members.select("id"), "id", "left_semi")
 
-    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, total = _WordHashes(), np.zeros(cells, np.int64)
+        for rows in batches:
+            for t in rows["text"]:
+                np.add.at(total, (shingle_hashes(t, k, seen) % np.uint64(cells)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "held": total[at]})
+
+    counts = chosen.select("text").mapInPandas(count, "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held")).toPandas()  # `cells` rows at most
+    order = np.zeros(cells, np.int64)
+    order[counts["cell"].to_numpy(np.int64)] = counts["held"].to_numpy(np.int64)
+    shared = members.sparkSession.sparkContext.broadcast(order)
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = _WordHashes()
         for rows in batches:
+            out = [np.empty((0, 4), np.int64)]
             for i, t in zip(rows["id"], rows["text"], strict=True):
                 x = shingle_hashes(t, k, seen)
-                mark = int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
-                yield pd.DataFrame({"id": np.full(len(x), i, np.int64), "mark": np.full(len(x), mark, np.int64), "n": np.full(len(x), len(x), np.int64), "e": x.view(np.int64)})
-
-    held = cut(texts.join(members.select("id"), "id", "left_semi").mapInPandas(elements, "id long, mark long, n long, e long"), "elements")
-    shared = held.groupBy("e").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    ranked = held.join(shared, "e").selectExpr("id", "mark", "n", "e", "dense_rank() over (partition by id, mark order by held, e) as r")
-    placed = ranked.selectExpr("id", "n", "e", "n - max(r) over (partition by id, mark) + r - 1 as before")
-    prefix = cut(placed.where(f"before <= n - ceil(n * {num} / {den})").join(members, "id"), "prefix")
+                n = len(x)
+                first = np.lexsort((x, shared.value[(x % np.uint64(cells)).astype(np.int64)]))[: n + 1 + -n * num // den]
+                out.append(np.column_stack([np.full(len(first), i), np.full(len(first), n), x[first].view(np.int64), np.arange(len(first))]))
+            yield pd.DataFrame(np.concatenate(out), columns=["id", "n", "e", "before"])
+
+    found = chosen.mapInPandas(rarest, "id long, n long, e long, before long")
+    prefix = cut(found.selectExpr("*", "min(id) over (partition by e) as lo", "max(id) over (partition by e) as hi").where("lo != hi").select("id", "n", "e", "before").join(members, "id"), "prefix")
     a, b = prefix.toDF("a", "n", "e", "pa", "ca"), prefix.toDF("b", "m", "e", "pb", "cb")
     met = a.join(b, "e").where("a < b and ca != cb").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
     return met.where(f"least(n - pa, m - pb) * {den + num} >= {num} * (n + m)").select("a", "b").distinct()
