@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions import network as net
 from netloom.functions.display_filter import compile_filter
-from netloom.operators import rollups, series, tcp
+from netloom.operators import folds, joins, rollups, series, tcp
 from netloom.plans.model import FIELDS, PACKETS_SQL, SEGMENTS_SQL, packets, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +107,54 @@ s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, role ORDER BY pos
   coalesce(CAST(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS INTEGER), 1) AS fresh FROM c),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS turn FROM s)
 SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, CAST(min(st) AS BIGINT) AS start, CAST(sum(size) AS BIGINT) AS length FROM r GROUP BY conv_id, turn, role"""
+
+
+_IP = "concat(CAST(k % 3 * 91 + 10 AS {t}), '.', CAST(k + 168 AS {t}), '.', CAST(flow % 256 AS {t}), '.', CAST(ordinal % 256 AS {t}))"
+_on_packets("address_scope", f"""SELECT ordinal, {_IP.format(t="VARCHAR")} AS ip, CASE WHEN k + 168 > 255 THEN NULL ELSE (k % 3 * 91 + 10)::BIGINT * 16777216 + (k + 168) * 65536 + flow % 256 * 256 + ordinal % 256 END AS ip_int,
+  coalesce(k + 168 <= 255 AND (k % 3 = 0 OR k % 3 = 2 AND k = 0), false) AS private FROM p""", lambda p: p.withColumn("ip", F.expr(_IP.format(t="STRING"))).select("ordinal", "ip", net.ipv4_int(F.col("ip")).alias("ip_int"), net.is_private(F.col("ip")).alias("private")))
+_KB, _MB = "(CAST(bytes AS BIGINT) * 20 + 1024) // 2048", "(CAST(bytes AS BIGINT) * 20 + 1048576) // 2097152"
+_on_packets("formatted_sizes", f"""SELECT ordinal, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN ({_KB}) // 10 || '.' || ({_KB}) % 10 || ' KB' ELSE ({_MB}) // 10 || '.' || ({_MB}) % 10 || ' MB' END AS size FROM p WHERE bytes >= 0 AND bytes < 1073741824""",
+    lambda p: p.where("bytes >= 0 and bytes < 1073741824").select("ordinal", net.bytes_text(F.col("bytes")).alias("size")))
+_on_packets("flow_status", """, f AS (SELECT flow, bool_or(app = 'error') AS ended, bool_or(app = 'view') AS acked, bool_or(app = 'click') AS syn, min(k) % 2 = 0 AS tcp FROM p GROUP BY flow),
+s AS (SELECT *, CASE WHEN ended THEN 'TIME_WAIT' WHEN acked THEN 'ESTABLISHED' WHEN syn THEN 'SYN_SENT' WHEN NOT tcp THEN 'ESTABLISHED' ELSE 'CLOSE_WAIT' END AS status FROM f)
+SELECT flow, status, CAST(CASE WHEN status IN ('TIME_WAIT', 'CLOSE_WAIT') THEN 120000 WHEN status = 'SYN_SENT' THEN 30000 WHEN NOT tcp THEN 60000 ELSE 1800000 END AS INTEGER) AS idle_ms FROM s""",
+    lambda p: p.groupBy("flow").agg(F.bool_or(F.col("app") == "error").alias("e"), F.bool_or(F.col("app") == "view").alias("a"), F.bool_or(F.col("app") == "click").alias("s"), (F.min("k") % 2 == 0).alias("tcp"))
+    .withColumn("status", net.flow_status(F.col("tcp"), F.col("e"), F.col("a"), F.col("s"))).select("flow", "status", net.idle_limit_ms(F.col("status"), F.col("tcp")).alias("idle_ms")))
+_on_packets("csv_cells", """SELECT ordinal, CASE WHEN app = 'view' THEN '"''=view"' WHEN app = 'click' THEN '"cl;""ick"' ELSE app END AS cell FROM p""",
+    lambda p: p.select("ordinal", net.csv_cell(F.when(F.col("app") == "view", "=view").when(F.col("app") == "click", 'cl;"ick').otherwise(F.col("app"))).alias("cell")))
+_on_packets("dns_names_of_codes", """SELECT ordinal, CASE k WHEN 1 THEN 'A' WHEN 2 THEN 'NS' WHEN 5 THEN 'CNAME' WHEN 6 THEN 'SOA' WHEN 12 THEN 'PTR' WHEN 15 THEN 'MX' WHEN 16 THEN 'TXT' WHEN 28 THEN 'AAAA' WHEN 33 THEN 'SRV' WHEN 64 THEN 'SVCB' WHEN 65 THEN 'HTTPS' ELSE 'TYPE' || k END AS type,
+  CASE k % 8 WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'FORMERR' WHEN 2 THEN 'SERVFAIL' WHEN 3 THEN 'NXDOMAIN' WHEN 4 THEN 'NOTIMP' WHEN 5 THEN 'REFUSED' ELSE 'RCODE' || (k % 8) END AS rcode FROM p""", lambda p: p.select("ordinal", net.dns_type(F.col("k")).alias("type"), net.dns_rcode(F.col("k") % 8).alias("rcode")))
+
+_learned = lambda p: p.where("app = 'view'").select("flow", "ts_us", (F.col("ts_us") + 30 * HOUR).alias("expires_us"), F.concat(F.lit("n"), F.col("ordinal").cast("string")).alias("name"))
+_on_packets("dns_name_asof", f""", l AS (SELECT flow, ts_us, max(ordinal) AS o FROM p WHERE app = 'view' GROUP BY ALL), q AS (SELECT * FROM p WHERE app = 'purchase')
+SELECT q.ordinal, CASE WHEN l.ts_us + {30 * HOUR} > q.ts_us THEN 'n' || l.o END AS name FROM q ASOF LEFT JOIN l ON q.flow = l.flow AND q.ts_us >= l.ts_us""", lambda p: joins.asof(p.where("app = 'purchase'").select("ordinal", "flow", "ts_us"), _learned(p), "flow", "name").select("ordinal", "name"))
+_on_packets("ownership_range", """, r AS (SELECT ordinal AS pos, bytes % 2000 * 8 AS low, bytes % 2000 * 8 + k AS high, 'org' || ordinal AS org FROM p WHERE ordinal % 50 = 0)
+SELECT p.ordinal, min_by(org, pos) AS org FROM p LEFT JOIN r ON p.bytes BETWEEN low AND high GROUP BY p.ordinal""",
+    lambda p: joins.in_range(p.select("ordinal", "bytes"), p.where("ordinal % 50 = 0").selectExpr("ordinal as pos", "bytes % 2000 * 8 as low", "bytes % 2000 * 8 + k as high", "concat('org', ordinal) as org"), "bytes", "low", "high", "pos", "org", 256).select("ordinal", "org"))
+_on_packets("unique_links", """, a AS (SELECT flow, k, min(ordinal) AS left_id FROM p WHERE app = 'view' GROUP BY ALL HAVING count(*) = 1), b AS (SELECT flow, k, min(ordinal) AS right_id FROM p WHERE app = 'click' GROUP BY ALL HAVING count(*) = 1)
+SELECT * FROM a JOIN b USING (flow, k)""", lambda p: joins.unique_links(p.where("app = 'view'"), p.where("app = 'click'"), ["flow", "k"], "ordinal", "ordinal"))
+_on_packets("unanswered_requests", f"{_MATCH} SELECT flow, n, req_ordinal FROM m WHERE resp_ordinal IS NULL", lambda p: _fifo(p).where("resp_ordinal is null").select("flow", "n", "req_ordinal"))
+_on_packets("unmatched_responses", f"{_MATCH} SELECT ordinal, flow, ts_us FROM p WHERE app = 'purchase' AND ordinal NOT IN (SELECT resp_ordinal FROM m WHERE resp_ordinal IS NOT NULL)", lambda p: joins.unmatched_responses(_fifo(p), p, F.col("app") == "purchase").select("ordinal", "flow", "ts_us"))
+_on_packets("carry_forward", """SELECT n.flow, coalesce(n.host, b.host) AS host, n.bytes FROM (SELECT flow, max(CASE WHEN app = 'error' THEN 'h' || k END) AS host, CAST(sum(bytes) AS BIGINT) AS bytes FROM p WHERE k >= 80 GROUP BY flow) n
+LEFT JOIN (SELECT flow, max('h' || k) AS host FROM p WHERE k < 80 GROUP BY flow) b USING (flow)""",
+    lambda p: joins.carry_forward(p.where("k >= 80").groupBy("flow").agg(F.max(F.when(F.col("app") == "error", F.concat(F.lit("h"), F.col("k").cast("string")))).alias("host"), F.sum("bytes").alias("bytes")), p.where("k < 80").groupBy("flow").agg(F.max(F.concat(F.lit("h"), F.col("k").cast("string"))).alias("host")), "flow", ["host"]))
+_on_packets("handshake_rtt", """, t AS (SELECT *, CASE WHEN app = 'purchase' THEN ts_us - max(CASE WHEN app = 'view' THEN ts_us END) OVER (PARTITION BY flow ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS r FROM p)
+SELECT flow, max_by(r, ordinal) FILTER (r IS NOT NULL) AS rtt_us FROM t GROUP BY flow""", lambda p: folds.handshake_rtt(p, "flow", F.col("app") == "view", F.col("app") == "purchase"))
+_on_packets("sticky_app", """SELECT ordinal, coalesce(last_value(CASE WHEN k < 30 THEN app END IGNORE NULLS) OVER (PARTITION BY flow ORDER BY ordinal ROWS UNBOUNDED PRECEDING), CASE k WHEN 53 THEN 'DNS' WHEN 80 THEN 'HTTP' WHEN 67 THEN 'DHCP' WHEN 68 THEN 'DHCP' END) AS app_now FROM p""",
+    lambda p: folds.sticky(p, "flow", F.when(F.col("k") < 30, F.col("app")), net.port_name(F.when(F.col("k").isin(53, 80, 67, 68), F.col("k")))).select("ordinal", "app_now"))
+_on_packets("throughput_bins", f""", b AS (SELECT flow, outbound, ts_us // {HOUR} * {HOUR} AS bin_us, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY ALL), e AS (SELECT *, min(bin_us) OVER (PARTITION BY flow) AS a, max(bin_us) OVER (PARTITION BY flow) AS z FROM b)
+SELECT flow, outbound, bin_us, bytes FROM e WHERE bin_us > a AND bin_us < z""", lambda p: folds.throughput(p, "flow", HOUR))
+_on_packets("covered_buckets", f""", s AS ({_series_sql(HOUR)}), e AS (SELECT series, unnest(range(min(bucket_us), max(bucket_us) + 1, {HOUR})) AS bucket_us FROM s GROUP BY series)
+SELECT series, bucket_us, coalesce(packets, 0) AS packets, coalesce(bytes, 0) AS bytes FROM e LEFT JOIN s USING (series, bucket_us)""", lambda p: folds.covered(_series(p, HOUR), HOUR))
+_on_packets("bandwidth_history", f""", s AS (SELECT series, bucket_us, bytes FROM ({_series_sql(HOUR)}))
+SELECT series, bucket_us, array_to_string(list(bytes) OVER (PARTITION BY series ORDER BY bucket_us ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), ',') AS history FROM s""", lambda p: folds.history(_series(p, HOUR), "series", "bucket_us", "bytes").select("series", "bucket_us", F.array_join(F.col("history").cast("array<string>"), ",").alias("history")))
+_on_packets("ended_flows", "SELECT flow, bool_or(k = 99) OR (bool_or(k > 90 AND outbound) AND bool_or(k > 90 AND NOT outbound)) AS ended FROM p GROUP BY flow", lambda p: folds.ended(p, "flow", F.col("k") == 99, F.col("k") > 90))
+_on_packets("zero_window_spans", """, h AS (SELECT flow, ordinal, k % 3 = 0 AS h, coalesce(lag(k % 3 = 0) OVER (PARTITION BY flow ORDER BY ordinal), false) AS b,
+  min(CASE WHEN k % 3 <> 0 THEN ordinal END) OVER (PARTITION BY flow ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS e, max(ordinal) OVER (PARTITION BY flow) AS z FROM p)
+SELECT flow, ordinal AS from_at, coalesce(e, z) AS to_at FROM h WHERE h AND NOT b""", lambda p: folds.spans_while(p, "flow", "ordinal", F.col("k") % 3 == 0))
+_on_packets("lines_at_gaps", """, r AS (SELECT flow, k, k - row_number() OVER (PARTITION BY flow ORDER BY k) AS i FROM (SELECT DISTINCT flow, k FROM p)), g AS (SELECT flow, i, min(k) AS first, max(k) AS last, count(*) AS points FROM r GROUP BY ALL)
+SELECT flow, first, last, points, CAST(row_number() OVER (PARTITION BY flow ORDER BY first) AS INTEGER) AS line FROM g""", lambda p: folds.islands(p, "flow", "k"))
+QUERIES["paced_sample"] = lambda spark, sf_dir: folds.paced(packets(spark, sf_dir), "flow", 4, 24 * HOUR).select("ordinal", "admitted")
+_on_segments("findings", f"""{_RETRANSMIT}, x AS (SELECT *, row_number() OVER (PARTITION BY flow, rst ORDER BY i) AS c FROM r)
+SELECT flow, seq, bytes, 'retransmission' AS code, 'warning' AS severity FROM x WHERE retransmit UNION ALL SELECT flow, seq, bytes, 'connection-reset', 'note' FROM x WHERE rst AND c = 1""", lambda s: folds.findings(tcp.retransmits(s)).select("flow", "seq", "bytes", "code", "severity"))
+_on_segments("finding_markers", f"{_RETRANSMIT}, f AS (SELECT flow, min_by('retransmission', i) AS finding FROM r WHERE retransmit GROUP BY flow) SELECT s.flow, s.seq, finding FROM s LEFT JOIN f USING (flow)", lambda s: joins.first_finding(s, folds.findings(tcp.retransmits(s)).where("code = 'retransmission'"), "flow", "idx").select("flow", "seq", "finding"))

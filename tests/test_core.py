@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from netloom.functions.display_filter import Field, FilterError, compile_filter
-from netloom.operators import tcp
+from netloom.operators import joins, tcp
 from netloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +16,7 @@ def rows(df):
     return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
@@ -41,3 +41,20 @@ def test_null_fields_are_two_valued(spark):
 def test_retransmits_cross_the_wrap(spark):
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate([4294967290, 4, 4294967295, 10])], "flow long, idx int, seq long")
     assert [r.retransmit for r in tcp.retransmits(df).orderBy("idx").collect()] == [False, False, True, False]
+
+
+def test_paced_sample_is_greedy(spark):
+    got = QUERIES["paced_sample"](spark, SF).toPandas().set_index("ordinal")["admitted"]
+    p = pd.read_parquet(f"{SF}/events.parquet").sort_values(["user_id", "ts", "event_id"])
+    last, gap = {}, pd.Timedelta(hours=6)
+    for r in p.itertuples():
+        ok = r.user_id not in last or r.ts - last[r.user_id] >= gap
+        assert bool(got[r.event_id]) == ok
+        if ok:
+            last[r.user_id] = r.ts
+
+
+def test_spans_touch(spark):
+    a = spark.createDataFrame([("x", 0, 5), ("x", 7, 7), ("x", 10, 12)], "k string, from_us long, to_us long")
+    b = spark.createDataFrame([("x", 4, 8), ("y", 0, 99)], "k string, from_us long, to_us long")
+    assert sorted(r.left_from_us for r in joins.spans_touching(a, b, "k").collect()) == [0, 7]
