@@ -132,16 +132,17 @@ class LineIndex:
             loaded = self.filters.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.toLocalIterator()})
             shards = self.shards
 
-            def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            @F.pandas_udf("boolean")
+            def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 made = {k: CuckooFilter(0, np.frombuffer(v, np.uint16).reshape(-1, SLOTS)) for k, v in loaded.value.items()}
-                for rows in batches:
-                    h = rows["h"].to_numpy()
-                    shard, keep = h % shards, np.zeros(len(rows), bool)
+                for hashes in batches:
+                    h = hashes.to_numpy()
+                    shard, keep = h % shards, np.zeros(len(h), bool)
                     for k, f in made.items():
                         keep[own] = f.contains(h[own]) if len(own := np.flatnonzero(shard == k)) else False
-                    yield rows[keep]
+                    yield pd.Series(keep)
 
-            asked = asked.mapInPandas(probe, "doc_id long, key string, h long")
+            asked = asked.where(maybe("h"))
         lost = asked.drop("h").join(self.refs.select("key", "owner"), "key").where("doc_id != owner")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
