@@ -67,6 +67,32 @@ def test_cuckoo_filter():
     assert f.contains(h[2500:]).all() and f.contains(h[:2500]).mean() < 0.05
 
 
+@pytest.mark.parametrize("shards", [32, 96])
+def test_cuckoo_filter_of_one_shard_among_many(shards):
+    h = np.random.default_rng(3).integers(-(2**57), 2**57, 200_000) // shards * shards + 7
+    f = linededup.CuckooFilter(len(h))
+    f.insert(h)
+    assert f.contains(h).all()
+
+
+def test_line_index_updates_touched_shards_only(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('line number ', id div 2, '\\nfamily of lines ', id % 7) as text")
+    lost = lambda ix, **how: sorted((r.doc_id, sorted(r["keys"])) for r in ix.losses(**how).collect())
+    whole = linededup.LineIndex.build(docs, shards=16)
+    assert lost(whole) == lost(whole, broadcast_bytes=0) and len(lost(whole)) == 396
+    part = linededup.LineIndex.build(docs.where("doc_id < 30"), shards=16)
+    one = part.insert(docs.where("doc_id = 30"))
+    blobs = lambda ix: {r.shard: bytes(r.filter) for r in ix.filters.collect()}
+    assert one.shards == 16 and blobs(one) == blobs(part)  # counts rise, no key becomes shared
+    two = one.insert(docs.where("doc_id = 31"))
+    assert len(blobs(two).items() - blobs(one).items()) == 1
+    grown = two.insert(docs)
+    counts = lambda ix: sorted((r.key, r.refs, r.owner) for r in ix.refs.collect())
+    assert counts(grown) == counts(whole) and lost(grown) == lost(whole) == lost(grown, broadcast_bytes=0)
+    back = grown.delete(docs.where("doc_id >= 30").select("doc_id"))
+    assert counts(back) == counts(part) and lost(back) == lost(part) == lost(back, broadcast_bytes=0)
+
+
 def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(2)
     for n in [1, 2, 3, 6, 7, 8, 12, 13, 20, 47, 100, 333, 1000]:
