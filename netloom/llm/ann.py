@@ -3,7 +3,8 @@
 Each ordering projects the unit vectors onto a few random directions, shifts them and sorts all vectors along a Hilbert
 curve. Spark range-partitions the orderings into cells of about `cell_rows` neighbouring keys (ties by id, so copies of
 one vector are dealt into many cells). A query is scored against the cells in a window around its own in each ordering;
-the best of all windows merge and are reranked by exact cosine in double precision.
+the queries are dealt into blocks of about QUERY_ROWS, and each block meets a copy of the cell, so that both sides of a
+group are bounded at every size. The best of all windows merge and are reranked by exact cosine in double precision.
 
 The window is a share of the cells: on vectors without low-dimensional structure, as in the test tables, a neighbour at
 cosine 0.4 lies almost anywhere on a curve, and only wide windows reach a recall of 0.9.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from netloom.llm.common import cut
 
 BITS = 10
+#: Queries that meet a cell at once, about; more are dealt into blocks by a hash of their id.
+QUERY_ROWS = 4096
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,7 +81,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", orderings: int = 4, dims: int = 2, window: float = 0.5, cell_rows: int = 2048, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
     base = cut(usable(vectors, id_col, vec_col), "vectors")
-    n = base.count()
+    n, n_queries = base.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
+    blocks = max(1, -(-n_queries // QUERY_ROWS))
     first = base.select(F.size("v").alias("d")).first()
     d = first["d"] if first else 1
     rng = np.random.default_rng(seed)
@@ -103,7 +107,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     queries = dealt.where(F.col("vec_id") % every == 0).dropDuplicates(["o", "vec_id"]).join(F.broadcast(spans), "o")
     half = F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(window / 2)).cast("int")
     low = F.greatest("lo", F.least(F.col("cell") - half, F.col("hi") - 2 * half))
-    asked = queries.select(F.col("o").alias("qo"), F.col("vec_id").alias("qid"), F.col("v").alias("qv"), F.explode(F.sequence(low, F.least("hi", low + 2 * half))).alias("qcell"))
+    asked = queries.select(F.col("o").alias("qo"), F.col("vec_id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("qblock"), F.explode(F.sequence(low, F.least("hi", low + 2 * half))).alias("qcell"))
 
     def score(candidates: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
@@ -121,7 +125,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                 out.append(_best(found[np.isfinite(found["score"])], k))
         return pd.concat(out)
 
-    found = dealt.groupBy("o", "cell").cogroup(asked.groupBy("qo", "qcell")).applyInPandas(score, "query_id long, vec_id long, score double")
+    copied = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else dealt.withColumn("block", F.lit(0))
+    found = copied.groupBy("o", "cell", "block").cogroup(asked.groupBy("qo", "qcell", "qblock")).applyInPandas(score, "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("near"))
     best = merged.selectExpr("query_id", "vec_id", "row_number() over (partition by query_id order by near desc, vec_id) as r").where(F.col("r") <= 2 * k)
     own = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))

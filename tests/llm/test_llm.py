@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from netloom.llm import ann, decontam, langid, license, linededup, mixing, ngram_join, quality, toxicity, warc
 from netloom.llm.queries import ORACLE_SQL, QUERIES
@@ -131,6 +132,25 @@ def test_nearest_recall(spark):
     assert len(want & set(zip(got.query_id, got.vec_id, strict=True))) >= 0.9 * len(want)
 
 
+def test_nearest_bounds_both_sides_of_a_group(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    how = {"every": 5, "cell_rows": 300}
+    plain = lambda: ann.nearest(df, **how).orderBy("query_id", "rank").toPandas()
+    want, apply = plain(), PandasCogroupedOps.applyInPandas
+
+    def watched(ops, func, schema):
+        def bounded(left, right):
+            assert len(left) <= 900 and len(right) <= 150, (len(left), len(right))
+            return func(left, right)
+
+        return apply(ops, bounded, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", watched)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 100, raising=False)
+    pd.testing.assert_frame_equal(plain(), want)
+
+
 def test_license_base_places(spark):
     df = spark.createDataFrame([(1, "x The MIT-License, the mit license. Apache License, Version 2.0"), (2, "ccbync"), (3, "CC BY NC")], "doc_id long, text string")
     a, b, c = license.scan(df).orderBy("doc_id").collect()
