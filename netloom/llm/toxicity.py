@@ -1,8 +1,9 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character trigram model is counted over all documents. Spans that look disguised (leetspeak inside words, letters spaced
-out one by one, letters repeated three times or more) become lattices of possible characters, and Viterbi decoding under
-that model restores the likeliest word. Restored texts are scored by a lexicon of words and word beginnings learned from a
+A character trigram model and the VOCABULARY most frequent words are counted over all documents. Spans that look disguised (leetspeak inside words, letters spaced
+out one by one, letters repeated three times or more) become lattices of possible characters, where a separator may be a
+word boundary or nothing and a sign at an edge may be nothing, and Viterbi decoding under that model restores the likeliest
+words. Restored texts are scored by a lexicon of words and word beginnings learned from a
 bounded sample of labelled rows (`sample`, smallest hashes first; crc32(doc_id as text) mod 4 is not 2), combined by a
 logistic model fitted on the other half of that sample.
 
@@ -28,8 +29,12 @@ from netloom.llm.linear import Logistic, sigmoid
 #: What a disguised character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "(": "c"}
 SIGNS = re.escape("".join(LEET))
-SPACED = re.compile(rf"(?<![^\s])[a-z{SIGNS}](?:[ ._-][a-z{SIGNS}]){{3,}}(?![^\s.,;:?])")
-INSIDE = re.compile(rf"(?<![^\s])[a-z{SIGNS}]*(?:[a-z][{SIGNS}]+[a-z]|[{SIGNS}]+[a-z]{{2,}})[a-z{SIGNS}]*")
+SPACED = re.compile(rf"(?<![^\W_])[a-z{SIGNS}](?:[ \t._-]+[a-z{SIGNS}]){{2,}}(?![^\W_])")
+INSIDE = re.compile(rf"(?<![^\W_])[a-z{SIGNS}]*(?:[a-z][{SIGNS}]+[a-z]|[{SIGNS}]+[a-z]{{2,}})[a-z{SIGNS}]*")
+#: Signs that are as likely plain punctuation before or after a word; others are dropped there at the cost DROPPED.
+BEFORE, AFTER, DROPPED = "(*", "!(*+|", -3.0
+VOCABULARY, UNKNOWN = 50_000, -4.0
+RUNS = re.compile(r"([^ \t._-])(?:[ \t._-]*\1)*")
 REPEATED = re.compile(r"[a-z]*([a-z])\1{2,}[a-z]*")
 WORD = re.compile(r"[^\W\d_]+")
 A = 27
@@ -65,30 +70,67 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
 
 
-def viterbi(span: str, lm: list, twice: float = -1.0) -> str:
-    """The likeliest word behind a span. Separators vanish; of a run of one letter one or two stay; signs are replaced."""
-    best = {(0, 0): (0.0, "")}
-    runs = [(m.group(0)[0], len(m.group(0))) for m in re.finditer(r"(.)\1*", re.sub(r"[ ._-]", "", span))]
-    for ch, n in runs:
-        options = [x for c in ([ch] if ch.isalpha() else LEET.get(ch, "")) for x in ([c] if n == 1 else [c, c + c])] or [""]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for state, (score, word) in best.items():
-            for text in options:
-                s, st = score + (twice if n > 2 and len(text) == 2 else 0.0), state
+def vocabulary(docs: DataFrame) -> dict[str, float]:
+    """Log probabilities of the most frequent words, and None for their beginnings."""
+    found = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 1 and 24").groupBy("w").count()
+    top = found.orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()
+    total = sum(r["count"] for r in top)
+    out = dict.fromkeys(r["w"][:i] for r in top for i in range(1, len(r["w"])))
+    return out | {r["w"]: float(np.log(r["count"] / total)) for r in top}
+
+
+def viterbi(span: str, lm: list, words: dict[str, float] | None = None, twice: float = -1.0, join: float = -2.0) -> str:
+    """The likeliest words behind a span. A separator becomes a space or nothing (at the cost `join` if it is wider than
+    others); of a run of one letter one or two stay; signs are replaced, and may vanish at the edges. A word counts as itself
+    if it is one of `words`, else by its letters."""
+    words = words or {}
+
+    def ended(score: float, begun: float, word: str | None) -> float:
+        return score if not words or word == "" else max(score + UNKNOWN, begun + known) if word and (known := words[word]) is not None else score + UNKNOWN
+
+    # State: the last two letters and the word so far, or None if no known word begins so. Value: score, text, score where the word began.
+    best: dict[tuple, tuple[float, str, float]] = {(0, 0, ""): (0.0, "", 0.0)}
+    gaps = [len(g) for g in re.findall(r"[ \t._-]+", span)]
+    least, end = min(gaps, default=0), 0
+    for m in RUNS.finditer(span):
+        ch, gap, end = m.group(1), m.start() - end, m.end()
+        inner = [len(g) for g in re.findall(r"[ \t._-]+", m.group(0))]
+        n = len(m.group(0)) - sum(inner)
+        cost = join if gap > least else 0.0
+        options = []
+        for c in [ch] if ch.isalpha() else LEET.get(ch, ""):
+            options += [(c, 0.0)] if n == 1 else [(c, 0.0), (c + c, twice if n > 2 else 0.0)] + ([(c + " " + c, 0.0)] if inner else [])
+        if not ch.isalpha() and (m.start() == 0 or end == len(span)):
+            options.append(("", 0.0 if ch in (BEFORE if m.start() == 0 else AFTER) else DROPPED))
+        options = options or [("", 0.0)]
+        if gap:
+            options = [(t, s + cost) for t, s in options] + [(" " + t, s) for t, s in options if t]
+        after: dict[tuple, tuple[float, str, float]] = {}
+        for (x, y, word), (score, done, begun) in best.items():
+            for text, cost in options:
+                # `cost` counts for known words too
+                s, st, w, start = score + cost, (x, y), word, begun + cost
                 for c in text:
-                    k = ord(c) - 96
+                    k = 0 if c == " " else ord(c) - 96
                     s += lm[st[0]][st[1]][k]
                     st = (st[1], k)
-                if st not in after or s > after[st][0]:
-                    after[st] = (s, word + text)
+                    if k:
+                        w = w + c if w is not None and w + c in words else None
+                    else:
+                        start = s = ended(s, start, w)
+                        w = ""
+                key = (*st, w)
+                if key not in after or s > after[key][0]:
+                    after[key] = (s, done + text, start)
         best = after
-    return max(best.items(), key=lambda x: (x[1][0] + lm[x[0][0]][x[0][1]][0], x[1][1]))[1][1]
+    final = lambda x: (ended(x[1][0] + lm[x[0][0]][x[0][1]][0], x[1][2], x[0][2]), x[1][1])
+    return max(best.items(), key=final)[1][1]
 
 
-def restorer(lm: np.ndarray):  # noqa: ANN201
+def restorer(lm: np.ndarray, words: dict[str, float] | None = None):  # noqa: ANN201
     """text -> text with its disguised spans decoded."""
     table = lm.tolist()
-    decode = lru_cache(200_000)(lambda span: viterbi(span, table))
+    decode = lru_cache(200_000)(lambda span: viterbi(span, table, words))
     swap = lambda m: decode(m.group(0)) if any(c.isalpha() for c in m.group(0)) else m.group(0)
 
     def restore(text: str | None) -> str:
@@ -111,14 +153,14 @@ def _facts(found: set[str], lexicon: dict[str, float]) -> list[float]:
     return [hits[0] if hits else 0.0, sum(hits[:3]), min(len(hits), 8), float(bool(hits))]
 
 
-def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = 8000, least: int = 4) -> tuple[dict[str, float], Logistic]:
+def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = 8000, least: int = 4, words: dict[str, float] | None = None) -> tuple[dict[str, float], Logistic]:
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y"))
     some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
     half = F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(2)).cast("int")
     rows = docs.select("doc_id", "text").join(some, "doc_id").withColumn("half", half)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore = restorer(lm)
+        restore = restorer(lm, words)
         for b in batches:
             for t, y in zip(b["text"], b["y"], strict=True):
                 found = sorted(entries(restore(t)))
@@ -132,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = 8000
     lexicon = {r["e"]: v for r in counts.toLocalIterator() if (v := odds(r)) > 2.5}
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore = restorer(lm)
+        restore = restorer(lm, words)
         for b in batches:
             yield pd.DataFrame({"x": [_facts(entries(restore(t)), lexicon) for t in b["text"]], "y": b["y"]})
 
@@ -142,11 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = 8000
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    lm = language_model(docs)
-    lexicon, model = train(docs, labels, lm, sample)
+    lm, words = language_model(docs), vocabulary(docs)
+    lexicon, model = train(docs, labels, lm, sample, words=words)
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restore = restorer(lm)
+        restore = restorer(lm, words)
         for texts in batches:
             x = np.array([_facts(entries(restore(t)), lexicon) for t in texts], float).reshape(len(texts), 4)
             yield pd.Series(sigmoid(model.logit(x)))

@@ -1,5 +1,6 @@
 import os
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -162,6 +163,28 @@ def test_viterbi_restores(spark):
     assert toxicity.restorer(lm)("you st00pid l0ser t r a s h stuuuupid").split()[2:] == ["loser", "trash", "stupid"]
 
 
+@pytest.fixture(scope="module")
+def restored(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return toxicity.restorer(toxicity.language_model(docs), toxicity.vocabulary(docs))
+
+
+@pytest.mark.parametrize("form", ["what a {}", "you are a {}", "y o u {}", "y o u  {}", "{}!", '"{}"', "({})"])
+def test_disguised_words_are_found(restored, form):
+    held = duckdb.execute("select doc_id, text from '/root/testdata/sf0.01/documents.parquet' join '/root/testdata/sf0.01/labels.parquet' using (doc_id) where toxic = 1").fetchall()
+    seen = {w for i, t in held if zlib.crc32(str(i).encode()) % 4 == 2 for w in toxicity.WORD.findall(t.lower())}
+    words = sorted(seen & {"clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"})
+    assert len(words) > 5
+    leet = str.maketrans("oieas", "01345")
+    for masked in (" ".join, "  ".join, lambda w: w.translate(leet)):
+        found = [w in toxicity.WORD.findall(restored(form.format(masked(w)))) for w in words]
+        assert np.mean(found) >= 0.9, [w for w, x in zip(words, found, strict=True) if not x]
+
+
+def test_words_of_three_letters_are_found(restored):
+    assert [restored(" ".join(w)).strip() for w in ("the", "for", "are", "was")] == ["the", "for", "are", "was"] and restored("5cum!") == "scum"
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     lang = langid.predict(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
