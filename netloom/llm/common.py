@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset on a local master, as in tests, a folder of this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,7 +34,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends and sizes become known to the planner."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by `cut` that nothing reads any more."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.cut_path
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """`name`, or the first of name_1, name_2, ... that is no column of the tables, whatever the case of its letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    tries = (name if i == 0 else f"{name}_{i}" for i in itertools.count())
+    return next(x for x in tries if x.lower() not in taken)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,24 +1,25 @@
 """N-gram Jaccard self-join with PartEnum signatures: exact links at a Jaccard threshold, as components.
 
-Sets are distinct word shingles, held as 64-bit hashes. Two sets of at most u elements with Jaccard >= t differ in at
-most k = floor(2u(1-t)/(1+t)) elements. For each size band the hashed feature domain is dealt into n1 groups of three
-parts; with at least (k+1)/2 groups, one group has at most one part in which the two sets differ, so one of the three
-two-part signatures of that group is equal. A set signs for its own band and the next larger one, which covers every
-admissible pair of sizes. Signatures over fewer than `thin` elements are left out when enough groups of the set have
-none such; otherwise all are kept, so the guarantee stands (see `signatures`).
-
-Equal sets collapse to one representative before signing. Members of one signature bucket are compared with its
-smallest id; of what is then still in different components, all pairs that share a prefix element are compared as well.
-A set's prefix holds its n - ceil(t n) + 1 rarest elements, so linked pairs always share one and no link is lost, while
-otherwise different texts around one common passage do not meet: its elements are the most frequent ones.
+Sets are distinct word shingles, held as 64-bit hashes. A set signs for its own size band and, where a set of the next
+band can still be near enough, for that too: the hashed feature domain is dealt into groups of parts, and subsets of the
+parts of a group are enumerated, so that linked sets share a signature (see `signatures`). The number of parts and the
+subsets' size are parameters; two parts with subsets of one made the fewest signatures on the test tables, and as few
+candidates as three with subsets of two.
+
+Equal sets collapse to one representative before they meet. Members of one signature bucket are compared with one hub,
+the member that meets others most often. Of what is then still in different components, pairs that share a signature
+are compared as well if their rarest elements meet: a set's prefix holds its n - ceil(t n) + 1 rarest elements, so linked
+pairs always share one and no link is lost, while otherwise different texts around one common passage do not meet.
 
 Edge cases: null, empty or blank texts have an empty set and link with nothing; repeated rows with one doc_id link by
-that id; rows with a null doc_id come back with a null component; extra columns are ignored.
+that id; rows with a null doc_id come back with a null component, and other ids keep all 64 bits beside them; equal texts
+are ties, their smallest id stands for them; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import cut
+from netloom.llm.common import cut, discard
 
 #: Odd multipliers of the 64-bit mixing steps (fixed values).
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -62,116 +63,113 @@ def shingle_hashes(text: str | None, k: int, seen: _WordHashes) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def _band(n: int, base: float) -> int:
-    return int(math.floor(math.log(n) / base))
-
+def signatures(x: np.ndarray, num: int, den: int, parts: int = 2, spare: int = 1, ratio: float = 1.35, slack: float = 1.15) -> np.ndarray:
+    """PartEnum signatures of a sorted distinct set for J >= num/den.
 
-def signatures(x: np.ndarray, num: int, den: int, thin: int = 4, slack: float = 1.15) -> np.ndarray:
-    """Signatures of a sorted distinct set for J >= num/den.
+    Two linked sets of n and m elements differ in (n + m)(1 - J)/(1 + J) elements at most; call that k, with the largest m
+    of the band. The domain is dealt into groups of `parts` parts. Any need = ceil((k + 1)/(spare + 1)) groups hold one in
+    which at most `spare` parts differ, so one of its subsets of parts - spare parts is equal in both sets.
 
-    Let G be the groups of the set whose three signatures each cover `thin` elements or more. If 2|G| >= k+1, a set within
-    distance k agrees with it on one signature of a group in G, and that signature is as thick in the other set, which
-    keeps all its thick signatures. If neither of two sets has so many such groups, both keep all they have.
+    A set signs those subsets that hold `least` elements or more: the highest number for which `need` of its groups have
+    only such subsets. Of two linked sets, that of the higher number signs an equal subset, and the other signs it too,
+    since its own number is lower. So the guarantee stands, while subsets of few elements are seldom signed.
     """
     n, out = len(x), []
     if not n:
         return np.empty(0, np.int64)
-    base = math.log(den / num) * 1.001  # a little wider, so that rounding never parts sizes of exactly this ratio
-    own = _band(n, base)
+    base = math.log(ratio)
+    own = int(math.floor(math.log(n) / base + 1e-9))
+    spread = _mix(x + np.uint64(1))
+    chosen = [list(c) for c in itertools.combinations(range(parts), parts - spare)]
     for band in (own, own + 1):
-        largest = math.ceil(math.exp(base * (band + 1)))
-        k = 2 * largest * (den - num) // (den + num)
+        low, high = math.exp(base * band) * (1 - 1e-6), math.exp(base * (band + 1)) * (1 + 1e-6)
+        if band > own and n * den < num * low:
+            continue  # no set of that band is near enough in size
+        most = 2 * int(high) * (den - num) // (den + num)
+        k = (n + min(int(high), n * den // num)) * (den - num) // (den + num)
         if k == 0:
             continue  # only equal sets link, and those have been collapsed
-        n1 = max(1, math.ceil(slack * (k + 1) / 2))
-        part = ((x * M1) >> np.uint64(33)) % np.uint64(3 * n1)
-        part = part.astype(np.int64)
-        sums = np.zeros(3 * n1, np.uint64)
-        np.add.at(sums, part, _mix(x + np.uint64(1)))
-        sums, counts = sums.reshape(n1, 3), np.bincount(part, minlength=3 * n1).reshape(n1, 3)
-        two, elements = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums, counts.sum(axis=1, keepdims=True) - counts
-        place = (np.uint64(band) << np.uint64(40)) + np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3)
-        sign = _mix(two + _mix(place + M1) + elements.astype(np.uint64) * M2)
-        thick = elements >= thin
-        out.append(sign[thick] if 2 * int(thick.all(axis=1).sum()) >= k + 1 else sign.ravel())
+        groups = max(-(-(most + 1) // (spare + 1)), math.ceil(slack * (most + 1) / (spare + 1)))
+        need = -(-(k + 1) // (spare + 1))
+        part = (((x * M1) >> np.uint64(33)) % np.uint64(parts * groups)).astype(np.int64)
+        sums = np.zeros(parts * groups, np.uint64)
+        np.add.at(sums, part, spread)
+        sums, counts = sums.reshape(groups, parts), np.bincount(part, minlength=parts * groups).reshape(groups, parts)
+        sums = np.stack([sums[:, c].sum(axis=1, dtype=np.uint64) for c in chosen], axis=1)
+        held = np.stack([counts[:, c].sum(axis=1) for c in chosen], axis=1)
+        place = (np.uint64(band) << np.uint64(40)) + np.arange(sums.size, dtype=np.uint64).reshape(sums.shape)
+        least = np.sort(held.min(axis=1))[groups - need]
+        out.append(_mix(sums + _mix(place + M1) + held.astype(np.uint64) * M2)[held >= least])
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def sketch(x: np.ndarray, cells: int = 512) -> bytes:
-    """How many elements fall in each cell of the hashed domain; what two sets share in no cell exceeds the smaller count."""
-    return np.bincount((x >> np.uint64(20)).astype(np.int64) % cells, minlength=cells).astype(np.uint32 if len(x) > 65_535 else np.uint16).tobytes()
-
-
-def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sketches leave room for den * |intersection| >= num * |union|; drops no linked pair."""
-    held = sets.select("id", "sketch", "n")
-
-    def room(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = lambda s, n: np.frombuffer(s, np.uint32 if n > 65_535 else np.uint16).astype(np.int64)
-        for rows in batches:
-            most = np.array([np.minimum(counts(s, m), counts(t, n)).sum() for s, m, t, n in zip(rows["s"], rows["m"], rows["t"], rows["n"], strict=True)], np.int64)
-            yield rows.loc[den * most >= num * (rows["m"].to_numpy() + rows["n"].to_numpy() - most), ["a", "b"]]
-
-    one = pairs.join(held.toDF("a", "s", "m"), "a").join(held.toDF("b", "t", "n"), "b")
-    return cut(one.select("a", "b", "s", "m", "t", "n").mapInPandas(room, "a long, b long").distinct(), "possible")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id reachable. Min labels with pointer jumping."""
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        step = cut(step, "labels")
+        step = labels.join(near.withColumnRenamed("a", "id"), "id", "left")
+        step = cut(step.select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label")), "step")
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        after = cut(step.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        if not after.where("was != label").limit(1).count():
-            return after.select("id", F.col("label").alias("component"))
+        after = step.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label"))
+        after = cut(after, "labels")
+        moved = after.where("was != label").limit(1).count()
+        discard(labels, step)
+        if not moved:
+            discard(edges)
+            out = after.select("id", F.col("label").alias("component"))
+            out.cut_path = after.cut_path
+            return out
         labels = after.select("id", "label")
+        labels.cut_path = after.cut_path
+
 
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, partners: int = 256) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have den * |intersection| >= num * |union|.
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have den * |intersection| >= num * |union|."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(64))  # a hub's partners are dealt into 64 groups, each with its own copy of the hub
-    dealt = pairs.select("a", "b", salt.alias("salt"))
-    wanted = dealt.select(F.col("a").alias("id"), "a", "salt").union(dealt.select(F.col("b").alias("id"), "a", "salt")).distinct()
+    The partners of each a are dealt into groups of about `partners`, each with its own copy of a, so a group is bounded.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / partners).alias("salts"))
+    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    wanted = dealt.select(F.col("b").alias("id"), "a", "salt").union(dealt.select(F.col("a").alias("id"), "a", "salt").distinct())
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, last = _WordHashes(), (None, b"")
+        seen, last = _WordHashes(), (None, None, b"")
         for rows in batches:
             out = []
             for i, t in zip(rows["id"], rows["text"], strict=True):
-                if i != last[0]:
-                    last = (i, shingle_hashes(t, k, seen).tobytes())
-                out.append(last[1])
+                if (i, t) != last[:2]:
+                    last = (i, t, shingle_hashes(t, k, seen).tobytes())
+                out.append(last[2])
             yield pd.DataFrame({"a": rows["a"], "salt": rows["salt"], "id": rows["id"], "s": out})
 
     held = texts.join(wanted, "id").mapInPandas(sets, "a long, salt long, id long, s binary")
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        hub = rows["a"].iloc[0]
-        x = np.frombuffer(rows["s"][rows["id"] == hub].iloc[0], np.uint64)
-        found = []
-        for i, s in zip(rows["id"], rows["s"], strict=True):
-            y = np.frombuffer(s, np.uint64)
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            if i != hub and den * both >= num * (len(x) + len(y) - both):
-                found.append(i)
-        return pd.DataFrame({"a": np.full(len(found), hub, np.int64), "b": np.array(found, np.int64)})
+        hub, found = int(rows["a"].iloc[0]), set()
+        own = rows["id"] == hub
+        for x in (np.frombuffer(s, np.uint64) for s in rows["s"][own].unique() if len(s)):
+            for i, s in zip(rows["id"][~own], rows["s"][~own], strict=True):
+                y = np.frombuffer(s, np.uint64)
+                at = np.searchsorted(x, y)
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                if len(y) and den * both >= num * (len(x) + len(y) - both):
+                    found.add(i)
+        return pd.DataFrame({"a": np.full(len(found), hub, np.int64), "b": np.array(sorted(found), np.int64)})
 
     return held.groupBy("a", "salt").applyInPandas(linked, "a long, b long")
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int, cells: int = 1 << 18) -> DataFrame:
-    """Pairs (a, b) of members (id, c) in different components c whose rarest elements meet; misses no linked pair.
+def _rare_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int, cells: int = 1 << 18) -> DataFrame:
+    """Pairs (a, b) of members (id, sig, c) that share a signature, lie in different components c and whose rarest elements
+    meet. A set's prefix holds its n - ceil(t n) + 1 rarest elements; linked sets share one of those, so no link is lost.
 
     Elements go by the count of their cell, of `cells` cells of the hashed domain filled by all members, then by hash: any
     order that all sets follow keeps the guarantee. The table of cells has a fixed size, so tasks can hold it. At the
     first element both sets hold, what is left of either bounds the intersection.
     """
-    chosen = texts.join(members.select("id"), "id", "left_semi")
+    chosen = texts.join(members.select("id").distinct(), "id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, total = _WordHashes(), np.zeros(cells, np.int64)
@@ -197,66 +195,80 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: i
                 out.append(np.column_stack([np.full(len(first), i), np.full(len(first), n), x[first].view(np.int64), np.arange(len(first))]))
             yield pd.DataFrame(np.concatenate(out), columns=["id", "n", "e", "before"])
 
-    found = chosen.mapInPandas(rarest, "id long, n long, e long, before long")
-    prefix = cut(found.selectExpr("*", "min(id) over (partition by e) as lo", "max(id) over (partition by e) as hi").where("lo != hi").select("id", "n", "e", "before").join(members, "id"), "prefix")
-    a, b = prefix.toDF("a", "n", "e", "pa", "ca"), prefix.toDF("b", "m", "e", "pb", "cb")
+    found = chosen.mapInPandas(rarest, "id long, n long, e long, before long").join(members.select("id", "c").distinct(), "id")
+    found = cut(found, "prefixes")
+    open_e = found.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("e")
+    prefix = cut(found.join(open_e, "e", "left_semi"), "prefix")
+    a, b = prefix.select("id", "n", "e", "before", "c").toDF("a", "n", "e", "pa", "ca"), prefix.select("id", "n", "e", "before", "c").toDF("b", "m", "e", "pb", "cb")
     met = a.join(b, "e").where("a < b and ca != cb").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
-    return met.where(f"least(n - pa, m - pb) * {den + num} >= {num} * (n + m)").select("a", "b").distinct()
+    met = cut(met.where(f"least(n - pa, m - pb) * {den + num} >= {num} * (n + m)").select("a", "b").distinct(), "rare")
+    one, two = members.select(F.col("id").alias("a"), "sig"), members.select(F.col("id").alias("b"), "sig")
+    pairs = cut(met.join(one, "a").join(two, ["b", "sig"]).select("a", "b").distinct(), "cross")
+    discard(found, prefix, met)
+    return pairs
 
 
 def similar_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = _WordHashes()
-        for rows in batches:
-            found = [shingle_hashes(t, k, seen) for t in rows["text"]]
-            made = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
-            yield pd.DataFrame({"id": rows["id"], "n": [len(x) for x in found], "key": [x.hex() for x in made], "mark": [int.from_bytes(x[:8], "little", signed=True) for x in made], "sketch": [sketch(x) for x in found]})
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = rows.where("id is not null")
+    shape = "named boolean, id long, n long, key string, mark long, sigs array<bigint>"
 
-    sets = cut(texts.mapInPandas(keys, "id long, n long, key string, mark long, sketch binary"), "keys")
-    some = sets.where("n > 0 and id is not null")
-    classes = cut(some.groupBy("key", "mark", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("held")), "classes")
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, done = _WordHashes(), set()  # marks of one partition: equal sets sign once
         for rows in batches:
-            for start in range(0, len(rows), 200):
-                marks, signs = [], [np.empty(0, np.int64)]
-                for t in rows["text"].iloc[start : start + 200]:
+            for start in range(0, len(rows), 500):
+                some, out = rows.iloc[start : start + 500], []
+                for named, i, t in zip(some["named"], some["id"], some["text"], strict=True):
                     x = shingle_hashes(t, k, seen)
-                    mark = int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
-                    if mark not in done:
+                    key = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                    mark = int.from_bytes(key[:8], "little", signed=True)
+                    new = named and mark not in done
+                    if new:
                         done.add(mark)
-                        signs.append(signatures(x, num, den))
-                        marks.append(np.full(len(signs[-1]), mark, np.int64))
-                yield pd.DataFrame({"mark": np.concatenate([signs[0], *marks]), "sig": np.concatenate(signs)})
-
-    signed = texts.where("id is not null").mapInPandas(sign, "mark long, sig long")
-    met = signed.selectExpr("mark", "sig", "min(mark) over (partition by sig) as lo", "max(mark) over (partition by sig) as hi").where("lo != hi")
-    met = cut(met.select("mark", "sig").distinct(), "met")
+                    out.append((named, i, len(x), key.hex(), mark, signatures(x, num, den) if new else x[:0].view(np.int64)))
+                yield pd.DataFrame(out, columns=["named", "id", "n", "key", "mark", "sigs"])
+
+    # A null doc_id travels as 0 with a flag: beside a null, pandas would hold 64-bit ids as rounded floats.
+    flagged = rows.select(F.col("id").isNotNull().alias("named"), F.coalesce("id", F.lit(0)).alias("id"), "text")
+    wide = cut(flagged.mapInPandas(signed, shape), "signed")
+    sets = cut(wide.drop("sigs"), "keys")
+    classes = cut(sets.where("named and n > 0").groupBy("key", "mark", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("held")), "classes")
+
+    signs = wide.select("mark", F.explode("sigs").alias("sig"))
+    shared = signs.groupBy("sig").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("sig")
+    shared = cut(shared, "shared")
+    met = cut(signs.join(shared, "sig", "left_semi").distinct(), "met")
+    discard(wide, shared)
     # From here on classes go by their smallest doc_id. Sets that share a mark by chance both stand for it.
-    named = met.join(classes.select("mark", "n", F.col("rep").alias("id")), "mark").select("sig", "id", "n")
-    buckets = cut(named.selectExpr("sig", "id", "n", "min(struct(id, n)) over (partition by sig) as first"), "buckets")
+    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    weights = met.join(sizes, "sig").groupBy("mark").agg(F.sum("size").alias("weight"))
+    nodes = classes.join(weights, "mark").select("mark", F.col("rep").alias("id"), "n", "weight")
+    buckets = cut(met.join(nodes, "mark").select("sig", "id", "n", "weight").distinct(), "buckets")
+    # The member that meets others most often is compared with all of its bucket: of near copies that is often the original.
+    hubs = buckets.groupBy("sig").agg(F.max(F.struct("weight", F.negative("id").alias("last"), "n")).alias("hub"))
     near = f"least(n, m) * {den} >= greatest(n, m) * {num}"
-    star = buckets.selectExpr("first.id as a", "first.n as m", "id as b", "n").where("a != b").where(near)
+    star = buckets.select("sig", "id", "n").join(hubs, "sig").selectExpr("-hub.last as a", "hub.n as m", "id as b", "n").where("a != b").where(near)
     star = cut(star.select("a", "b").distinct(), "star")
-    links = cut(_verified(_possible(star, sets, num, den), texts, k, num, den), "links")
+    pool = cut(texts.join(buckets.select("id").distinct(), "id", "left_semi"), "pool")
+    links = cut(_verified(star, pool, k, num, den), "links")
     comps = components(links)
     # Members of a bucket that are not in one component yet are compared across components, but for the pairs done above.
     member = cut(buckets.join(comps, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c")), "members")
     open_sigs = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi and m > 2").select("sig")
-    member = cut(member.join(open_sigs, "sig", "left_semi").select("id", "c").distinct(), "open")
-    more = _prefix_pairs(member, texts, k, num, den).join(star, ["a", "b"], "left_anti")
-    links = links.union(_verified(_possible(cut(more, "cross"), sets, num, den), texts, k, num, den))
-    comps = cut(components(links), "components")
+    opened = cut(member.join(open_sigs, "sig", "left_semi"), "open")
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = _rare_pairs(opened, pool, k, num, den)
+    found = cut(_verified(cross.join(done, ["a", "b"], "left_anti"), pool, k, num, den), "links")
+    comps = components(links.union(found))
 
-    reach = classes.join(comps, classes["rep"] == comps["id"], "left").select("key", F.coalesce("component", "rep").alias("component"), "held")
+    reach = classes.join(comps, classes["rep"] == comps["id"], "left").select("key", F.coalesce("component", "rep").alias("component"), "held", "rep")
     # Classes of one document are their own answer; the rest are joined by key.
-    reach = cut(reach.where("held > 1 or component is not null"), "reach")
+    reach = cut(reach.where("held > 1 or component != rep"), "reach")
+    discard(met, buckets, star, pool, links, member, opened, cross, found, comps, classes)
     out = sets.join(reach.select("key", "component"), "key", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
+    ids = F.when(F.col("named"), F.col("id"))
+    return out.select(ids.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("named") & (F.col("n") > 0), F.coalesce("component", "id")).otherwise(ids).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
