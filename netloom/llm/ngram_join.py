@@ -202,9 +202,10 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int
     a, b = prefix.select("id", "n", "e", "before", "c").toDF("a", "n", "e", "pa", "ca"), prefix.select("id", "n", "e", "before", "c").toDF("b", "m", "e", "pb", "cb")
     met = a.join(b, "e").where("a < b and ca != cb").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
     met = cut(met.where(f"least(n - pa, m - pb) * {den + num} >= {num} * (n + m)").select("a", "b").distinct(), "rare")
-    one, two = members.select(F.col("id").alias("a"), "sig"), members.select(F.col("id").alias("b"), "sig")
-    pairs = cut(met.join(one, "a").join(two, ["b", "sig"]).select("a", "b").distinct(), "cross")
-    discard(found, prefix, met)
+    held = cut(members.groupBy("id").agg(F.collect_set("sig").alias("sigs")), "held")  # as many as one set signs
+    both = met.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
+    pairs = cut(both.where(F.arrays_overlap("sa", "sb")).select("a", "b"), "cross")
+    discard(found, prefix, met, held)
     return pairs
 
 
