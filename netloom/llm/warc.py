@@ -7,8 +7,8 @@ Bundle names are drawn anew by each attempt of a task and the index lists only t
 executor leaves at most an orphan file.
 
 Edge cases: null html is an empty payload; of equal payloads the smallest id is the response and the others revisits of
-it; rows that repeat a page_id with an equal payload are alike; rows with a null id are written without a target and are
-never what others refer to; an empty table writes nothing; extra columns are ignored.
+it; rows that repeat a page_id with an equal payload are alike, record id included; rows with a null id are written without
+a page id and are never what others refer to; ids keep all 64 bits; an empty table writes nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 import zstandard
@@ -42,24 +43,32 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _record_id(page_id: int | None, digest: str) -> str:
+    """A response's id follows from its page and payload, so that revisits elsewhere can name it; a page without an id gets a random one."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record. A revisit has no block; it names the response, its digest and the payload's length."""
-    kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Payload-Digest: sha1:{digest_of(payload)}", f"X-Payload-Length: {len(payload)}"]
+    kind, digest = "response" if refers_to is None else "revisit", digest_of(payload)
+    name = _record_id(page_id, digest) if refers_to is None else f"<urn:uuid:{uuid.uuid4()}>"
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url:
         head.append("WARC-Target-URI: " + "".join(url.splitlines()))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     block = b"" if refers_to is not None else payload
     head.append(f"Content-Length: {len(block)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def records(frame: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(frame):
         end = frame.index(b"\r\n\r\n", at)
-        fields = dict(x.split(": ", 1) for x in frame[at:end].decode().split("\r\n")[1:])
+        fields = dict(x.split(": ", 1) for x in frame[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:])
         size = int(fields["Content-Length"])
         yield fields, frame[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
@@ -106,10 +115,13 @@ def write_bundles(pages: DataFrame, folder: str | None = None, frame_bytes: int
     store, name = _store(folder)
     store.create_dir(name, recursive=True)
     payload = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", "url" if "url" in pages.columns else F.lit(None).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("key"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url" if "url" in pages.columns else F.lit(None).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("key"))
     again = keyed.groupBy("key").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
     marked = keyed.join(cut(again.select("key", "first"), "repeated"), "key", "left")
-    marked = marked.select("page_id", "url", "html", F.when(F.col("first") != F.coalesce("page_id", F.col("first") + 1), F.col("first")).alias("refers_to"))
+    # Nulls travel as flags beside 0: in a pandas column with a null, 64-bit ids would become rounded floats.
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    marked = marked.select(F.col("page_id").isNotNull().alias("named"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "url", "html", again.alias("again"), F.coalesce("first", F.lit(0)).alias("first"))
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held, waiting, done = None, bytearray(), [], []
@@ -125,14 +137,14 @@ def write_bundles(pages: DataFrame, folder: str | None = None, frame_bytes: int
             nonlocal out, done
             flush()
             out.close()
-            yield pd.DataFrame(done, columns=[x.split()[0] for x in INDEX.split(", ")]).astype({"page_id": "Int64"})
+            yield pd.DataFrame({x.split()[0]: pd.array([r[i] for r in done], "Int64") if i == 0 else [r[i] for r in done] for i, x in enumerate(INDEX.split(", "))})
             out, done = None, []
 
         for rows in batches:
-            for page_id, url, html, first in zip(rows["page_id"], rows["url"], rows["html"], rows["refers_to"], strict=True):
+            for named, page_id, url, html, again, first in rows.itertuples(index=False):
                 out = out or BundleWriter(f"{folder}/{uuid.uuid4().hex}.warc.zst")
-                page = None if pd.isna(page_id) else int(page_id)
-                raw = record(page, url, html.encode("utf-8", "surrogatepass"), None if pd.isna(first) else int(first))
+                page = int(page_id) if named else None
+                raw = record(page, url, html.encode("utf-8", "surrogatepass"), int(first) if again else None, date)
                 waiting.append((page, len(held), len(raw)))
                 held += raw
                 if len(held) >= frame_bytes:
@@ -150,7 +162,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
     bundles = index.select("bundle").distinct()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = lambda x: int(x[10:-1]) if x and len(x) > 11 else None
+        number = lambda x: int(x) if x else None
         for rows in batches:
             for path in rows["bundle"]:
                 store, name = _store(path)
@@ -161,8 +173,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
                             said, length = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
                             if h["WARC-Type"] == "response" and (digest_of(block), len(block)) != (said, length):
                                 raise ValueError(f"damaged record {h['WARC-Record-ID']} in {path}")
-                            found.append((number(h["WARC-Record-ID"]), length, said, h["WARC-Type"], number(h.get("WARC-Refers-To"))))
-                        yield pd.DataFrame(found, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            found.append((number(h.get("X-Page-ID")), length, said, h["WARC-Type"], number(h.get("X-Refers-To-Page"))))
+                        columns = dict(zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), map(list, zip(*found, strict=True)), strict=True))
+                        yield pd.DataFrame(columns | {c: pd.array(columns[c], "Int64") for c in ("page_id", "refers_to")})
 
     spread = bundles.repartition(max(1, min(bundles.count(), 100_000)))
     return spread.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
