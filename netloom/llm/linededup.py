@@ -8,7 +8,8 @@ looked up in the reference table, so false positives change nothing. Filters of
 broadcast; larger ones stay where they are, and the keys are dealt to their shard in blocks of bounded size.
 
 Edge cases: a null or empty text is one empty line; null doc_ids hold no keys and lose nothing; rows that repeat a doc_id
-count as one document; an empty table gives empty results; extra columns are ignored.
+count as one document; an empty table gives empty results; extra columns of any name
+stay in `dedup_lines` and are ignored elsewhere; of equal lines in one document all stay or all go.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import LOWER, UPPER, ascii_lower, cut
+from netloom.llm.common import LOWER, UPPER, ascii_lower, cut, fresh
 
 BLANK = " \t\n\x0b\x0c\r"
 LOWER_ASCII = str.maketrans(UPPER, LOWER)
@@ -242,11 +243,10 @@ def _kept(text: str | None, keys: list[str] | None, min_len: int) -> tuple[str,
 
 
 def dedup_lines(docs: DataFrame, min_len: int = 10, index: LineIndex | None = None) -> DataFrame:
-    """All columns of `docs`, with `text` reduced to the lines that stay, and `n_lines`, `n_dropped`."""
+    """All columns of `docs`, with `text` reduced to the lines that stay, and `n_lines`, `n_dropped` (in place of such columns of the input)."""
     index = index or LineIndex.build(docs, min_len=min_len)
-    clash = {"keys", "n_lines", "n_dropped"} & set(docs.columns)
-    docs = docs.drop(*clash)
-    both = docs.join(index.losses(), "doc_id", "left")
+    held, made = fresh("lost_keys", docs), fresh("stripped", docs)
+    both = docs.join(index.losses().withColumnRenamed("keys", held), "doc_id", "left")
     lines = F.coalesce(F.col("text"), F.lit(""))
     n_lines = (F.length(lines) - F.length(F.replace(lines, F.lit("\n"))) + 1).cast("bigint")
 
@@ -254,9 +254,9 @@ def dedup_lines(docs: DataFrame, min_len: int = 10, index: LineIndex | None = No
     def strip(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_kept(t, k, min_len) if k is not None and len(k) else (t, 0) for t, k in zip(text, keys, strict=True)], columns=["text", "n"])
 
-    cols = [c for c in docs.columns if c != "text"]
-    out = both.withColumn("s", strip("text", "keys"))
-    return out.select(*cols, F.col("s.text").alias("text"), n_lines.alias("n_lines"), F.col("s.n").alias("n_dropped"))
+    cols = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
+    out = both.withColumn(made, strip("text", held))
+    return out.select(*cols, F.col(f"{made}.text").alias("text"), n_lines.alias("n_lines"), F.col(f"{made}.n").alias("n_dropped"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
