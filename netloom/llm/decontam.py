@@ -69,6 +69,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     tokens = lambda d: d.select("id", words(F.col("text")).alias("words"))
     found = _fingerprints(_hashed(tokens(base), "id"), "id", short).join(winnowed.union(exact).distinct() if short else winnowed, "fp", "left_semi").select("id").distinct()
+    found = cut(found, "found")  # its size is known then: few ids are broadcast, and no text is shuffled
     near = cut(tokens(base.join(found, "id", "left_semi")), "near")
 
     hits = _hashed(near, "id").select("id", F.size("h").alias("len"), F.posexplode_outer("g").alias("pos", "fp")).join(winnowed, "fp", "left_semi")
