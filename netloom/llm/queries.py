@@ -33,7 +33,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=mixing.WEIGHTS).select("doc_id", "n_tokens", "copies")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
