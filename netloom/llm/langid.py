@@ -2,8 +2,8 @@
 
 Each language has a codeword of bits; a binary model on hashed byte 1-3-gram counts of the lower-cased letters predicts
 each bit. Decoding takes the language of least logistic loss over the bits, weighted by each bit's accuracy in training.
-The models learn from a bounded sample (`sample` rows, smallest hashes of doc_id first) of documents with a language
-whose crc32(doc_id as text) mod 4 is not 2. Languages beyond the sample are not predicted.
+The models learn from a bounded sample (`sample` rows, dealt evenly over the languages, smallest hashes of doc_id first) of
+documents with a language whose crc32(doc_id as text) mod 4 is not 2. Of more than `sample` languages the rarest are not learned.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; if nothing can be learned all are `und`; ties go
 to the alphabetically first language; repeated rows are predicted alike; a null doc_id is not held out and never learned
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.linear import bit_models
@@ -77,6 +77,38 @@ class Model:
         return np.array(self.names, object)[best], p[np.arange(len(p)), best], close
 
 
+def train(docs: DataFrame, sample: int = 4000) -> Model:
+    """Learn from `sample` rows at most, dealt evenly over the languages, however rare one is; a language's rows of smallest hash go first."""
+    known = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    each = max(1, sample // max(1, len(counts)))
+    # A row's chance lets about four times as many through as are taken; only those are ranked.
+    below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * (each + 4) / n))]) if counts else F.create_map().cast("map<string,double>")
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    picked = known.where(chance < below[F.col("lang")]).select("doc_id", "lang", "text", F.row_number().over(first).alias("r")).where(F.col("r") <= each)
+
+    def view(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "lang": rows["lang"], "x": [features(t).tobytes() for t in rows["text"]]})
+
+    got = picked.select("doc_id", "lang", "text").mapInPandas(view, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang", "x"], ignore_index=True)
+    x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]) if len(got) else np.empty((0, DIM), np.float32)
+    return Model(x, got["lang"].to_numpy())
+
+
+def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, its share of the decoding, and whether the runner-up is close."""
+        margin = np.c_[x, np.ones(len(x), x.dtype)] @ self.w
+        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]) @ (self.trust / self.trust.sum())
+        p = np.exp(-loss * len(self.trust))
+        p /= p.sum(axis=1, keepdims=True)
+        best = loss.argmin(axis=1)
+        top = np.sort(p, axis=1)
+        close = top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0) < 0.2
+        return np.array(self.names, object)[best], p[np.arange(len(p)), best], close
+
+
 def train(docs: DataFrame, sample: int = 4000) -> Model:
     known = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     picked = known.select("doc_id", F.xxhash64("doc_id").alias("r")).orderBy("r", "doc_id").limit(sample).select("doc_id").distinct()
