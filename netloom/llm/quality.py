@@ -1,8 +1,8 @@
 """Co-training quality classifier over two views of a document: its text and its metadata.
 
 Each view has a logistic model. They start from a bounded sample of labelled rows (`labelled`, smallest hashes first); in
-each round a view labels the rows of a bounded unlabelled pool (`pool`) on which it is confident for the other view's next
-fit. Each view is then calibrated on labelled rows held back from fitting, and a logistic model over both calibrated views
+each round a view labels, of all unlabelled rows, those on which it is confident for the other view's next Newton steps,
+whose sums Spark takes over the table. Each view is then calibrated on labelled rows held back from fitting, and a logistic model over both calibrated views
 scores all documents.
 
 Edge cases: null and empty texts, languages and sources have defined features and get a score; with no labels or one class
@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import cut, discard
 from netloom.llm.linear import Logistic, sigmoid
 
 SYMBOLS = [ord(c) for c in "#$%&*@^~<>{}[]=+\\/_"]
@@ -60,45 +61,104 @@ def _views(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return text, meta
 
 
-def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 3, confident: float = 0.97) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def _standard(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    return np.c_[np.ones(len(x)), (x - mean) / sd]
+
+
+def _sums(rows: DataFrame, cells: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows (a, b) of what `of` makes of a batch, `cells` numbers. Partitions add up first; sums of decimals are exact in any order."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(cells)
+        for batch in batches:
+            total += of(*(np.stack([np.frombuffer(v, np.float32) for v in batch[c]]).astype(float) for c in "ab")) if len(batch) else 0
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "v": total[at]})
+
+    found = rows.select("a", "b").mapInPandas(add, "cell int, v double").groupBy("cell").agg(F.sum(F.col("v").cast("decimal(38,10)")).cast("double").alias("v")).collect()
+    out = np.zeros(cells)
+    for r in found:
+        out[r["cell"]] = r["v"]
+    return out
+
+
+def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, rest: DataFrame, rounds: int = 3, steps: int = 3, confident: float = 0.97, pull: float = 0.3) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Co-train on labelled views x and all unlabelled rows of `rest`.
+
+    In each round a view's model, calibrated on labelled rows held back, labels the rows it is confident of for the other view, which then takes `steps` Newton
+    steps over the labelled rows and those. A pseudo-labelled row weighs `pull` of a labelled one, less where together they would weigh more than `pull` times all labelled ones.
+    """
     held = np.arange(len(y)) % 4 == 3
-    extra = [(np.empty((0, v.shape[1])), np.empty(0)) for v in x]
-    models = []
-    for _ in range(rounds + 1):
-        models = [Logistic().fit(np.r_[v[~held], e], np.r_[y[~held], ey], np.r_[np.ones((~held).sum()), np.full(len(ey), 0.3)]) for v, (e, ey) in zip(x, extra, strict=True)]
-        sure = [(p > confident) | (p < 1 - confident) for p in (sigmoid(m.logit(v)) for m, v in zip(models, pool, strict=True))]
-        said = [(m.logit(v) > 0).astype(float) for m, v in zip(models, pool, strict=True)]
-        extra = [(pool[i][sure[1 - i]], said[1 - i][sure[1 - i]]) for i in (0, 1)]
-    both = lambda a, b: np.c_[models[0].logit(a), models[1].logit(b)].clip(-12, 12)
-    z = both(x[0][held], x[1][held])
-    calibrated = [Logistic().fit(z[:, [i]], y[held]) for i in (0, 1)]
-    views = lambda a, b: np.c_[calibrated[0].logit(both(a, b)[:, [0]]), calibrated[1].logit(both(a, b)[:, [1]])]
+    train = [v[~held] for v in x]
+    first = [Logistic().fit(v, y[~held]) for v in train]
+    scale = [(m.mean, np.where(m.sd > 1e-6, m.sd, 1.0)) for m in first]  # a feature that no labelled row has keeps its own scale
+    w = [m.w for m in first]
+    calibrated = lambda w: [Logistic().fit((_standard(v[held], *s) @ t).clip(-12, 12)[:, None], y[held]) for v, s, t in zip(x, scale, w, strict=True)]
+    both_classes = 0 < y[~held].sum() < (~held).sum()
+    sizes = [len(v) for v in w]
+    for _ in range(rounds if both_classes else 0):
+        teachers = [(v.copy(), c) for v, c in zip(w, calibrated(w), strict=True)]
+
+        def taught(a: np.ndarray, b: np.ndarray, by: list[tuple[np.ndarray, Logistic]] = teachers) -> list[tuple[np.ndarray, np.ndarray]]:
+            """For each view the rows (standardised, label) that the other view, calibrated, is confident of."""
+            z = [_standard(v, *s) for v, s in zip((a, b), scale, strict=True)]
+            p = [sigmoid(c.logit((v @ t).clip(-12, 12)[:, None])) for v, (t, c) in zip(z, by, strict=True)]
+            sure = [(q > confident) | (q < 1 - confident) for q in p]
+            return [(z[i][sure[1 - i]], (p[1 - i][sure[1 - i]] > 0.5).astype(float)) for i in (0, 1)]
+
+        n = _sums(rest, 2, lambda a, b, t=taught: np.array([len(k) for _, k in t(a, b)], float))
+        share = [min(pull, pull * len(train[0]) / max(1.0, c)) for c in n]
+        for _ in range(steps):
+            now = [v.copy() for v in w]
+
+            def slopes(a: np.ndarray, b: np.ndarray, t: Callable = taught, now: list[np.ndarray] = now) -> np.ndarray:
+                """Gradient and Hessian of both views, end to end."""
+                out = []
+                for (z, k), v in zip(t(a, b), now, strict=True):
+                    p = sigmoid(z @ v)
+                    out += [z.T @ (p - k), ((z * (p * (1 - p))[:, None]).T @ z).ravel()]
+                return np.concatenate(out)
+
+            found = _sums(rest, sum(d + d * d for d in sizes), slopes)
+            for i, d in enumerate(sizes):
+                mine, found = found[: d + d * d] * share[i], found[d + d * d :]
+                z = _standard(train[i], *scale[i])
+                p = sigmoid(z @ w[i])
+                ridge = np.r_[1e-6, np.ones(d - 1)]
+                slope = z.T @ (p - y[~held]) + mine[:d] + ridge * w[i]
+                curve = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + mine[d:].reshape(d, d) + np.diag(ridge)
+                step = np.linalg.solve(curve, slope)
+                w[i] = w[i] - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+    logits = lambda a, b: np.c_[_standard(a, *scale[0]) @ w[0], _standard(b, *scale[1]) @ w[1]].clip(-12, 12)
+    one, two = calibrated(w)
+    views = lambda a, b: np.c_[one.logit(logits(a, b)[:, [0]]), two.logit(logits(a, b)[:, [1]])]
     last = Logistic().fit(views(x[0][held], x[1][held]), y[held])
     return lambda a, b: sigmoid(last.logit(views(a, b)))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 4000) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, **how: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("y"))
     rank = F.xxhash64("doc_id")
-    some = known.orderBy(rank, "doc_id", "y").limit(labelled)
-    rest = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(rank, "doc_id").limit(pool).withColumn("y", F.lit(None).cast("double"))
-    shape = "doc_id long, y double, a array<double>, b array<double>"
 
     def view(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            a, b = _views(rows)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "y": rows["y"], "a": list(a), "b": list(b)})
+            a, b = (v.astype(np.float32) for v in _views(rows))
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "a": [v.tobytes() for v in a], "b": [v.tobytes() for v in b]})
 
-    picked = F.broadcast(some.union(rest))  # at most labelled + pool rows of two numbers
-    got = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars")).join(picked, "doc_id").mapInPandas(view, shape).limit(2 * (labelled + pool)).toPandas().sort_values("doc_id", kind="stable")
-    widths = (len(text_view("")), META)
-    arrays = lambda rows: tuple(np.array(list(rows[c]), float).reshape(-1, w) for c, w in zip("ab", widths, strict=True))
-    yes = got["y"].notna().to_numpy(bool)
-    mixed = np.random.default_rng(5).permutation(int(yes.sum()))
-    return fit(tuple(v[mixed] for v in arrays(got[yes])), got[yes]["y"].to_numpy(float)[mixed], arrays(got[~yes]))
+    seen = docs.where("doc_id is not null").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
+    views = cut(seen.mapInPandas(view, "doc_id long, a binary, b binary"), "views")
+    some = known.orderBy(rank, "doc_id", "y").limit(labelled)
+    got = views.join(F.broadcast(some), "doc_id").orderBy(rank, "doc_id", "y", F.xxhash64("a", "b")).limit(labelled).toPandas()  # `some` has `labelled` rows at most
+    rest = cut(views.join(known, "doc_id", "left_anti").select("a", "b"), "unlabelled")
+    discard(views)
+    arrays = tuple(np.array([np.frombuffer(v, np.float32) for v in got[c]], float).reshape(-1, w) for c, w in zip("ab", (len(text_view("")), META), strict=True))
+    mixed = np.random.default_rng(5).permutation(len(got))
+    model = fit(tuple(v[mixed] for v in arrays), got["y"].to_numpy(float)[mixed], rest, **how)
+    discard(rest)
+    return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, **how: int) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
     """All columns of docs (a `quality_score` of its own makes way) and quality_score, the chance of quality 1."""
     docs = docs.drop("quality_score")
     model = train(docs, labels, **how)
