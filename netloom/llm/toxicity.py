@@ -1,11 +1,11 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character trigram model and the VOCABULARY most frequent words are counted over all documents. Spans that look disguised (leetspeak inside words, letters spaced
-out one by one, letters repeated three times or more) become lattices of possible characters, where a separator may be a
-word boundary or nothing and a sign at an edge may be nothing, and Viterbi decoding under that model restores the likeliest
-words. Restored texts are scored by a lexicon of words and word beginnings learned from a
-bounded sample of labelled rows (`sample`, smallest hashes first; crc32(doc_id as text) mod 4 is not 2), combined by a
-logistic model fitted on the other half of that sample.
+A character trigram model and the VOCABULARY most frequent words are counted over all documents. Spans that look disguised
+(leetspeak inside words, letters spaced out one by one, letters repeated three times or more) become lattices of possible
+characters, where a separator may be a word boundary or nothing and a sign at an edge may be nothing, and Viterbi decoding
+under that model restores the likeliest words, in time linear in the text's length. Restored texts are scored by a lexicon
+of words and word beginnings learned from a bounded sample of labelled rows (`sample`, smallest hashes first; crc32(doc_id
+as text) mod 4 is not 2), combined by a logistic model fitted on the other half of that sample.
 
 Edge cases: null and empty texts score as texts without any lexicon entry; if there are no labels or one class, the score
 is the constant rate; conflicting labels of one doc_id all count; a null doc_id is not held out and never learned from;
@@ -23,19 +23,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import cut, discard
 from netloom.llm.langid import held_out
 from netloom.llm.linear import Logistic, sigmoid
 
 #: What a disguised character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "(": "c"}
 SIGNS = re.escape("".join(LEET))
-SPACED = re.compile(rf"(?<![^\W_])[a-z{SIGNS}](?:[ \t._-]+[a-z{SIGNS}]){{2,}}(?![^\W_])")
-INSIDE = re.compile(rf"(?<![^\W_])[a-z{SIGNS}]*(?:[a-z][{SIGNS}]+[a-z]|[{SIGNS}]+[a-z]{{2,}})[a-z{SIGNS}]*")
+# Possessive repeats, and looks behind wherever a search could start inside a run: each takes time linear in the text.
+SPACED = re.compile(rf"(?<![^\W_])[a-z{SIGNS}](?:[ \t._-]++[a-z{SIGNS}]){{2,}}(?![^\W_])")
+MIXED = re.compile(rf"(?<![^\W_])[a-z{SIGNS}]++")
+INSIDE = re.compile(rf"[a-z][{SIGNS}]++[a-z]|(?<![{SIGNS}])[{SIGNS}]++[a-z]{{2}}")
+LETTERS, THRICE = re.compile(r"(?<![a-z])[a-z]++"), re.compile(r"([a-z])\1\1")
 #: Signs that are as likely plain punctuation before or after a word; others are dropped there at the cost DROPPED.
 BEFORE, AFTER, DROPPED = "(*", "!(*+|", -3.0
 VOCABULARY, UNKNOWN = 50_000, -4.0
-RUNS = re.compile(r"([^ \t._-])(?:[ \t._-]*\1)*")
-REPEATED = re.compile(r"[a-z]*([a-z])\1{2,}[a-z]*")
+RUNS = re.compile(r"([^ \t._-])(?:[ \t._-]*+\1)*+")
 WORD = re.compile(r"[^\W\d_]+")
 A = 27
 CODES = np.array([b - 96 if 97 <= b <= 122 else 0 for b in range(256)], np.int32)
@@ -89,7 +92,8 @@ def viterbi(span: str, lm: list, words: dict[str, float] | None = None, twice: f
         return score if not words or word == "" else max(score + UNKNOWN, begun + known) if word and (known := words[word]) is not None else score + UNKNOWN
 
     # State: the last two letters and the word so far, or None if no known word begins so. Value: score, text, score where the word began.
-    best: dict[tuple, tuple[float, str, float]] = {(0, 0, ""): (0.0, "", 0.0)}
+    # The text is a chain of its pieces, last first, so that a step takes the same time at any length.
+    best: dict[tuple, tuple[float, tuple, float]] = {(0, 0, ""): (0.0, (), 0.0)}
     gaps = [len(g) for g in re.findall(r"[ \t._-]+", span)]
     least, end = min(gaps, default=0), 0
     for m in RUNS.finditer(span):
@@ -105,7 +109,7 @@ def viterbi(span: str, lm: list, words: dict[str, float] | None = None, twice: f
         options = options or [("", 0.0)]
         if gap:
             options = [(t, s + cost) for t, s in options] + [(" " + t, s) for t, s in options if t]
-        after: dict[tuple, tuple[float, str, float]] = {}
+        after: dict[tuple, tuple[float, tuple, float]] = {}
         for (x, y, word), (score, done, begun) in best.items():
             for text, cost in options:
                 # `cost` counts for known words too
@@ -121,10 +125,14 @@ def viterbi(span: str, lm: list, words: dict[str, float] | None = None, twice: f
                         w = ""
                 key = (*st, w)
                 if key not in after or s > after[key][0]:
-                    after[key] = (s, done + text, start)
+                    after[key] = (s, (text, done), start)
         best = after
-    final = lambda x: (ended(x[1][0] + lm[x[0][0]][x[0][1]][0], x[1][2], x[0][2]), x[1][1])
-    return max(best.items(), key=final)[1][1]
+    final = lambda x: (ended(x[1][0] + lm[x[0][0]][x[0][1]][0], x[1][2], x[0][2]), x[0][0], x[0][1], x[0][2] or "")
+    chain, pieces = max(best.items(), key=final)[1][1], []
+    while chain:
+        pieces.append(chain[0])
+        chain = chain[1]
+    return "".join(reversed(pieces))
 
 
 def restorer(lm: np.ndarray, words: dict[str, float] | None = None):  # noqa: ANN201
@@ -136,8 +144,8 @@ def restorer(lm: np.ndarray, words: dict[str, float] | None = None):  # noqa: AN
     def restore(text: str | None) -> str:
         t = (text or "").lower()
         t = SPACED.sub(lambda m: swap(m) + " ", t)
-        t = INSIDE.sub(swap, t)
-        return REPEATED.sub(swap, t)
+        t = MIXED.sub(lambda m: swap(m) if INSIDE.search(m.group(0)) else m.group(0), t)
+        return LETTERS.sub(lambda m: swap(m) if THRICE.search(m.group(0)) else m.group(0), t)
 
     return restore
 
@@ -155,9 +163,11 @@ def _facts(found: set[str], lexicon: dict[str, float]) -> list[float]:
 
 def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = 8000, least: int = 4, words: dict[str, float] | None = None) -> tuple[dict[str, float], Logistic]:
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y"))
-    some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
+    rank = F.xxhash64("doc_id")
+    some = F.broadcast(known.orderBy(rank, "doc_id", "y").limit(sample))  # `sample` rows at most
     half = F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(2)).cast("int")
-    rows = docs.select("doc_id", "text").join(some, "doc_id").withColumn("half", half)
+    rows = docs.select("doc_id", "text").join(some, "doc_id").orderBy(rank, "doc_id", "y", F.xxhash64("text")).limit(sample)  # where doc_ids repeat
+    rows = cut(rows.withColumn("half", half), "sample")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore = restorer(lm, words)
@@ -178,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = 8000
         for b in batches:
             yield pd.DataFrame({"x": [_facts(entries(restore(t)), lexicon) for t in b["text"]], "y": b["y"]})
 
-    got = rows.where("half = 1").mapInPandas(facts, "x array<double>, y int").limit(2 * sample).toPandas()
+    got = rows.where("half = 1").mapInPandas(facts, "x array<double>, y int").toPandas()
+    discard(rows)
     return lexicon, Logistic().fit(np.array(list(got["x"]), float).reshape(-1, 4), got["y"].to_numpy(float))
 
 
