@@ -22,6 +22,7 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -63,16 +64,28 @@ def shingle_hashes(text: str | None, k: int, seen: _WordHashes) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def signatures(x: np.ndarray, num: int, den: int, parts: int = 2, spare: int = 1, ratio: float = 1.35, slack: float = 1.15) -> np.ndarray:
+@lru_cache
+def _subsets(parts: int, spare: int) -> tuple[list[list[int]], np.ndarray]:
+    """The subsets of parts - spare parts, and for each bit pattern of such subsets how many parts must differ to spoil them all."""
+    chosen = [list(c) for c in itertools.combinations(range(parts), parts - spare)]
+    cost = np.zeros(1 << len(chosen), np.int64)
+    for pattern in range(1, len(cost)):
+        held = [set(c) for b, c in enumerate(chosen) if pattern >> b & 1]
+        cost[pattern] = next(m for m in range(1, parts + 1) if any(all(c & set(x) for c in held) for x in itertools.combinations(range(parts), m)))
+    return chosen, cost
+
+
+def signatures(x: np.ndarray, num: int, den: int, parts: int = 2, spare: int = 1, ratio: float = 2.0) -> np.ndarray:
     """PartEnum signatures of a sorted distinct set for J >= num/den.
 
-    Two linked sets of n and m elements differ in (n + m)(1 - J)/(1 + J) elements at most; call that k, with the largest m
-    of the band. The domain is dealt into groups of `parts` parts. Any need = ceil((k + 1)/(spare + 1)) groups hold one in
-    which at most `spare` parts differ, so one of its subsets of parts - spare parts is equal in both sets.
+    Two linked sets of n and m elements differ in k = (n + m)(1 - J)/(1 + J) elements at most, taken at the largest m of
+    the band. The domain is dealt into groups of `parts` parts, whose subsets of parts - spare parts are signed. To spoil
+    all signed subsets of a group some number of its parts must differ; where these numbers come to more than k over all
+    groups, one signed subset is equal in both sets.
 
-    A set signs those subsets that hold `least` elements or more: the highest number for which `need` of its groups have
-    only such subsets. Of two linked sets, that of the higher number signs an equal subset, and the other signs it too,
-    since its own number is lower. So the guarantee stands, while subsets of few elements are seldom signed.
+    A set signs those subsets that hold `least` elements or more: the highest number for which that sum still exceeds k.
+    Of two linked sets, that of the higher number signs an equal subset, and the other signs it too, since its own number
+    is lower. So the guarantee stands, while subsets of few elements, which other sets share by chance, are seldom signed.
     """
     n, out = len(x), []
     if not n:
@@ -80,7 +93,7 @@ def signatures(x: np.ndarray, num: int, den: int, parts: int = 2, spare: int = 1
     base = math.log(ratio)
     own = int(math.floor(math.log(n) / base + 1e-9))
     spread = _mix(x + np.uint64(1))
-    chosen = [list(c) for c in itertools.combinations(range(parts), parts - spare)]
+    chosen, cost = _subsets(parts, spare)
     for band in (own, own + 1):
         low, high = math.exp(base * band) * (1 - 1e-6), math.exp(base * (band + 1)) * (1 + 1e-6)
         if band > own and n * den < num * low:
@@ -89,17 +102,20 @@ def signatures(x: np.ndarray, num: int, den: int, parts: int = 2, spare: int = 1
         k = (n + min(int(high), n * den // num)) * (den - num) // (den + num)
         if k == 0:
             continue  # only equal sets link, and those have been collapsed
-        groups = max(-(-(most + 1) // (spare + 1)), math.ceil(slack * (most + 1) / (spare + 1)))
-        need = -(-(k + 1) // (spare + 1))
+        groups = -(-(most + 1) // (spare + 1))
         part = (((x * M1) >> np.uint64(33)) % np.uint64(parts * groups)).astype(np.int64)
         sums = np.zeros(parts * groups, np.uint64)
         np.add.at(sums, part, spread)
         sums, counts = sums.reshape(groups, parts), np.bincount(part, minlength=parts * groups).reshape(groups, parts)
-        sums = np.stack([sums[:, c].sum(axis=1, dtype=np.uint64) for c in chosen], axis=1)
-        held = np.stack([counts[:, c].sum(axis=1) for c in chosen], axis=1)
+        if parts - spare == 1:
+            least = np.sort(counts, axis=None)[-1 - k]
+        else:
+            sums = np.stack([sums[:, c].sum(axis=1, dtype=np.uint64) for c in chosen], axis=1)
+            counts = np.stack([counts[:, c].sum(axis=1) for c in chosen], axis=1)
+            spoil = lambda t: cost[((counts >= t) << np.arange(len(chosen))).sum(axis=1)].sum()  # noqa: B023, E731
+            least = next(t for t in np.unique(counts)[::-1] if spoil(t) > k)
         place = (np.uint64(band) << np.uint64(40)) + np.arange(sums.size, dtype=np.uint64).reshape(sums.shape)
-        least = np.sort(held.min(axis=1))[groups - need]
-        out.append(_mix(sums + _mix(place + M1) + held.astype(np.uint64) * M2)[held >= least])
+        out.append(_mix(sums + _mix(place + M1) + counts.astype(np.uint64) * M2)[counts >= least])
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 

@@ -95,16 +95,18 @@ def test_line_index_updates_touched_shards_only(spark):
     assert counts(back) == counts(part) and lost(back) == lost(part) == lost(back, broadcast_bytes=0)
 
 
-def test_signatures_meet_for_every_linked_pair():
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (50, 100)])
+@pytest.mark.parametrize("shape", [(2, 1), (3, 1), (1, 0), (4, 2)])
+def test_signatures_meet_for_every_linked_pair(num, den, shape):
     rng = np.random.default_rng(2)
-    for n in [1, 2, 3, 6, 7, 8, 12, 13, 20, 47, 100, 333, 1000]:
-        for _ in range(30):
+    for n in [1, 2, 3, 6, 7, 8, 12, 13, 15, 16, 17, 20, 47, 100, 333, 1000]:
+        for _ in range(12):
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             drop, add = rng.integers(0, n // 6 + 2), rng.integers(0, n // 6 + 2)
             y = np.unique(np.r_[rng.permutation(x)[drop:], rng.integers(0, 2**63, add).astype(np.uint64)])
             both = len(np.intersect1d(x, y))
-            if len(y) and 100 * both >= 85 * (len(x) + len(y) - both) and not np.array_equal(x, y):
-                assert np.intersect1d(ngram_join.signatures(x, 85, 100), ngram_join.signatures(y, 85, 100)).size
+            if len(y) and den * both >= num * (len(x) + len(y) - both) and not np.array_equal(x, y):
+                assert np.intersect1d(ngram_join.signatures(x, num, den, *shape), ngram_join.signatures(y, num, den, *shape)).size
 
 
 def test_components_equal_brute_force(spark):
