@@ -125,7 +125,7 @@ def test_components_equal_brute_force(spark):
 
 
 def test_nearest_recall(spark):
-    got = ann.nearest(spark.read.parquet(f"{SF}/embeddings.parquet"), cell_rows=50).toPandas()
+    got = ann.nearest(spark.read.parquet(f"{SF}/embeddings.parquet")).toPandas()
     t = duckdb.execute(f"select vec_id, embedding from '{SF}/embeddings.parquet'").df()
     x = np.stack(t.embedding).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -137,21 +137,33 @@ def test_nearest_recall(spark):
 
 def test_nearest_bounds_both_sides_of_a_group(spark, monkeypatch):
     x = np.random.default_rng(4).normal(size=(3000, 8))
+    x[1000:1900] = x[7]  # copies of one vector share all their cells
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    how = {"every": 5, "cell_rows": 300}
-    plain = lambda: ann.nearest(df, **how).orderBy("query_id", "rank").toPandas()
+    plain = lambda: ann.nearest(df, every=5, cells=20).orderBy("query_id", "rank").toPandas()
     want, apply = plain(), PandasCogroupedOps.applyInPandas
 
     def watched(ops, func, schema):
         def bounded(left, right):
-            assert len(left) <= 900 and len(right) <= 150, (len(left), len(right))
+            assert len(left) <= 300 and len(right) <= 150, (len(left), len(right))
             return func(left, right)
 
         return apply(ops, bounded, schema)
 
     monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", watched)
-    monkeypatch.setattr(ann, "QUERY_ROWS", 100, raising=False)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 100)
+    monkeypatch.setattr(ann, "CELL_ROWS", 200)
     pd.testing.assert_frame_equal(plain(), want)
+    copies = want[want["query_id"] == 1000]
+    assert copies["vec_id"].tolist() == [7, 1001, 1002, 1003, 1004] and (copies["score"] > 0.999999).all()
+
+
+def test_nearest_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [1.0]), (None, [1.0, 0.0]), (50, [0.0, -1.0])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, o int, cell int")
+    got = [tuple(r) for r in ann.nearest(df).orderBy("query_id", "rank").collect()]
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2), (50, 4, 3)]
+    assert [r[3] for r in got] == [1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, -1.0] and ann.nearest(df.limit(0)).count() == 0
 
 
 def test_license_base_places(spark):
