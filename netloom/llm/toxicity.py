@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = 8000
     some = F.broadcast(known.orderBy(rank, "doc_id", "y").limit(sample))  # `sample` rows at most
     half = F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(2)).cast("int")
     rows = docs.select("doc_id", "text").join(some, "doc_id").orderBy(rank, "doc_id", "y", F.xxhash64("text")).limit(sample)  # where doc_ids repeat
-    rows = cut(rows.withColumn("half", half), "sample")
+    rows = cut(rows.withColumn("half", half).repartition(32, "doc_id"), "sample")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore = restorer(lm, words)
