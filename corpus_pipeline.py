@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality, line dedup, near duplicates, decontamination, mixing; each stage reads what the last kept."""
+"""The corpus pipeline: quality, line dedup, near duplicates, decontamination, mixing; each stage reads what the last kept.
+
+Edge cases of all stages: rows with a null doc_id are kept but never learned from, never a copy of another document, never
+contaminated, and drawn like others; null and empty texts have no lines to lose, no shingles and no windows; rows that
+repeat a doc_id share its decisions; of ties the smallest doc_id stays; an empty table gives an empty one; columns beyond
+those of documents are left out.
+"""
 
 from __future__ import annotations
 
@@ -36,8 +42,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture holds at least once, with n_tokens and copies."""
-    return mixing.mix(docs).where("copies > 0").select(*COLUMNS, "n_tokens", "copies")
+    """Documents that the mixture of target weights holds at least once, with n_tokens and copies."""
+    return mixing.mix(docs, weights=mixing.WEIGHTS).where("copies > 0").select(*COLUMNS, "n_tokens", "copies")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
