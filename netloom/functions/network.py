@@ -69,6 +69,12 @@ def bytes_text(n: Column) -> Column:
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, _decimal(n, 1 << 10, 1, " KB")).when(n < 1 << 30, _decimal(n, 1 << 20, 1, " MB")).otherwise(_decimal(n, 1 << 30, 2, " GB"))
 
 
+def speed_text(n: Column) -> Column:
+    """Whole bytes a second; KB with one decimal, MB and GB with two."""
+    n = n.cast("bigint")
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B/s"))).when(n < 1 << 20, _decimal(n, 1 << 10, 1, " KB/s")).when(n < 1 << 30, _decimal(n, 1 << 20, 2, " MB/s")).otherwise(_decimal(n, 1 << 30, 2, " GB/s"))
+
+
 def service_text(us: Column) -> Column:
     us = us.cast("bigint")
     return F.when(us < 1000, F.concat(us.cast("string"), F.lit(" µs"))).when(us < 1_000_000, _decimal(us, 1000, 1, " ms")).otherwise(_decimal(us, 1_000_000, 2, " s"))
@@ -94,10 +100,14 @@ def in_cidr(ip: Column, cidr: str) -> Column:
     return F.coalesce(ipv4_int(ip).between(low, high), F.lit(False))
 
 
+#: The mapped form of IPv4 in IPv6, private prefixes of IPv6.
+MAPPED, PRIVATE_V6 = r"^::(?:ffff:)?([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})$", ("fe80:", "fc", "fd", "ff")
+
+
 def is_private(ip: Column) -> Column:
-    """Private or reserved: IPv4 blocks; IPv6 loopback, unspecified, fc00::/7, fe80::/10, ff00::/8; mapped IPv4 unwrapped, malformed ones private."""
+    """Private or reserved: seven IPv4 blocks; of IPv6 the loopback ::1 and the prefixes fe80:, fc, fd and ff. Mapped IPv4 is unwrapped, malformed ones count as private."""
     low = F.lower(ip)
-    mapped = F.regexp_extract(low, r"^::(?:ffff:)?(\d+\.\d+\.\d+\.\d+)$", 1)
+    mapped = F.regexp_extract(low, MAPPED, 1)
 
     def inside(address: Column) -> Column:
         hit = F.lit(False)
@@ -105,7 +115,9 @@ def is_private(ip: Column) -> Column:
             hit = hit | in_cidr(address, cidr)
         return hit
 
-    six = low.isin("::", "::1") | low.rlike("^(f[cd]|fe[89ab]|ff)")
+    six = low == "::1"
+    for prefix in PRIVATE_V6:
+        six = six | low.startswith(prefix)
     return F.coalesce(F.when(mapped != "", ipv4_int(mapped).isNull() | inside(mapped)).when(low.contains(":"), six).otherwise(inside(low)), F.lit(False))
 
 
@@ -114,7 +126,8 @@ def connection_id(proto: Column, a_ip: Column, a_port: Column, b_ip: Column, b_p
 
 
 def redact(name: Column, value: Column) -> Column:
-    secret = F.lower(name).isin(*SECRET_HEADERS) | F.lower(F.ltrim(value)).startswith("bearer ")
+    """Values of secret headers, and bearer tokens behind any white space under any name."""
+    secret = F.lower(name).isin(*SECRET_HEADERS) | value.rlike(r"^(?U:\s*)(?i:bearer) ")
     return F.when(F.coalesce(secret, F.lit(False)) & value.isNotNull(), "[REDACTED]").otherwise(value)
 
 
@@ -132,3 +145,52 @@ def hex_dump(payload: Column, n: int = 64) -> Column:
 def ja3(version: Column, *lists: Column) -> Column:
     """md5 of the version and the dash-joined lists, comma-joined."""
     return F.md5(F.concat_ws(",", version.cast("string"), *[F.coalesce(F.array_join(x.cast("array<string>"), "-"), F.lit("")) for x in lists]))
+
+
+#: Request methods that are sniffed; bytes of a header token; flag names in the order of display.
+HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH")
+TOKEN = "[!#$%&'*+.^_`|~0-9A-Za-z-]+"
+FLAG_NAMES = ((2, "SYN"), (16, "ACK"), (1, "FIN"), (4, "RST"), (8, "PSH"))
+
+
+def http_request(payload: Column) -> Column:
+    """struct(method, path) of text whose first complete line is a request with a path from the root; else null."""
+    line = F.regexp_extract(payload, r"^([^\n]*?)\r?\n", 1)
+    words = F.split(F.btrim(line), r"[ \t\x0b\x0c\r]+")
+    method, path = F.get(words, 0), F.get(words, 1)
+    return F.when(method.isin(*HTTP_METHODS) & path.startswith("/"), F.struct(method.alias("method"), path.alias("path")))
+
+
+def media_type(value: Column) -> Column:
+    """`type/subtype` in lower case without parameters; null for all that is not token/token."""
+    media = F.btrim(F.split_part(value, F.lit(";"), F.lit(1)), F.lit(" \t"))
+    return F.when(media.rlike(f"^{TOKEN}/{TOKEN}$"), F.lower(media))
+
+
+def flag_names(flags: Column) -> Column:
+    names = F.array_compact(F.array(*[F.when(flags.bitwiseAND(bit) != 0, name) for bit, name in FLAG_NAMES]))
+    return F.when(F.size(names) > 0, F.array_join(names, ",")).otherwise("(no flags)")
+
+
+def arrow_text(flags: Column, size: Column, label: Column, retransmit: Column, zero_window: Column) -> Column:
+    """Flags and length of a segment, then its label and notes."""
+    text = F.concat(flag_names(flags), F.when(size > 0, F.concat(F.lit(" len="), size.cast("string"))).otherwise(""))
+    return F.concat_ws(" · ", text, label, F.when(retransmit, "retransmission"), F.when(zero_window, "zero window"))
+
+
+def sample_key(outbound: Column, seq: Column, ack: Column, flags: Column, ts_us: Column) -> Column:
+    """The key that links a sample with its packet: direction, numbers, SYN, ACK, FIN and RST, milliseconds."""
+    ms = F.floor(ts_us / F.lit(1000)).cast("string")
+    return F.concat_ws("|", F.when(outbound, "o").otherwise("i"), seq.cast("string"), F.coalesce(ack.cast("string"), F.lit("-")), flags.bitwiseAND(23).cast("string"), ms)
+
+
+def display_safe(text: Column, most: int) -> Column:
+    """Printable ASCII as it stands and \\u{hex} for the rest; an ellipsis after `most` characters."""
+    one = lambda c: F.when((c >= " ") & (c <= "~") & (F.octet_length(c) == 1), c).otherwise(F.concat(F.lit("\\u{"), F.lower(F.hex(_code_point(c))), F.lit("}")))
+    shown = F.array_join(F.transform(F.split(F.substring(text, 1, most), ""), one), "")
+    return F.concat(F.when(text == "", "").otherwise(shown), F.when(F.char_length(text) > most, "…").otherwise(""))
+
+
+def _code_point(c: Column) -> Column:
+    """Of one character: its big-endian UTF-32 bytes as a number."""
+    return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint")

@@ -53,13 +53,22 @@ def sticky(packets: DataFrame, key: str, label: Column, fallback: Column, name:
     return packets.withColumn(name, F.coalesce(F.last(label, ignorenulls=True).over(w), fallback))
 
 
-def spans_while(rows: DataFrame, key: str, at: str, holds: Column) -> DataFrame:
-    """(key, from_at, to_at): a state holds from its first row to the next row without it, or to the key's newest row."""
-    w = Window.partitionBy(key).orderBy(at)
-    later = Window.partitionBy(key).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.select(key, at, F.coalesce(holds, F.lit(False)).alias("_h"))
-    marked = marked.withColumns({"_first": F.col("_h") & ~F.coalesce(F.lag("_h").over(w), F.lit(False)), "_end": F.min(F.when(~F.col("_h"), F.col(at))).over(later), "_top": F.max(at).over(Window.partitionBy(key))})
-    return marked.where("_first").select(key, F.col(at).alias("from_at"), F.coalesce("_end", "_top").alias("to_at"))
+def zero_window_spans(samples: DataFrame, key: str) -> DataFrame:
+    """(key, outbound, from_us, to_us, open): spans in which a side advertises a window of zero.
+
+    samples: key, index, ts_us, outbound, win, rst. A zero holds until that side's next advertisement that is none; resets
+    advertise nothing; a gap of the index ends a span at the last sample before it, and one still open runs to the newest.
+    """
+    order = Window.partitionBy(key).orderBy("index")
+    runs = samples.withColumn("_run", F.sum(F.coalesce((F.col("index") != F.lag("index").over(order) + 1).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = Window.partitionBy(key, "_run")
+    runs = runs.withColumns({"_end": F.max(F.struct("index", "ts_us")).over(whole), "_last": F.max("index").over(Window.partitionBy(key))})
+    own = Window.partitionBy(key, "_run", "outbound").orderBy("index")
+    later = own.rowsBetween(1, Window.unboundedFollowing)
+    said = runs.where(~F.col("rst")).withColumn("_zero", F.col("win") == 0)
+    said = said.withColumns({"_new": F.col("_zero") & ~F.coalesce(F.lag("_zero").over(own), F.lit(False)), "_until": F.min(F.when(~F.col("_zero"), F.struct("index", "ts_us"))).over(later)})
+    still = F.col("_until").isNull() & (F.col("_end.index") == F.col("_last"))
+    return said.where("_new").select(key, "outbound", F.col("ts_us").alias("from_us"), F.coalesce("_until.ts_us", "_end.ts_us").alias("to_us"), still.alias("open"))
 
 
 def islands(rows: DataFrame, key: str, index: str) -> DataFrame:
@@ -75,13 +84,23 @@ def history(series: DataFrame, key: str, at: str, value: str, n: int = 60) -> Da
     return series.withColumn("history", F.collect_list(value).over(Window.partitionBy(key).orderBy(at).rowsBetween(1 - n, 0)))
 
 
-def throughput(packets: DataFrame, key: str, bin_us: int) -> DataFrame:
-    """Bytes of each whole bin and direction; the bins that hold a key's first and last packet are partial and go."""
-    at = lambda c: (F.floor(c / F.lit(bin_us)) * bin_us).cast("bigint")
-    bins = packets.groupBy(key, "outbound", at(F.col("ts_us")).alias("bin_us")).agg(F.sum("bytes").alias("bytes"))
-    w = Window.partitionBy(key)
-    edged = bins.withColumns({"_a": F.min("bin_us").over(w), "_b": F.max("bin_us").over(w)})
-    return edged.where("bin_us > _a and bin_us < _b").drop("_a", "_b")
+def throughput(samples: DataFrame, key: str, bin_us: int) -> DataFrame:
+    """(key, bin_us, outbound_bytes, inbound_bytes): payload each way in every bin that the samples cover whole, zeros included.
+
+    samples: key, index, ts_us, outbound, bytes, syn, rst, fin. The first bin is whole if the flow is held from its SYN, the
+    last one if it has ended: by a reset, or by a FIN each way.
+    """
+    at = lambda c: F.floor(c / F.lit(bin_us)).cast("bigint")
+    out = F.col("outbound")
+    spans = samples.groupBy(key).agg(
+        F.min_by(F.struct("index", "syn", "ts_us"), "index").alias("h"), F.max("ts_us").alias("z"), F.min("ts_us").alias("a"),
+        (F.bool_or("rst") | F.bool_or(F.col("fin") & out) & F.bool_or(F.col("fin") & ~out)).alias("ended"))
+    first = F.when((F.col("h.index") == 0) & F.col("h.syn"), at(F.col("a"))).otherwise(F.ceil(F.col("a") / F.lit(bin_us)).cast("bigint"))
+    last = at(F.col("z")) - F.when(F.col("ended"), 0).otherwise(1)
+    spine = spans.where(first <= last).select(key, F.explode(F.sequence(first, last)).alias("_b"))
+    each = lambda which: F.sum(F.when(which, F.col("bytes")).otherwise(0))
+    sums = samples.where("bytes > 0").groupBy(key, at(F.col("ts_us")).alias("_b")).agg(each(out).alias("o"), each(~out).alias("i"))
+    return spine.join(sums, [key, "_b"], "left").select(key, (F.col("_b") * bin_us).alias("bin_us"), F.coalesce("o", F.lit(0)).alias("outbound_bytes"), F.coalesce("i", F.lit(0)).alias("inbound_bytes"))
 
 
 def covered(series: DataFrame, width_us: int) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(asked: DataFrame, learned: DataFrame, key: str, value: str, expires: str = "expires_us") -> DataFrame:
-    """asked with `value` as last learned for its key at or before its ts_us, null once expired. One shuffle, no pair of rows is made."""
-    facts = learned.select(key, "ts_us", F.lit(0).alias("_ask"), F.struct(F.col(value).alias("v"), F.col(expires).alias("e")).alias("_fact"))
+def asof(asked: DataFrame, learned: DataFrame, key: str, value: str, expires: str = "expires_us", order: str = "ordinal") -> DataFrame:
+    """asked with `value` as last learned for its key at or before its ts_us, null once expired; of facts of one time that of the highest `order` counts. One shuffle, no pair of rows is made."""
+    facts = learned.select(key, "ts_us", F.lit(0).alias("_ask"), F.col(order).alias("_turn"), F.struct(F.col(value).alias("v"), F.col(expires).alias("e")).alias("_fact"))
     both = facts.unionByName(asked.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("ts_us", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(key).orderBy("ts_us", "_ask", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = both.withColumn("_now", F.last("_fact", ignorenulls=True).over(w)).where("_ask = 1")
     return known.select(*asked.columns, F.when(F.col("_now.e") > F.col("ts_us"), F.col("_now.v")).alias(value))
 

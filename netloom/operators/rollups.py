@@ -44,20 +44,33 @@ def sessions(packets: DataFrame, key: str, idle_us: int | Column) -> DataFrame:
 
 
 def match_fifo(packets: DataFrame, key: str, request: Column, response: Column) -> DataFrame:
-    """The n-th request of a key meets its n-th response that is not earlier than itself in capture order.
+    """First in, first out: a response answers its key's oldest open request; without one it answers nothing.
 
-    Returns (key, n, req_ordinal, resp_ordinal, service_us); a response before its request matches nothing.
+    Returns (key, n, req_ordinal, resp_ordinal, service_us) per request. One shuffle: with s the running count of requests
+    less responses, a response finds no open request where -s reaches a new height above 0. The n-th request meets the
+    n-th response that finds one. Time that runs backwards counts as 0.
     """
-    w = Window.partitionBy(key).orderBy("ordinal")
-    turn = lambda which, name: packets.where(which).select(key, "ordinal", "ts_us", F.row_number().over(w).alias("n")).withColumnRenamed("ordinal", f"{name}_ordinal").withColumnRenamed("ts_us", f"{name}_us")
-    both = turn(request, "req").join(turn(response, "resp"), [key, "n"], "left")
-    ok = F.col("resp_ordinal") > F.col("req_ordinal")
-    return both.select(key, "n", "req_ordinal", F.when(ok, F.col("resp_ordinal")).alias("resp_ordinal"), F.when(ok, F.col("resp_us") - F.col("req_us")).alias("service_us"))
-
-
-def service_times(matched: DataFrame, key: str) -> DataFrame:
-    """Answered, unanswered, and exact nearest-rank percentiles."""
-    w = Window.partitionBy(key).orderBy("service_us", "req_ordinal")
-    ranked = matched.withColumns({"_r": F.row_number().over(w.orderBy(F.asc_nulls_last("service_us"), "req_ordinal")), "_n": F.count("service_us").over(Window.partitionBy(key))})
-    at = lambda q: F.max(F.when(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(q) / 100)), F.col("service_us")))
+    w = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    rows = packets.where(request | response).select(key, "ordinal", "ts_us", F.coalesce(request, F.lit(False)).alias("_req"))
+    rows = rows.withColumn("_s", F.sum(F.when(F.col("_req"), 1).otherwise(-1)).over(w))
+    rows = rows.withColumn("_lost", ~F.col("_req") & (-F.col("_s") > F.greatest(F.lit(0), F.coalesce(F.max(-F.col("_s")).over(before), F.lit(0)))))
+    n = F.when(F.col("_req"), F.count_if("_req").over(w)).otherwise(F.count_if(~F.col("_req") & ~F.col("_lost")).over(w))
+    met = rows.where("not _lost").withColumn("n", n.cast("int")).groupBy(key, "n").agg(
+        F.max(F.when(F.col("_req"), F.struct("ordinal", "ts_us"))).alias("q"), F.max(F.when(~F.col("_req"), F.struct("ordinal", "ts_us"))).alias("r"))
+    return met.select(key, "n", F.col("q.ordinal").alias("req_ordinal"), F.col("r.ordinal").alias("resp_ordinal"), F.when(F.col("r").isNotNull(), F.greatest(F.lit(0), F.col("r.ts_us") - F.col("q.ts_us"))).alias("service_us"))
+
+
+def last_samples(matched: DataFrame, key: str, n: int = 1024) -> DataFrame:
+    """matched with `recent`: whether the answer is among its key's last n, which percentiles are taken over."""
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("resp_ordinal")))
+    return matched.withColumn("recent", F.col("service_us").isNotNull() & (newest <= n))
+
+
+def service_times(matched: DataFrame, key: str, samples: int = 1024) -> DataFrame:
+    """Answered, unanswered, least and most of all answers; nearest-rank percentiles over a key's last `samples` answers."""
+    recent = last_samples(matched, key, samples)
+    of_key = Window.partitionBy(key, "recent")
+    ranked = recent.withColumns({"_r": F.row_number().over(of_key.orderBy("service_us", "req_ordinal")), "_n": F.count(F.lit(1)).over(of_key)})
+    at = lambda q: F.max(F.when(F.col("recent") & (F.col("_r") == F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(q) / 100))), F.col("service_us")))
     return ranked.groupBy(key).agg(F.count("service_us").alias("answered"), F.count_if(F.col("service_us").isNull()).alias("unanswered"), F.min("service_us").alias("min_us"), F.max("service_us").alias("max_us"), at(50).alias("p50_us"), at(95).alias("p95_us"))

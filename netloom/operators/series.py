@@ -10,13 +10,25 @@ def bucket(ts_us: Column, width_us: int) -> Column:
     return (F.floor(ts_us / F.lit(width_us)) * width_us).cast("bigint")
 
 
-def io_series(packets: DataFrame, series: dict[str, Column], width_us: int, value: Column | None = None) -> DataFrame:
-    """(series, bucket_us, packets, bytes, agg_count, agg_sum, agg_min, agg_max), only buckets with a match."""
-    value = F.lit(None).cast("bigint") if value is None else value
-    hit = F.array(*[F.when(p, F.lit(name)) for name, p in series.items()])
-    rows = packets.select(F.explode(F.array_compact(hit)).alias("series"), bucket(F.col("ts_us"), width_us).alias("bucket_us"), "bytes", value.alias("v"))
-    return rows.groupBy("series", "bucket_us").agg(
-        F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes"), F.count("v").alias("agg_count"), F.sum(F.col("v").cast("decimal(20,0)")).cast("decimal(38,0)").alias("agg_sum"), F.min("v").alias("agg_min"), F.max("v").alias("agg_max"))
+def io_series(packets: DataFrame, series: dict[str, Column], width_us: int, value: Column | None = None, late: Column | None = None) -> DataFrame:
+    """(series, bucket_us, packets, bytes, agg_count, agg_sum, agg_min, agg_max), only buckets with a match.
+
+    All series are summed in one row of the bucket and unpivoted after the shuffle. With `late` (see `late_split`) late
+    packets never join on-time counts; they come in `late_packets` and `late_bytes`.
+    """
+    v = F.lit(None).cast("bigint") if value is None else value
+    rows = packets.select(bucket(F.col("ts_us"), width_us).alias("bucket_us"), "bytes", v.alias("v"), (F.lit(False) if late is None else late).alias("late"), *[p.alias(f"p{i}") for i, p in enumerate(series.values())])
+    sums = []
+    for i in range(len(series)):
+        hit, missed = F.col(f"p{i}") & ~F.col("late"), F.col(f"p{i}") & F.col("late")
+        x = F.when(hit, F.col("v"))
+        sums += [F.count_if(hit).alias(f"packets{i}"), F.coalesce(F.sum(F.when(hit, F.col("bytes"))), F.lit(0)).alias(f"bytes{i}"), F.count(x).alias(f"n{i}"), F.sum(x.cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"sum{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.count_if(missed).alias(f"lp{i}"), F.coalesce(F.sum(F.when(missed, F.col("bytes"))), F.lit(0)).alias(f"lb{i}")]
+    named = zip(("packets", "bytes", "agg_count", "agg_sum", "agg_min", "agg_max", "late_packets", "late_bytes"), ("packets", "bytes", "n", "sum", "min", "max", "lp", "lb"), strict=True)
+    named = list(named)
+    one = [F.struct(F.lit(name).alias("series"), *[F.col(f"{c}{i}").alias(out) for out, c in named]) for i, name in enumerate(series)]
+    out = rows.groupBy("bucket_us").agg(*sums).select("bucket_us", F.explode(F.array(*one)).alias("s")).where("s.packets > 0 or s.late_packets > 0")
+    return out.select("s.series", "bucket_us", *[F.col(f"s.{c}").alias(c) for c, _ in (named if late is not None else named[:-2])])
 
 
 def roll_up(series: DataFrame, width_us: int) -> DataFrame:

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 HALF, WHOLE = 1 << 31, 1 << 32
 
 
-def retransmits(segments: DataFrame, flow: str = "flow", order: str = "idx") -> DataFrame:
-    """segments with `retransmit`. Sequence numbers are unwrapped by signed 32-bit steps; a segment that does not pass the
-    highest number so far is sent again."""
-    w = Window.partitionBy(flow).orderBy(order)
+def retransmits(segments: DataFrame, flow: str = "flow", order: str = "idx", side: str = "outbound", size: str = "len") -> DataFrame:
+    """segments with `retransmit`. Only segments with payload count, each direction for itself: sequence numbers are unwrapped
+    by signed 32-bit steps, and a segment that does not pass the highest number so far is sent again."""
+    w = Window.partitionBy(flow, side, F.col(size) > 0).orderBy(order)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.pmod(F.col("seq") - F.lag("seq").over(w) + HALF, F.lit(WHOLE)) - HALF
     out = segments.withColumn("_step", F.coalesce(step, F.lit(0))).withColumn("_at", F.sum("_step").over(so_far))
     highest = F.max("_at").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return out.withColumn("retransmit", F.coalesce(F.col("_at") <= highest, F.lit(False))).drop("_step", "_at")
+    return out.withColumn("retransmit", (F.col(size) > 0) & F.coalesce(F.col("_at") <= highest, F.lit(False))).drop("_step", "_at")
 
 
-def loss_percent(marked: DataFrame, flow: str = "flow") -> DataFrame:
-    sums = marked.groupBy(flow).agg(F.count(F.lit(1)).alias("segments"), F.count_if("retransmit").alias("retransmits"))
-    return sums.withColumn("loss", F.least(F.lit(100.0), F.col("retransmits") * 100.0 / F.col("segments")))
+def loss_percent(marked: DataFrame, flow: str = "flow", size: str = "len") -> DataFrame:
+    """Retransmissions among segments with payload, in percent; 0 without any."""
+    sums = marked.groupBy(flow).agg(F.count_if(F.col(size) > 0).alias("segments"), F.count_if("retransmit").alias("retransmits"))
+    return sums.withColumn("loss", F.when(F.col("segments") > 0, F.least(F.lit(100.0), F.col("retransmits") * 100.0 / F.col("segments"))).otherwise(0.0))
 
 
 def first_reset(segments: DataFrame, flow: str = "flow", order: str = "idx") -> DataFrame:

@@ -24,13 +24,15 @@ FIELDS = {"frame.len": Field("bytes", "uint"), "app": Field("app", "str"), "k":
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as TCP segments in a total order; sequence numbers wrap at 2**32."""
+    """Line items as TCP segments of both directions in a total order; a fifth carry no payload, sequence numbers wrap at 2**32."""
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return i.select(
-        F.col("l_orderkey").alias("flow"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").alias("idx"), ((F.lit(4293507296) + F.col("l_partkey") * 1460) % (1 << 32)).alias("seq"),
-        F.col("l_quantity").cast("bigint").alias("len"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("bytes"), (F.col("l_returnflag") == "R").alias("rst"), (F.col("l_linestatus") == "F").alias("ack"),
+        F.col("l_orderkey").alias("flow"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").alias("idx"),
+        ((F.lit(4293507296) + F.col("l_partkey") * 1460) % (1 << 32)).alias("seq"), F.when(F.col("l_partkey") % 5 == 0, 0).otherwise(F.col("l_quantity")).cast("bigint").alias("len"),
+        (F.col("l_suppkey") % 2 == 0).alias("outbound"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("bytes"), (F.col("l_returnflag") == "R").alias("rst"), (F.col("l_linestatus") == "F").alias("ack"),
         F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ts_us"))
 
 
-SEGMENTS_SQL = """s AS (SELECT l_orderkey AS flow, (4293507296 + l_partkey * 1460) % 4294967296 AS seq, CAST(l_quantity AS BIGINT) AS len, CAST(round(l_extendedprice * 100) AS BIGINT) AS bytes,
-  l_returnflag = 'R' AS rst, l_linestatus = 'F' AS ack, epoch_us(l_shipdate) AS ts_us, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS i FROM lineitem)"""
+SEGMENTS_SQL = """s AS (SELECT l_orderkey AS flow, (4293507296 + l_partkey * 1460) % 4294967296 AS seq, CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS len,
+  l_suppkey % 2 = 0 AS outbound, CAST(round(l_extendedprice * 100) AS BIGINT) AS bytes, l_returnflag = 'R' AS rst, l_linestatus = 'F' AS ack, epoch_us(l_shipdate) AS ts_us,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS i FROM lineitem)"""

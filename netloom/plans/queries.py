@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import network as net
@@ -58,6 +58,15 @@ def _series(p: DataFrame, width: int) -> DataFrame:
 
 _on_packets("io_series_100ms", _series_sql(100_000), lambda p: _series(p, 100_000))
 _on_packets("series_hours", _series_sql(HOUR), lambda p: _series(p, HOUR))
+_late = lambda p: series.late_split(p.withColumns({"src": F.col("flow") % 4, "ts_us": F.col("ts_us") - F.when(F.col("k") % 7 == 0, 9 * HOUR).otherwise(0)}), HOUR, 5 * HOUR, "src")
+_on_packets("series_on_time_and_late", f""", l AS (SELECT * REPLACE (ts_us - CASE WHEN k % 7 = 0 THEN {9 * HOUR} ELSE 0 END AS ts_us), flow % 4 AS src FROM p),
+w AS (SELECT *, first(ts_us) OVER (PARTITION BY src ORDER BY ordinal) AS f, max(ts_us) OVER (PARTITION BY src ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM l),
+t AS (SELECT *, coalesce(ts_us // {HOUR} < greatest(f // {HOUR}, (m - {5 * HOUR}) // {HOUR}), false) AS late FROM w),
+u AS ({" UNION ALL ".join(f"SELECT '{k}' AS series, * FROM t WHERE {w}" for k, (_, w) in SERIES.items())})
+SELECT series, ts_us // {HOUR} * {HOUR} AS bucket_us, count(*) FILTER (NOT late) AS packets, CAST(coalesce(sum(bytes) FILTER (NOT late), 0) AS BIGINT) AS bytes, count(k) FILTER (NOT late) AS agg_count,
+  CAST(sum(k) FILTER (NOT late) AS DECIMAL(38,0)) AS agg_sum, min(CAST(k AS BIGINT)) FILTER (NOT late) AS agg_min, max(CAST(k AS BIGINT)) FILTER (NOT late) AS agg_max,
+  count(*) FILTER (late) AS late_packets, CAST(coalesce(sum(bytes) FILTER (late), 0) AS BIGINT) AS late_bytes FROM u GROUP BY ALL""",
+    lambda p: series.io_series(_late(p), {k: compile_filter(v[0], FIELDS) for k, v in SERIES.items()}, HOUR, F.col("k").cast("bigint"), F.col("late")))
 _on_packets("series_rollup_avg", f"""SELECT series, CAST(floor(bucket_us / {24 * HOUR}.0) AS BIGINT) * {24 * HOUR} AS bucket_us, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes,
   CAST(sum(agg_count) AS BIGINT) AS agg_count, CAST(sum(agg_sum) AS DECIMAL(38,0)) AS agg_sum, min(agg_min) AS agg_min, max(agg_max) AS agg_max, CAST(sum(agg_sum) AS DOUBLE) / sum(agg_count) AS agg_avg
   FROM ({_series_sql(HOUR)}) GROUP BY ALL""", lambda p: series.roll_up(_series(p, HOUR), 24 * HOUR).withColumn("agg_sum", F.col("agg_sum").cast("decimal(38,0)")))
@@ -78,20 +87,27 @@ _on_packets("flow_sessions_gap", f""", g AS (SELECT *, coalesce(CAST(ts_us - lag
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY flow ORDER BY ts_us, ordinal ROWS UNBOUNDED PRECEDING) AS instance FROM g)
 SELECT flow, CAST(instance AS BIGINT) AS instance, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM i GROUP BY ALL""",
     lambda p: rollups.sessions(p, "flow", 8 * HOUR).groupBy("flow", "instance").agg(F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes")))
-_MATCH = """, q AS (SELECT flow, ordinal, ts_us, row_number() OVER (PARTITION BY flow ORDER BY ordinal) AS n FROM p WHERE app = 'view'),
-r AS (SELECT flow, ordinal, ts_us, row_number() OVER (PARTITION BY flow ORDER BY ordinal) AS n FROM p WHERE app = 'purchase'),
-m AS (SELECT q.flow, q.n, q.ordinal AS req_ordinal, CASE WHEN r.ordinal > q.ordinal THEN r.ordinal END AS resp_ordinal, CASE WHEN r.ordinal > q.ordinal THEN r.ts_us - q.ts_us END AS service_us FROM q LEFT JOIN r USING (flow, n))"""
+# open: how many requests wait before a row, as a walk that never falls below zero; a response that finds none matches nothing.
+_MATCH = """, v AS (SELECT flow, ordinal, ts_us, app = 'view' AS req FROM p WHERE app IN ('view', 'purchase')),
+w AS (SELECT *, sum(CASE WHEN req THEN 1 ELSE -1 END) OVER (PARTITION BY flow ORDER BY ordinal) AS s FROM v),
+x AS (SELECT *, greatest(0, max(-s) OVER (PARTITION BY flow ORDER BY ordinal ROWS UNBOUNDED PRECEDING)) AS floor_now FROM w),
+y AS (SELECT *, s + floor_now - CASE WHEN req THEN 1 ELSE -1 END AS waiting, NOT req AND floor_now > coalesce(lag(floor_now) OVER (PARTITION BY flow ORDER BY ordinal), 0) AS lost FROM x),
+q AS (SELECT flow, ordinal, ts_us, CAST(row_number() OVER (PARTITION BY flow ORDER BY ordinal) AS INTEGER) AS n FROM y WHERE req),
+r AS (SELECT flow, ordinal, ts_us, CAST(row_number() OVER (PARTITION BY flow ORDER BY ordinal) AS INTEGER) AS n FROM y WHERE NOT req AND NOT lost),
+m AS (SELECT q.flow, q.n, q.ordinal AS req_ordinal, r.ordinal AS resp_ordinal, CASE WHEN r.ordinal IS NOT NULL THEN greatest(0, r.ts_us - q.ts_us) END AS service_us FROM q LEFT JOIN r USING (flow, n))"""
 _fifo = lambda p: rollups.match_fifo(p, "flow", F.col("app") == "view", F.col("app") == "purchase")
 _on_packets("txn_fifo", f"{_MATCH} SELECT flow, n, req_ordinal, resp_ordinal, service_us FROM m", _fifo)
 _on_packets("service_time_summary", f"""{_MATCH}, s AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY service_us NULLS LAST, req_ordinal) AS rn, count(service_us) OVER (PARTITION BY flow) AS c FROM m)
 SELECT flow, count(service_us) AS answered, count(*) FILTER (service_us IS NULL) AS unanswered, min(service_us) AS min_us, max(service_us) AS max_us,
   max(service_us) FILTER (rn = greatest(1, ceil(c * 50 / 100.0))) AS p50_us, max(service_us) FILTER (rn = greatest(1, ceil(c * 95 / 100.0))) AS p95_us FROM s GROUP BY flow""", lambda p: rollups.service_times(_fifo(p), "flow"))
 
-_RETRANSMIT = """, d AS (SELECT *, coalesce(((seq - lag(seq) OVER (PARTITION BY flow ORDER BY i) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0) AS step FROM s),
-a AS (SELECT *, sum(step) OVER (PARTITION BY flow ORDER BY i ROWS UNBOUNDED PRECEDING) AS pos FROM d),
-r AS (SELECT *, coalesce(pos <= max(pos) OVER (PARTITION BY flow ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS retransmit FROM a)"""
+# Of segments with payload, each direction for itself: the place after unwrapping, and the highest place before.
+_RETRANSMIT = """, d AS (SELECT *, coalesce(((seq - lag(seq) OVER (PARTITION BY flow, outbound ORDER BY i) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0) AS step FROM s WHERE len > 0),
+a AS (SELECT *, sum(step) OVER (PARTITION BY flow, outbound ORDER BY i ROWS UNBOUNDED PRECEDING) AS pos FROM d),
+m AS (SELECT flow, i, coalesce(pos <= max(pos) OVER (PARTITION BY flow, outbound ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS again FROM a),
+r AS (SELECT s.*, coalesce(again, false) AS retransmit FROM s LEFT JOIN m USING (flow, i))"""
 _on_segments("retransmit_mark", f"{_RETRANSMIT} SELECT flow, seq, bytes, retransmit FROM r", lambda s: tcp.retransmits(s).select("flow", "seq", "bytes", "retransmit"))
-_on_segments("packet_loss", f"{_RETRANSMIT} SELECT flow, count(*) AS segments, count(*) FILTER (retransmit) AS retransmits, least(100.0::DOUBLE, count(*) FILTER (retransmit) * 100.0::DOUBLE / count(*)) AS loss FROM r GROUP BY flow", lambda s: tcp.loss_percent(tcp.retransmits(s)))
+_on_segments("packet_loss", f"{_RETRANSMIT} SELECT flow, count(*) FILTER (len > 0) AS segments, count(*) FILTER (retransmit) AS retransmits, CASE WHEN count(*) FILTER (len > 0) = 0 THEN 0 ELSE least(100.0::DOUBLE, count(*) FILTER (retransmit) * 100.0::DOUBLE / count(*) FILTER (len > 0)) END AS loss FROM r GROUP BY flow", lambda s: tcp.loss_percent(tcp.retransmits(s)))
 _on_segments("first_reset", """, b AS (SELECT *, coalesce(max(CAST(rst AS INTEGER)) OVER (PARTITION BY flow ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS before FROM s)
 SELECT flow, bool_or(rst) AS reset, CAST(sum(CASE WHEN before THEN bytes ELSE 0 END) AS BIGINT) AS bytes_until FROM b GROUP BY flow""", tcp.first_reset)
 
@@ -125,7 +141,7 @@ _on_packets("csv_cells", """SELECT ordinal, CASE WHEN app = 'view' THEN '"''=vie
 _on_packets("dns_names_of_codes", """SELECT ordinal, CASE k WHEN 1 THEN 'A' WHEN 2 THEN 'NS' WHEN 5 THEN 'CNAME' WHEN 6 THEN 'SOA' WHEN 12 THEN 'PTR' WHEN 15 THEN 'MX' WHEN 16 THEN 'TXT' WHEN 28 THEN 'AAAA' WHEN 33 THEN 'SRV' WHEN 64 THEN 'SVCB' WHEN 65 THEN 'HTTPS' ELSE 'TYPE' || k END AS type,
   CASE k % 8 WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'FORMERR' WHEN 2 THEN 'SERVFAIL' WHEN 3 THEN 'NXDOMAIN' WHEN 4 THEN 'NOTIMP' WHEN 5 THEN 'REFUSED' ELSE 'RCODE' || (k % 8) END AS rcode FROM p""", lambda p: p.select("ordinal", net.dns_type(F.col("k")).alias("type"), net.dns_rcode(F.col("k") % 8).alias("rcode")))
 
-_learned = lambda p: p.where("app = 'view'").select("flow", "ts_us", (F.col("ts_us") + 30 * HOUR).alias("expires_us"), F.concat(F.lit("n"), F.col("ordinal").cast("string")).alias("name"))
+_learned = lambda p: p.where("app = 'view'").select("ordinal", "flow", "ts_us", (F.col("ts_us") + 30 * HOUR).alias("expires_us"), F.concat(F.lit("n"), F.col("ordinal").cast("string")).alias("name"))
 _on_packets("dns_name_asof", f""", l AS (SELECT flow, ts_us, max(ordinal) AS o FROM p WHERE app = 'view' GROUP BY ALL), q AS (SELECT * FROM p WHERE app = 'purchase')
 SELECT q.ordinal, CASE WHEN l.ts_us + {30 * HOUR} > q.ts_us THEN 'n' || l.o END AS name FROM q ASOF LEFT JOIN l ON q.flow = l.flow AND q.ts_us >= l.ts_us""", lambda p: joins.asof(p.where("app = 'purchase'").select("ordinal", "flow", "ts_us"), _learned(p), "flow", "name").select("ordinal", "name"))
 _on_packets("ownership_range", """, r AS (SELECT ordinal AS pos, bytes % 2000 * 8 AS low, bytes % 2000 * 8 + k AS high, 'org' || ordinal AS org FROM p WHERE ordinal % 50 = 0)
@@ -142,16 +158,23 @@ _on_packets("handshake_rtt", """, t AS (SELECT *, CASE WHEN app = 'purchase' THE
 SELECT flow, max_by(r, ordinal) FILTER (r IS NOT NULL) AS rtt_us FROM t GROUP BY flow""", lambda p: folds.handshake_rtt(p, "flow", F.col("app") == "view", F.col("app") == "purchase"))
 _on_packets("sticky_app", """SELECT ordinal, coalesce(last_value(CASE WHEN k < 30 THEN app END IGNORE NULLS) OVER (PARTITION BY flow ORDER BY ordinal ROWS UNBOUNDED PRECEDING), CASE k WHEN 53 THEN 'DNS' WHEN 80 THEN 'HTTP' WHEN 67 THEN 'DHCP' WHEN 68 THEN 'DHCP' END) AS app_now FROM p""",
     lambda p: folds.sticky(p, "flow", F.when(F.col("k") < 30, F.col("app")), net.port_name(F.when(F.col("k").isin(53, 80, 67, 68), F.col("k")))).select("ordinal", "app_now"))
-_on_packets("throughput_bins", f""", b AS (SELECT flow, outbound, ts_us // {HOUR} * {HOUR} AS bin_us, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY ALL), e AS (SELECT *, min(bin_us) OVER (PARTITION BY flow) AS a, max(bin_us) OVER (PARTITION BY flow) AS z FROM b)
-SELECT flow, outbound, bin_us, bytes FROM e WHERE bin_us > a AND bin_us < z""", lambda p: folds.throughput(p, "flow", HOUR))
+_samples = lambda p: p.select("flow", (F.row_number().over(Window.partitionBy("flow").orderBy("ordinal")) - 1).alias("index"), "ts_us", "outbound", (F.col("bytes") * (F.col("k") % 2)).alias("bytes"), (F.col("k") % 3 == 0).alias("syn"), (F.col("k") == 99).alias("rst"), (F.col("k") > 80).alias("fin"), (F.col("k") % 4).alias("win"))
+_SAMPLES = """, t AS (SELECT flow, row_number() OVER (PARTITION BY flow ORDER BY ordinal) - 1 AS idx, ts_us, outbound, bytes * (k % 2) AS bytes, k % 3 = 0 AS syn, k = 99 AS rst, k > 80 AS fin, k % 4 AS win FROM p)"""
+_on_packets("throughput_bins", f"""{_SAMPLES}, e AS (SELECT flow, min(ts_us) AS a, max(ts_us) AS z, bool_or(idx = 0 AND syn) AS whole, bool_or(rst) OR bool_or(fin AND outbound) AND bool_or(fin AND NOT outbound) AS ended FROM t GROUP BY flow),
+g AS (SELECT flow, unnest(range(a // {HOUR} + CASE WHEN whole OR a % {HOUR} = 0 THEN 0 ELSE 1 END, z // {HOUR} + CASE WHEN ended THEN 1 ELSE 0 END)) AS b FROM e),
+u AS (SELECT flow, ts_us // {HOUR} AS b, sum(CASE WHEN outbound THEN bytes ELSE 0 END) AS o, sum(CASE WHEN outbound THEN 0 ELSE bytes END) AS i FROM t GROUP BY ALL)
+SELECT flow, b * {HOUR} AS bin_us, CAST(coalesce(o, 0) AS BIGINT) AS outbound_bytes, CAST(coalesce(i, 0) AS BIGINT) AS inbound_bytes FROM g LEFT JOIN u USING (flow, b)""", lambda p: folds.throughput(_samples(p), "flow", HOUR))
 _on_packets("covered_buckets", f""", s AS ({_series_sql(HOUR)}), e AS (SELECT series, unnest(range(min(bucket_us), max(bucket_us) + 1, {HOUR})) AS bucket_us FROM s GROUP BY series)
 SELECT series, bucket_us, coalesce(packets, 0) AS packets, coalesce(bytes, 0) AS bytes FROM e LEFT JOIN s USING (series, bucket_us)""", lambda p: folds.covered(_series(p, HOUR), HOUR))
 _on_packets("bandwidth_history", f""", s AS (SELECT series, bucket_us, bytes FROM ({_series_sql(HOUR)}))
 SELECT series, bucket_us, array_to_string(list(bytes) OVER (PARTITION BY series ORDER BY bucket_us ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), ',') AS history FROM s""", lambda p: folds.history(_series(p, HOUR), "series", "bucket_us", "bytes").select("series", "bucket_us", F.array_join(F.col("history").cast("array<string>"), ",").alias("history")))
 _on_packets("ended_flows", "SELECT flow, bool_or(k = 99) OR (bool_or(k > 90 AND outbound) AND bool_or(k > 90 AND NOT outbound)) AS ended FROM p GROUP BY flow", lambda p: folds.ended(p, "flow", F.col("k") == 99, F.col("k") > 90))
-_on_packets("zero_window_spans", """, h AS (SELECT flow, ordinal, k % 3 = 0 AS h, coalesce(lag(k % 3 = 0) OVER (PARTITION BY flow ORDER BY ordinal), false) AS b,
-  min(CASE WHEN k % 3 <> 0 THEN ordinal END) OVER (PARTITION BY flow ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS e, max(ordinal) OVER (PARTITION BY flow) AS z FROM p)
-SELECT flow, ordinal AS from_at, coalesce(e, z) AS to_at FROM h WHERE h AND NOT b""", lambda p: folds.spans_while(p, "flow", "ordinal", F.col("k") % 3 == 0))
+_gapped = lambda p: _samples(p).withColumn("index", F.col("index") + F.floor(F.col("index") / F.lit(7)).cast("int"))
+_on_packets("zero_window_spans", f"""{_SAMPLES}, g AS (SELECT *, idx + idx // 7 AS pos, idx // 7 AS run FROM t), e AS (SELECT flow, run, max(pos) AS last_pos, max_by(ts_us, pos) AS end_us FROM g GROUP BY ALL),
+z AS (SELECT * FROM (SELECT flow, max(run) AS top FROM g GROUP BY flow)), o AS (SELECT * FROM g WHERE NOT rst),
+n AS (SELECT *, win = 0 AND coalesce(lag(win) OVER (PARTITION BY flow, run, outbound ORDER BY pos), 1) <> 0 AS fresh FROM o),
+c AS (SELECT n.flow, n.run, n.outbound, n.pos, n.ts_us, min_by(l.ts_us, l.pos) AS until_us FROM n LEFT JOIN o l ON l.flow = n.flow AND l.run = n.run AND l.outbound = n.outbound AND l.pos > n.pos AND l.win <> 0 WHERE fresh GROUP BY ALL)
+SELECT flow, outbound, ts_us AS from_us, coalesce(until_us, end_us) AS to_us, until_us IS NULL AND run = top AS open FROM c JOIN e USING (flow, run) JOIN z USING (flow)""", lambda p: folds.zero_window_spans(_gapped(p), "flow"))
 _on_packets("lines_at_gaps", """, r AS (SELECT flow, k, k - row_number() OVER (PARTITION BY flow ORDER BY k) AS i FROM (SELECT DISTINCT flow, k FROM p)), g AS (SELECT flow, i, min(k) AS first, max(k) AS last, count(*) AS points FROM r GROUP BY ALL)
 SELECT flow, first, last, points, CAST(row_number() OVER (PARTITION BY flow ORDER BY first) AS INTEGER) AS line FROM g""", lambda p: folds.islands(p, "flow", "k"))
 QUERIES["paced_sample"] = lambda spark, sf_dir: folds.paced(packets(spark, sf_dir), "flow", 4, 24 * HOUR).select("ordinal", "admitted")

@@ -139,13 +139,13 @@ def _uint(frame: Column, at: Column, size: int) -> Column:
 def headers(packets: DataFrame) -> DataFrame:
     """packets with parse_status (ok, unsupported, malformed), vlan, src, dst, proto, ports, TCP fields and payload_len.
 
-    Ethernet frames with up to one VLAN tag, null/loopback and raw IP links. IPv6 addresses are eight groups of four hex digits.
+    Ethernet frames with up to one VLAN tag, null/loopback and raw IP links; frames of other links are unsupported. IPv6 addresses are eight groups of four hex digits.
     """
     f = F.col("frame")
     tagged = (F.col("link_type") == 1) & F.coalesce(_uint(f, F.lit(12), 2) == 0x8100, F.lit(False))
-    out = packets.withColumns({"vlan": F.when(tagged, _uint(f, F.lit(14), 2) % 4096), "_l3": F.when(tagged, 18).when(F.col("link_type") == 1, 14).when(F.col("link_type") == 0, 4).otherwise(0)})
+    out = packets.withColumns({"vlan": F.when(tagged, _uint(f, F.lit(14), 2) % 4096), "_l3": F.when(tagged, 18).when(F.col("link_type") == 1, 14).when(F.col("link_type").isin(0, 108), 4).otherwise(0)})
     out = out.withColumns({"_type": F.when(F.col("link_type") == 1, _uint(f, F.col("_l3") - 2, 2)), "_v": F.floor(_uint(f, F.col("_l3"), 1) / F.lit(16))})
-    ip = F.col("_type").isNull() & (F.col("link_type") != 1) | F.col("_type").isin(0x0800, 0x86DD)
+    ip = F.col("link_type").isin(0, 101, 108) | F.col("_type").isin(0x0800, 0x86DD)
     l3, four = F.col("_l3"), F.col("_v") == 4
     dotted = lambda at: F.concat_ws(".", *[_uint(f, at + i, 1).cast("string") for i in range(4)])
     colons = lambda at: F.rtrim(F.regexp_replace(F.lower(F.hex(F.substring(f, at + 1, F.lit(16)))), "(....)(?=.)", "$1:"))
@@ -156,7 +156,9 @@ def headers(packets: DataFrame) -> DataFrame:
         "src": F.when(ok, F.when(four, dotted(l3 + 12)).otherwise(colons(l3 + 8))), "dst": F.when(ok, F.when(four, dotted(l3 + 16)).otherwise(colons(l3 + 24))),
         "proto": F.when(ok, F.when(four, _uint(f, l3 + 9, 1)).otherwise(_uint(f, l3 + 6, 1))), "_l4": F.when(ok, l3 + F.when(four, _uint(f, l3, 1) % 16 * 4).otherwise(40)),
         "_end": F.when(ok, l3 + F.when(four, _uint(f, l3 + 2, 2)).otherwise(_uint(f, l3 + 4, 2) + 40))})
-    l4, tcp, ported = F.col("_l4"), F.col("proto") == 6, F.col("proto").isin(6, 17)
+    # A later fragment of a datagram holds no transport header.
+    head = ~F.coalesce(four & (_uint(f, l3 + 6, 2) % 8192 > 0), F.lit(False))
+    l4, tcp, ported = F.col("_l4"), head & (F.col("proto") == 6), head & F.col("proto").isin(6, 17)
     out = out.withColumns({
         "src_port": F.when(ported, _uint(f, l4, 2)), "dst_port": F.when(ported, _uint(f, l4 + 2, 2)), "seq": F.when(tcp, _uint(f, l4 + 4, 4)), "ack": F.when(tcp, _uint(f, l4 + 8, 4)),
         "tcp_flags": F.when(tcp, _uint(f, l4 + 13, 1)), "window": F.when(tcp, _uint(f, l4 + 14, 2)),

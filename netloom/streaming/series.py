@@ -1,4 +1,4 @@
-"""Streaming forms: late packets are split off and reported, never dropped; on-time ones are counted in windows."""
+"""Streaming forms: `late_split` marks late packets and drops none; `buckets` counts windows and, as Spark does, drops what comes after the grace, so chain it after the split."""
 
 from __future__ import annotations
 

@@ -3,8 +3,10 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from netloom.functions.display_filter import Field, FilterError, compile_filter
+from netloom.functions import network as net
+from netloom.functions.display_filter import Field, FilterError, compile_filter, compile_for_series, connection_fields
 from netloom.operators import joins, tcp
 from netloom.plans.queries import ORACLE_SQL, QUERIES
 
@@ -24,13 +26,31 @@ def test_query_equals_sql(spark, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("source,token", [("k ==", ""), ("and k", "and"), ('k == "a', '"'), ("k in {}", "}"), ("(k", "")])
+@pytest.mark.parametrize("source,token", [("k ==", "<end>"), ("and k", "and"), ('k == "a', "<end>"), ("k in {}", "}"), ("(k", "<end>"), ('k == "a\\n"', "n"), ("k == \u0663", "\u0663"), ("k\u0085", "\u0085")])
 def test_bad_filters_say_where(spark, source, token):
     with pytest.raises(FilterError) as e:
         compile_filter(source, {"k": Field("k", "uint")})
     assert e.value.token == token
 
 
+def test_filter_positions_count_utf16_units():
+    with pytest.raises(FilterError) as e:
+        compile_filter('k == "\U0001f600" \ufeff )', {"k": Field("k", "str")})
+    assert (e.value.token, e.value.position) == (")", 12)
+
+
+def test_filters_for_series_refuse_what_only_viewers_know():
+    fields = connection_fields({}) | {"dns.response_to": Field("r", "uint")}
+    for source in ('connection.protocol == "DNS"', "dns.response_to == 3"):
+        with pytest.raises(FilterError):
+            compile_for_series(source, fields)
+
+
+def test_filters_reach_the_scan(spark):
+    df = spark.read.parquet(f"{SF}/lineitem.parquet").where(compile_filter("n >= 3 and n in {4, 5}", {"n": Field("l_linenumber", "uint")}))
+    assert "GreaterThanOrEqual(l_linenumber,3)" in df._jdf.queryExecution().toString()
+
+
 def test_null_fields_are_two_valued(spark):
     df = spark.sql("select * from values (1, null), (2, 5) as t(id, k)")
     fields = {"k": Field("k", "uint")}
@@ -39,10 +59,43 @@ def test_null_fields_are_two_valued(spark):
 
 
 def test_retransmits_cross_the_wrap(spark):
-    df = spark.createDataFrame([(1, i, s) for i, s in enumerate([4294967290, 4, 4294967295, 10])], "flow long, idx int, seq long")
+    df = spark.createDataFrame([(1, i, s, True, 1) for i, s in enumerate([4294967290, 4, 4294967295, 10])], "flow long, idx int, seq long, outbound boolean, len long")
     assert [r.retransmit for r in tcp.retransmits(df).orderBy("idx").collect()] == [False, False, True, False]
 
 
+def test_retransmits_count_payload_and_each_direction(spark):
+    rows = [(100, True, 10), (110, True, 0), (110, True, 10), (500, False, 7), (110, True, 10), (500, False, 0)]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "flow long, idx int, seq long, outbound boolean, len long")
+    marked = tcp.retransmits(df)
+    assert [r.retransmit for r in marked.orderBy("idx").collect()] == [False, False, False, False, True, False]
+    assert tcp.loss_percent(marked).first().asDict() == {"flow": 1, "segments": 4, "retransmits": 1, "loss": 25.0}
+
+
+def test_fifo_is_a_queue(spark):
+    got = {r.req_ordinal: (r.resp_ordinal, r.service_us) for r in QUERIES["txn_fifo"](spark, "/root/testdata/sf0.01").collect()}
+    p = pd.read_parquet("/root/testdata/sf0.01/events.parquet").sort_values("event_id")
+    open_, want = {}, {}
+    for r in p.itertuples():
+        queue = open_.setdefault(r.user_id, [])
+        if r.event_type == "view":
+            queue.append((r.event_id, r.ts))
+            want[r.event_id] = (None, None)
+        elif r.event_type == "purchase" and queue:
+            first, sent = queue.pop(0)
+            want[first] = (r.event_id, max(0, (r.ts - sent) // pd.Timedelta(microseconds=1)))
+    assert got == want and sum(v[0] is not None for v in want.values()) > 1400
+
+
+def test_addresses_and_secrets(spark):
+    one = lambda rows, c: [r[0] for r in spark.createDataFrame([(x,) for x in rows], "x string").select(c).collect()]
+    ips = ["::1", "::", "fe80::1", "fe90::1", "fd00::1", "ff02::1", "::ffff:10.0.0.1", "::ffff:999.1.1.1", "::ffff:1234.1.1.1", "2001:db8::1", "10.1.1.1", "8.8.8.8", None]
+    assert one(ips, net.is_private(F.col("x"))) == [True, False, True, False, True, True, True, True, False, False, True, False, False]
+    assert one(["\tBearer abc", "\u3000bearer x", "bearerx", None], net.redact(F.lit("x-any"), F.col("x"))) == ["[REDACTED]", "[REDACTED]", "bearerx", None]
+    assert one(["a\u00e9\n\U0001f600b", "", None], net.display_safe(F.col("x"), 4)) == ["a\\u{e9}\\u{a}\\u{1f600}…", "", None]
+    assert one(["GET /x HTTP/1.1\r\nHost: a", "GET /x", "GET x\n", "get /x\n"], net.http_request(F.col("x"))) == [("GET", "/x"), None, None, None]
+    assert one(["Text/HTML; charset=x", "a/b/c", " a/b ", "a", "/b"], net.media_type(F.col("x"))) == ["text/html", None, "a/b", None, None]
+
+
 def test_paced_sample_is_greedy(spark):
     got = QUERIES["paced_sample"](spark, SF).toPandas().set_index("ordinal")["admitted"]
     p = pd.read_parquet(f"{SF}/events.parquet").sort_values(["user_id", "ts", "event_id"])
