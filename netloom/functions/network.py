@@ -150,7 +150,7 @@ def ja3(version: Column, *lists: Column) -> Column:
 #: Request methods that are sniffed; bytes of a header token; flag names in the order of display.
 HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH")
 TOKEN = "[!#$%&'*+.^_`|~0-9A-Za-z-]+"
-FLAG_NAMES = ((2, "SYN"), (16, "ACK"), (1, "FIN"), (4, "RST"), (8, "PSH"))
+FLAG_NAMES = ((2, "SYN"), (1, "FIN"), (4, "RST"), (8, "PSH"), (16, "ACK"))
 
 
 def http_request(payload: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from netloom.functions import network as net
 from netloom.functions.display_filter import Field, FilterError, compile_filter, compile_for_series, connection_fields
-from netloom.operators import joins, tcp
-from netloom.plans.queries import ORACLE_SQL, QUERIES
+from netloom.operators import joins, tcp, views
+from netloom.plans.views import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,3 +111,36 @@ def test_spans_touch(spark):
     a = spark.createDataFrame([("x", 0, 5), ("x", 7, 7), ("x", 10, 12)], "k string, from_us long, to_us long")
     b = spark.createDataFrame([("x", 4, 8), ("y", 0, 99)], "k string, from_us long, to_us long")
     assert sorted(r.left_from_us for r in joins.spans_touching(a, b, "k").collect()) == [0, 7]
+
+
+def test_transactions_equal_a_plain_loop(spark):
+    for name, timeout in (("dns_transactions", 5_000_000), ("http_transactions", 30_000_000)):
+        got = {r.ordinal: (r.event, r.request, r.service_us) for r in QUERIES[name](spark, SF).collect()}
+        p = pd.read_parquet(f"{SF}/events.parquet").sort_values("event_id")
+        flows, want = {}, {}
+        for r in p[p.event_type.isin(["view", "purchase"])].itertuples():
+            now, k = r.event_id * 20_000, int(r.props.split(":")[1].strip(" }"))
+            waiting, done = flows.setdefault(r.user_id, ([], {}))
+            waiting[:] = [x for x in waiting if now - x[0] < timeout]
+            dns, key = name.startswith("dns"), k % 3
+            same = [x for x in waiting if not dns or x[2] == key]
+            if r.event_type == "view":
+                known = dns and bool(same)
+                want[r.event_id] = ("retransmitted" if known else "request" if len(waiting) < 32 or dns else "untracked", None, None)
+                if want[r.event_id][0] == "request":
+                    done.pop(key, None)
+                    waiting.append((now, r.event_id, key))
+            elif same and not dns and k < 10:
+                want[r.event_id] = ("informational", None, None)
+            elif same:
+                waiting.remove(same[0])
+                done[key] = now
+                want[r.event_id] = ("answered", same[0][1], now - same[0][0])
+            else:
+                want[r.event_id] = ("duplicate" if dns and now - done.get(key, -timeout) < timeout else "unmatched", None, None)
+        assert got == want and len({v[0] for v in want.values()}) > 3
+
+
+def test_chart_steps():
+    assert [views.finest_interval_ms(0, x) for x in (200_000, 200_001, 2_000_001, 10**9)] == [100, 1000, 10_000, 60_000]
+    assert [views.finest_bin_us(x) for x in (200_000, 200_001, 10**13)] == [1000, 2000, 3_600_000_000]
