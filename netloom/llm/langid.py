@@ -61,8 +61,10 @@ class Model:
         if self.names:
             self.code = codewords(len(self.names))
             targets = self.code[[self.names.index(v) for v in langs]]
-            self.w = bit_models(x, targets)
-            right = ((np.c_[x, np.ones(len(x), x.dtype)] @ self.w) * targets > 0).mean(axis=0)
+            _, own, counts = np.unique(langs, return_inverse=True, return_counts=True)
+            weight = 1 / counts[own] / len(counts)  # every language weighs the same
+            self.w = bit_models(x, targets, weight)
+            right = weight @ ((np.c_[x, np.ones(len(x), x.dtype)] @ self.w) * targets > 0)
             self.trust = np.clip(np.log((right + 0.01) / (1.01 - right)), 0.01, None)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -38,13 +38,14 @@ class Logistic:
         return np.c_[np.ones(len(x)), (x - self.mean) / self.sd] @ self.w
 
 
-def bit_models(x: np.ndarray, targets: np.ndarray, l2: float = 1e-5, steps: int = 400, rate: float = 0.5) -> np.ndarray:
-    """Weights (features + 1, bits) of binary logistic models trained together by Adam; targets are -1 and 1."""
+def bit_models(x: np.ndarray, targets: np.ndarray, weight: np.ndarray, l2: float = 1e-5, steps: int = 400, rate: float = 0.5) -> np.ndarray:
+    """Weights (features + 1, bits) of binary logistic models trained together by Adam; targets are -1 and 1, row weights sum to 1."""
+    weight = weight.astype(x.dtype)[:, None]
     z = np.c_[x, np.ones(len(x), x.dtype)]
     w = np.zeros((z.shape[1], targets.shape[1]), x.dtype)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        g = -z.T @ (targets * sigmoid(-targets * (z @ w))).astype(x.dtype) / len(z) + l2 * w
+        g = -z.T @ (weight * targets * sigmoid(-targets * (z @ w))).astype(x.dtype) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * min(1.0, 10 / t + 0.1)
     return w

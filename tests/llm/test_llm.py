@@ -1,3 +1,4 @@
+import hashlib
 import os
 import re
 import zlib
@@ -6,6 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from netloom.llm import ann, decontam, langid, license, linededup, mixing, ngram_join, quality, toxicity, warc
@@ -42,6 +44,61 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert hit[3] == 30_000 and hit[1] == 0
 
 
+BIG = 1 << 60
+
+
+def test_ids_above_2_to_the_60_stay_exact_beside_nulls(spark):
+    pages = spark.createDataFrame([(BIG + 1, "u", "same"), (BIG + 3, "u", "same"), (None, "u", "same"), (None, "u", "other")], "page_id long, url string, html string").coalesce(1)
+    got = warc.digest(pages).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got) == [(0, "response", None), (0, "revisit", BIG + 1), (BIG + 1, "response", None), (BIG + 3, "revisit", BIG + 1)]
+    docs = spark.createDataFrame([(BIG + 3, "a b c d e f"), (BIG + 1, "A  b c d e f"), (None, "a b c d e f"), (BIG + 5, "x y"), (BIG + 7, None)], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs).collect()}
+    assert rows == {BIG + 1: (3, BIG + 1), BIG + 3: (3, BIG + 1), None: (3, None), BIG + 5: (1, BIG + 5), BIG + 7: (0, BIG + 7)}
+
+
+def test_every_record_has_the_mandatory_fields(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (None, None, None)], "page_id long, url string, html string")
+    index = warc.write_bundles(pages)
+    heads = [h for r in warc.fetch(index, pages).collect() for h, _ in warc.records(bytes(r.record))]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) == 2 and all({"WARC-Date", "WARC-Type", "Content-Length"} <= set(h) for h in heads)
+    answer, again = sorted(heads, key=lambda h: h["WARC-Type"])
+    assert again["WARC-Refers-To"] == answer["WARC-Record-ID"]
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one long line here\nx", "k", "s", 1, "f", "c", "en", "src0"), (2, "one long line here\ny", "k", "s", 2, "f", "c", "en", "src0")],
+                                 "doc_id long, text string, keys string, s string, n_lines long, _full string, _key string, lang string, source string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert (got[2]["keys"], got[2].s, got[2].text, got[2].n_lines, got[2].n_dropped) == ("k", "s", "y", 2, 1)
+    mixed = mixing.mix(docs)
+    assert {(r._full, r._key, r.copies) for r in mixed.collect()} == {("f", "c", 1)} and mixed.columns == [*docs.columns, "n_tokens", "copies"]
+
+
+def _mixture(spark, rows, **how):
+    docs = spark.createDataFrame([(i, "w " * n, lang, source) for i, (n, lang, source) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    return {r.doc_id: r.copies for r in mixing.mix(docs, max_epochs=1, **how).collect()}
+
+
+def test_mixing_passes_a_shortage_up_two_levels(spark):
+    # 30 tokens to give. Domain x holds 6 in all: its languages and sources cannot take more, so y gets 24 of its 40.
+    rows = [(2, "en", "x1"), (2, "en", "x2"), (2, "de", "x1")] + [(2, "en", "y1")] * 20
+    copies = _mixture(spark, rows, share=30 / 46)
+    assert [copies[i] for i in range(3)] == [1, 1, 1] and sum(copies.values()) == 15
+    # Within x the weights 3 : 1 hold while both have enough: of 8 tokens 6 are English.
+    rows = [(1, "en", "x1")] * 20 + [(1, "de", "x1")] * 20
+    copies = _mixture(spark, rows, share=8 / 40, weights={"lang": {"en": 3.0}})
+    assert sum(copies[i] for i in range(20)) == 6 and sum(copies[i] for i in range(20, 40)) == 2
+
+
+def test_mixing_takes_a_weight_of_zero(spark):
+    rows = [(1, "en", "x1")] * 4 + [(1, "de", "x1")] * 4
+    copies = _mixture(spark, rows, share=0.5, weights={"lang": {"de": 0.0}})
+    assert [copies[i] for i in range(8)] == [1, 1, 1, 1, 0, 0, 0, 0]
+    assert sum(_mixture(spark, rows, weights={"lang": {"de": 0.0, "en": 0.0}}).values()) == 0
+    with pytest.raises(ValueError):
+        _mixture(spark, rows, weights={"lang": {"de": -1.0}})
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(2, "u", "same"), (1, None, "same"), (3, "u", None), (4, "u", "é" * 400_000)], "page_id long, url string, html string")
     index = warc.write_bundles(pages, frame_bytes=1000)
@@ -166,6 +223,30 @@ def test_nearest_of_odd_vectors(spark):
     assert [r[3] for r in got] == [1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, -1.0] and ann.nearest(df.limit(0)).count() == 0
 
 
+def _licences(text, share=0.8):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    at = lambda p: [s for s in range(len(w) - len(p) + 1) if w[s : s + len(p)] == p]
+    places = {label: at(p.split()) for p, label in license.BASE.items()}
+    everywhere, labels, best = sum(places.values(), []), {x for x, v in places.items() if v}, 0.0
+    base = ",".join(sorted(labels))
+    for label, template, must in license.TEMPLATES:
+        t, m = template.split(), must.split()
+        o = next(i for i in range(len(t)) if t[i : i + len(m)] == m)
+        for s in at(m):
+            same = sum(0 <= s - o + i < len(w) and w[s - o + i] == x for i, x in enumerate(t)) / len(t)
+            if same >= share:
+                labels, best = labels | {label}, max(best, same)
+    return len(w), len(everywhere), min(everywhere, default=None), max(everywhere, default=None), base, ",".join(sorted(labels)), 1.0 if base else best
+
+
+def test_licences_equal_brute_force(spark):
+    mit, bsd = license.TEMPLATES[0][1], license.TEMPLATES[3][1]
+    odd = [None, "", mit.upper(), mit.replace("merge publish", "fork and sell"), "granted free of charge to any person obtaining a copy", f"x {bsd} the mit license {mit}", "cc by nc cc by nc", "word " * 30_000 + "the mit license", "boost software license"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6, t) for t in odd] + [(None, mit)], "doc_id long, text string"))
+    got = sorted(map(str, (tuple(r)[1:] for r in license.scan(docs).collect())))
+    assert got == sorted(str(_licences(r.text)) for r in docs.collect())
+
+
 def test_license_base_places(spark):
     df = spark.createDataFrame([(1, "x The MIT-License, the mit license. Apache License, Version 2.0"), (2, "ccbync"), (3, "CC BY NC")], "doc_id long, text string")
     a, b, c = license.scan(df).orderBy("doc_id").collect()
@@ -199,6 +280,66 @@ def test_words_of_three_letters_are_found(restored):
     assert [restored(" ".join(w)).strip() for w in ("the", "for", "are", "was")] == ["the", "for", "are", "was"] and restored("5cum!") == "scum"
 
 
+def test_restoring_takes_linear_time(restored):
+    import time
+
+    for text in ("abcdefgh", "0123456789", "a1", "a b ", "!", " . ", "x12345678"):
+        began = time.perf_counter()
+        restored(text * (200_000 // len(text)))
+        assert time.perf_counter() - began < 20, text
+
+
+def test_quality_is_learned_and_kept(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    apart = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    got = quality.scores(docs, labels.where(~apart)).join(labels.where(apart & F.col("quality").isNotNull()), "doc_id").toPandas()
+    assert (got.keep == (got.quality == 1)).mean() > 0.95 and got[got.quality == 1].keep.mean() > 0.97
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "the quick brown fox jumps over lazy dogs and runs away", "en") for i in range(3000)] + [(10**6 + i, "zażółć gęślą jaźń pchnąć w tę łódź jeża", "pl") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.lang_pred for r in langid.predict(docs, sample=200).where("doc_id >= 1000000").collect()}
+    assert got == {"pl"}
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "mixing"]
+    stages, held = dict(corpus_pipeline.STAGES), [docs]
+    for name in stages:
+        held.append(corpus_pipeline.cut(stages[name](spark, held[-1], SF), "test"))
+    con = duckdb.connect()
+    for n, d in enumerate(held):
+        con.register(f"h{n}", d.toPandas())
+    con.execute(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+    kept = quality.scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("keep")
+    assert {r.doc_id for r in held[1].collect()} == {r.doc_id for r in kept.collect()}
+    lines = con.execute(ORACLE_SQL["op2_line_dedup"].replace("FROM documents", "FROM h1") + " ORDER BY doc_id").df()
+    lines = lines[(lines.n_dropped == 0) | (lines.kept_sha256 != hashlib.sha256(b"").hexdigest())]
+    assert {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in held[2].collect()} == dict(zip(lines.doc_id, lines.kept_sha256, strict=True))
+    first = ngram_join.similar_components(held[2], 5, 80, 100).where("doc_id = component_id")
+    assert {r.doc_id for r in held[3].collect()} == {r.doc_id for r in first.collect()}
+    clean = con.execute("SELECT doc_id FROM (" + ORACLE_SQL["op1_decontaminate"].replace("FROM documents", "FROM h3") + ") WHERE NOT contaminated").df()
+    assert {r.doc_id for r in held[4].collect()} == set(clean.doc_id)
+    share = con.execute("SELECT doc_id, copies FROM (" + mixing.mixture_sql("h4", weights=mixing.WEIGHTS) + ") WHERE copies > 0").df()
+    assert {r.doc_id: r.copies for r in held[5].collect()} == dict(zip(share.doc_id, share.copies, strict=True))
+    assert all(d.columns == docs.columns for d in held[:5])
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(3, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "mit license words"), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (odd.withColumn("_key", F.lit(1)), odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs.where("doc_id is null or doc_id != 3"), str(tmp_path))
+            assert {None} <= {r.doc_id for r in got.collect()} or not docs.count()
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     lang = langid.predict(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
