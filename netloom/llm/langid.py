@@ -99,31 +99,6 @@ def train(docs: DataFrame, sample: int = 4000) -> Model:
     return Model(x, got["lang"].to_numpy())
 
 
-def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language, its share of the decoding, and whether the runner-up is close."""
-        margin = np.c_[x, np.ones(len(x), x.dtype)] @ self.w
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]) @ (self.trust / self.trust.sum())
-        p = np.exp(-loss * len(self.trust))
-        p /= p.sum(axis=1, keepdims=True)
-        best = loss.argmin(axis=1)
-        top = np.sort(p, axis=1)
-        close = top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0) < 0.2
-        return np.array(self.names, object)[best], p[np.arange(len(p)), best], close
-
-
-def train(docs: DataFrame, sample: int = 4000) -> Model:
-    known = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = known.select("doc_id", F.xxhash64("doc_id").alias("r")).orderBy("r", "doc_id").limit(sample).select("doc_id").distinct()
-
-    def view(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "lang": rows["lang"], "x": [features(t).tobytes() for t in rows["text"]]})
-
-    got = known.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").mapInPandas(view, "doc_id long, lang string, x binary").limit(sample).toPandas().sort_values(["doc_id", "lang"])
-    x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]) if len(got) else np.empty((0, DIM), np.float32)
-    return Model(x, got["lang"].to_numpy())
-
-
 def predict(docs: DataFrame, sample: int = 4000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous."""
     model = train(docs, sample)
