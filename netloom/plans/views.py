@@ -10,7 +10,7 @@ from netloom.functions.display_filter import compile_filter, connection_fields
 from netloom.operators import rollups, stats, transactions, views
 from netloom.plans.model import FIELDS
 from netloom.plans.model import packets as read_packets
-from netloom.plans.queries import HOUR, ORACLE_SQL, QUERIES, _on_packets, _series, _series_sql
+from netloom.plans.queries import HOUR, ORACLE_SQL, QUERIES, _on_packets, _on_segments, _series, _series_sql
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 DAY0 = 1_704_067_200_000_000
@@ -116,3 +116,5 @@ _on_packets("http_requests", "SELECT ordinal, CASE WHEN app IN ('view', 'click')
             lambda p: p.select("ordinal", net.http_request(F.concat(F.when(F.col("app") == "view", "GET /").when(F.col("app") == "click", "  GET\t/").when(F.col("app") == "error", "get /").otherwise("GET x/"), F.col("k").cast("string"), F.lit(" HTTP/1.1\r\nHost: a\r\n\r\n"))).alias("r")).select("ordinal", "r.*"))
 _on_packets("media_types", "SELECT ordinal, CASE app WHEN 'view' THEN 'text/x-' || k WHEN 'click' THEN 'a/b' END AS media FROM p", lambda p: p.select("ordinal", net.media_type(F.when(F.col("app") == "view", F.concat(F.lit(" Text/X-"), F.col("k").cast("string"), F.lit(" ; charset=x"))).when(F.col("app") == "click", "A/b").otherwise("a b/c")).alias("media")))
 _on_packets("display_safe_texts", "SELECT ordinal, app || '\\u{e9}\\u{9}' || CASE WHEN length(app) > 4 THEN '…' ELSE k || CASE WHEN length(app) + length(CAST(k AS VARCHAR)) + 2 > 99 THEN '…' ELSE '' END END AS text FROM p WHERE app = 'view'", lambda p: p.where("app = 'view'").select("ordinal", net.display_safe(F.concat("app", F.lit("é\t"), F.col("k").cast("string")), 99).alias("text")))
+
+_on_segments("top_n_segments", "SELECT flow, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM s GROUP BY flow ORDER BY bytes DESC, flow LIMIT 10", lambda s: rollups.top_n(s, "flow", 10))
