@@ -57,3 +57,14 @@ def unmatched_responses(matched: DataFrame, packets: DataFrame, response: Column
     """Responses that answer no request."""
     used = matched.where("resp_ordinal is not null").select(F.col("resp_ordinal").alias("ordinal"))
     return packets.where(response).join(used, "ordinal", "left_anti")
+
+
+def longest_prefix(points: DataFrame, services: DataFrame, point: str, value: str) -> DataFrame:
+    """points with the value of the narrowest block that holds them. services: low, high, value."""
+    sized = services.select("low", "high", (F.col("high") - F.col("low")).alias("_width"), value)
+    return in_range(points, sized, point, "low", "high", "_width", value, 256)
+
+
+def hop_places(hops: DataFrame, places: DataFrame) -> DataFrame:
+    """hops (connection, hop, ip) with the country and organisation of their address; hops that gave no address keep nulls."""
+    return hops.join(places.select("ip", "country", "org"), "ip", "left").select("connection", "hop", "ip", "country", "org")

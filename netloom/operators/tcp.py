@@ -39,3 +39,21 @@ def turns(pieces: DataFrame, stream: str, order: str, side: str, size: str) -> D
     fresh = F.coalesce((F.col(side) != F.lag(side).over(w)).cast("int"), F.lit(1))
     runs = pieces.withColumns({"_s": start, "_f": fresh}).withColumn("turn", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return runs.groupBy(stream, "turn", side).agg(F.min("_s").alias("start"), F.sum(size).alias("length"))
+
+
+MAX_SHIFT = 14
+
+
+def scaled_windows(samples: DataFrame, key: str) -> DataFrame:
+    """samples (key, index, outbound, syn, ack, win, wscale) with `window` and `scaled`.
+
+    Scaling holds once each side's first SYN was seen, one of them with an ACK and both with the option; a SYN's own window
+    is never scaled. Shifts above MAX_SHIFT count as that.
+    """
+    so_far = Window.partitionBy(key).orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = lambda side: F.first(F.when(F.col("syn") & (F.col("outbound") == F.lit(side)), F.struct("ack", F.least(F.col("wscale"), F.lit(MAX_SHIFT)).alias("shift"))), ignorenulls=True).over(so_far)
+    seen = samples.withColumns({"_l": first(True), "_r": first(False)})
+    agreed = F.coalesce((F.col("_l.ack") != F.col("_r.ack")) & F.col("_l.shift").isNotNull() & F.col("_r.shift").isNotNull() & ~F.col("syn"), F.lit(False))
+    shift = F.when(F.col("outbound"), F.col("_l.shift")).otherwise(F.col("_r.shift"))
+    factor = F.element_at(F.array(*[F.lit(1 << i) for i in range(MAX_SHIFT + 1)]), F.coalesce(shift, F.lit(0)) + 1)
+    return seen.withColumns({"scaled": agreed, "window": F.when(agreed, F.col("win") * factor).otherwise(F.col("win"))}).drop("_l", "_r")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from netloom.functions import network as net
 from netloom.functions.display_filter import compile_filter, connection_fields
-from netloom.operators import rollups, stats, transactions, views
+from netloom.operators import joins, rollups, stats, tcp, transactions, views
 from netloom.plans.model import FIELDS
 from netloom.plans.model import packets as read_packets
 from netloom.plans.queries import HOUR, ORACLE_SQL, QUERIES, _on_packets, _on_segments, _series, _series_sql
+from netloom.sources import events
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 DAY0 = 1_704_067_200_000_000
@@ -118,3 +119,17 @@ _on_packets("media_types", "SELECT ordinal, CASE app WHEN 'view' THEN 'text/x-'
 _on_packets("display_safe_texts", "SELECT ordinal, app || '\\u{e9}\\u{9}' || CASE WHEN length(app) > 4 THEN '…' ELSE k || CASE WHEN length(app) + length(CAST(k AS VARCHAR)) + 2 > 99 THEN '…' ELSE '' END END AS text FROM p WHERE app = 'view'", lambda p: p.where("app = 'view'").select("ordinal", net.display_safe(F.concat("app", F.lit("é\t"), F.col("k").cast("string")), 99).alias("text")))
 
 _on_segments("top_n_segments", "SELECT flow, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM s GROUP BY flow ORDER BY bytes DESC, flow LIMIT 10", lambda s: rollups.top_n(s, "flow", 10))
+_SYNS = """, g AS (SELECT flow, ordinal, CAST(row_number() OVER (PARTITION BY flow ORDER BY ordinal) - 1 AS INTEGER) AS idx, outbound, k % 4 = 0 AS syn, k % 3 = 0 AS ack, bytes % 65536 AS win, CASE WHEN k % 5 > 0 THEN k % 17 END AS wscale FROM p),
+f AS (SELECT flow, outbound, min(idx) AS at_idx, min_by(ack, idx) AS ack, arg_min_null(least(wscale, 14), idx) AS shift FROM g WHERE syn GROUP BY flow, outbound)"""
+_on_packets("scaled_windows", f"""{_SYNS} SELECT g.ordinal, coalesce(g.idx >= l.at_idx AND g.idx >= r.at_idx AND l.ack <> r.ack AND l.shift IS NOT NULL AND r.shift IS NOT NULL AND NOT g.syn, false) AS scaled,
+  CASE WHEN coalesce(g.idx >= l.at_idx AND g.idx >= r.at_idx AND l.ack <> r.ack AND l.shift IS NOT NULL AND r.shift IS NOT NULL AND NOT g.syn, false) THEN g.win << CASE WHEN g.outbound THEN l.shift ELSE r.shift END ELSE g.win END AS win
+  FROM g LEFT JOIN f l ON l.flow = g.flow AND l.outbound LEFT JOIN f r ON r.flow = g.flow AND NOT r.outbound""",
+    lambda p: tcp.scaled_windows(_ring(p).join(p.select("ordinal", (F.col("k") % 4 == 0).alias("syn"), (F.col("k") % 3 == 0).alias("ack"), (F.col("bytes") % 65536).alias("win"), F.when(F.col("k") % 5 > 0, F.col("k") % 17).alias("wscale")), "ordinal"), "flow").select("ordinal", "scaled", F.col("window").alias("win")))
+_on_packets("longest_prefix", """, r AS (SELECT ordinal % 4000 AS low, ordinal % 4000 + (k + 1) * 10 AS high, (k + 1) * 10 * 1000000 + ordinal AS width, 'svc' || ((k + 1) * 10) AS svc FROM p WHERE ordinal % 50 = 0)
+SELECT p.ordinal, min_by(svc, width) AS svc FROM p LEFT JOIN r ON p.bytes BETWEEN low AND high GROUP BY p.ordinal""",
+    lambda p: joins.longest_prefix(p.select("ordinal", "bytes"), p.where("ordinal % 50 = 0").selectExpr("ordinal % 4000 as low", "ordinal % 4000 + (k + 1) * 10 as high", "concat('svc', (k + 1) * 10) as svc"), "bytes", "svc").select("ordinal", "svc"))
+_on_packets("hop_places", "SELECT flow AS connection, k AS hop, 'c' || (k // 2) AS country, CASE WHEN k % 2 = 0 THEN 'o' || k END AS org FROM p WHERE k < 60 UNION ALL SELECT flow, k, NULL, NULL FROM p WHERE k >= 60",
+            lambda p: joins.hop_places(p.select(F.col("flow").alias("connection"), F.col("k").alias("hop"), F.when(F.col("k") < 80, F.concat(F.lit("ip"), F.col("k").cast("string"))).alias("ip")), p.where("k < 60").selectExpr("concat('ip', k) as ip", "concat('c', k div 2) as country", "if(k % 2 = 0, concat('o', k), null) as org").distinct()).drop("ip"))
+_on_packets("wire_events", """SELECT CAST(ordinal AS VARCHAR) AS id, CASE WHEN app = 'error' THEN 'unknown' ELSE 'ESTABLISHED' END AS status, CASE WHEN k % 4 > 0 THEN bytes END AS "rxBytesTotal", k % 4 = 0 OR bytes < 0 OR k < 10 AS bad FROM p WHERE app <> 'click'""",
+    lambda p: events.parsed(events.written(p.where("app != 'click'").select(F.col("ordinal").cast("string").alias("id"), F.lit("TCP").alias("protocol"), F.when(F.col("app") == "error", "odd").otherwise("ESTABLISHED").alias("status"), F.when(F.col("k") % 4 > 0, F.col("bytes")).alias("rxBytesTotal"), (F.col("k") - 10).alias("txBytesTotal")), "connection_update")
+                            .union(events.written(p.select(F.col("ordinal").alias("code")), "finding")), "connection_update").select("id", "status", "rxBytesTotal", "bad"))
