@@ -1,10 +1,14 @@
-"""Ordered TCP operators in native window form."""
+"""Ordered TCP operators: native windows, and a fold for round trips."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.folds import fold
+
 HALF, WHOLE = 1 << 31, 1 << 32
 
 
@@ -57,3 +61,63 @@ def scaled_windows(samples: DataFrame, key: str) -> DataFrame:
     shift = F.when(F.col("outbound"), F.col("_l.shift")).otherwise(F.col("_r.shift"))
     factor = F.element_at(F.array(*[F.lit(1 << i) for i in range(MAX_SHIFT + 1)]), F.coalesce(shift, F.lit(0)) + 1)
     return seen.withColumns({"scaled": agreed, "window": F.when(agreed, F.col("win") * factor).otherwise(F.col("win"))}).drop("_l", "_r")
+
+
+MAX_OUTSTANDING = 256
+
+
+def ack_rtts(samples: DataFrame, key: str) -> DataFrame:
+    """samples (key, index, ts_us, outbound, seq, ack, has_ack, len, retransmit) with `rtt_us`, else null.
+
+    An ACK answers all data of the other side that it covers; the newest of it gives the round trip. After a retransmission
+    no ACK of bytes from there on can be told apart, so what was sent from there on is forgotten (Karn's rule). At most
+    MAX_OUTSTANDING segments a direction wait, the oldest go first. Sequence numbers compare by signed 32-bit distance.
+    """
+    passed = lambda a, b: 0 < (a - b) % WHOLE < HALF
+
+    def step(waiting: dict[bool, deque], row: dict) -> int | None:
+        own, peer, sent = waiting[bool(row["outbound"])], waiting[not row["outbound"]], None
+        while row["has_ack"] and peer and not passed(peer[0][0], int(row["ack"])):
+            sent = peer.popleft()[1]
+        if row["len"] > 0 and row["retransmit"]:
+            while own and passed(own[-1][0], int(row["seq"])):
+                own.pop()
+        elif row["len"] > 0:
+            own.append(((int(row["seq"]) + int(row["len"])) % WHOLE, row["ts_us"]))
+        return None if sent is None else max(0, int(row["ts_us"] - sent))
+
+    return fold(samples, key, ["index"], lambda: {side: deque(maxlen=MAX_OUTSTANDING) for side in (True, False)}, step, "rtt_us", "long")
+
+
+def ladder(samples: DataFrame, key: str, notable: Column, drawn: int = 4, most: int = 200) -> DataFrame:
+    """(key, place, kind, at, segments, rows, out_data, out_bytes, out_acks, in_data, in_bytes, in_acks, span_us): a flow's rows.
+
+    samples: key, index, ts_us, outbound, len. Notable segments and the first payload of each side are arrows; other
+    segments between them are arrows too, or one `run` where more than `drawn`. A `gap` stands where indexes are missing
+    (`segments` of them). Beyond `most` rows a flow keeps the first and last half; the middle is one `elided` row.
+    """
+    order = Window.partitionBy(key).orderBy("index")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opening = (F.col("len") > 0) & (F.row_number().over(Window.partitionBy(key, "outbound", F.col("len") > 0).orderBy("index")) == 1)
+    s = samples.withColumns({"_hit": F.coalesce(notable, F.lit(False)) | opening, "_gap": F.coalesce(F.col("index") - F.lag("index").over(order) - 1, F.lit(0))})
+    fresh = F.col("_hit") | F.coalesce(F.lag("_hit").over(order), F.lit(True)) | (F.col("_gap") > 0)
+    s = s.withColumn("_run", F.sum(fresh.cast("int")).over(so_far))
+    s = s.withColumn("_long", F.count(F.lit(1)).over(Window.partitionBy(key, "_run")) > drawn)
+    each = lambda which, what=1: F.sum(F.when(which, what).otherwise(0)).cast("bigint")
+    out, data = F.col("outbound"), F.col("len") > 0
+    rows = s.groupBy(key, "_run", "_long", F.when(~F.col("_long"), F.col("index")).alias("_own")).agg(
+        F.min("index").cast("bigint").alias("at"), F.count(F.lit(1)).alias("segments"), (F.max("ts_us") - F.min("ts_us")).alias("span_us"),
+        each(out & data).alias("out_data"), each(out, F.col("len")).alias("out_bytes"), each(out & ~data).alias("out_acks"),
+        each(~out & data).alias("in_data"), each(~out, F.col("len")).alias("in_bytes"), each(~out & ~data).alias("in_acks"))
+    rows = rows.withColumn("kind", F.when(F.col("_long"), "run").otherwise("arrow")).drop("_run", "_long", "_own")
+    gaps = s.where("_gap > 0").select(key, F.col("index").cast("bigint").alias("at"), F.col("_gap").cast("bigint").alias("segments"), F.lit("gap").alias("kind"))
+    rows = rows.unionByName(gaps, allowMissingColumns=True)
+    half = most // 2
+    placed = rows.withColumns({"_p": F.row_number().over(Window.partitionBy(key).orderBy("at", F.col("kind") != "gap")), "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    middle = (F.col("_n") > most) & (F.col("_p") > half) & (F.col("_p") <= F.col("_n") - half)
+    place = F.when(middle, half + 1).when((F.col("_n") > most) & (F.col("_p") > half), F.col("_p") - F.col("_n") + most + 1).otherwise(F.col("_p"))
+    placed = placed.withColumns({"_middle": middle, "place": place.cast("int"), "segments": F.when(middle & (F.col("kind") == "gap"), 0).otherwise(F.col("segments"))})
+    sums = ["segments", "span_us", "out_data", "out_bytes", "out_acks", "in_data", "in_bytes", "in_acks"]
+    whole = placed.groupBy(key, "place", "_middle").agg(F.first("kind").alias("kind"), F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in sums])
+    blank = lambda c: F.when(~F.col("_middle"), F.col(c)).alias(c)
+    return whole.select(key, "place", F.when(F.col("_middle"), "elided").otherwise(F.col("kind")).alias("kind"), "at", "rows", "segments", *[blank(c) for c in sums[1:]])

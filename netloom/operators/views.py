@@ -111,3 +111,26 @@ def connections_csv(rows: DataFrame, observed: int, columns: dict[str, Column])
     shown = rows.count()
     head = rows.sparkSession.createDataFrame([(-2, f"# showing {shown} of {observed} observed"), (-1, ",".join(columns))], "line long, text string")
     return head.unionByName(rows.select(F.col("place").cast("long").alias("line"), F.concat_ws(",", *columns.values()).alias("text")))
+
+
+def evicted(flows: DataFrame, key: str, now_us: int, idle_us: Column, most: int = 10_000) -> DataFrame:
+    """(key, reason) of flows (key, last_us) that a table of `most` flows lets go at now_us: `idle` beyond their idle time, and
+    of the others the least recently seen beyond `most` (`capacity`; of ties the larger key goes). For live tables only."""
+    idle = now_us - F.col("last_us") > idle_us
+    live = flows.where(~idle).select(key, "last_us")
+    kept = live.orderBy(F.desc("last_us"), key).limit(most).select(key)
+    over = live.join(kept, key, "left_anti").select(key, F.lit("capacity").alias("reason"))
+    return flows.where(idle).select(key, F.lit("idle").alias("reason")).union(over)
+
+
+MAX_HOP = 30
+
+
+def traces_complete(hops: DataFrame, key: str) -> DataFrame:
+    """(key, complete) of hops (key, hop, ip, remote): the remote address answered, or a hop of MAX_HOP or more was tried."""
+    return hops.groupBy(key).agg(F.bool_or(F.coalesce(F.col("ip") == F.col("remote"), F.lit(False)) | (F.col("hop") >= MAX_HOP)).alias("complete"))
+
+
+def packets_json(packets: DataFrame, order: str) -> DataFrame:
+    """(order, json): every packet as a JSON object with all its fields, nulls kept; written as text, one line a packet."""
+    return packets.select(order, F.to_json(F.struct(*packets.columns), {"ignoreNullFields": "false"}).alias("json"))

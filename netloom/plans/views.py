@@ -133,3 +133,34 @@ _on_packets("hop_places", "SELECT flow AS connection, k AS hop, 'c' || (k // 2)
 _on_packets("wire_events", """SELECT CAST(ordinal AS VARCHAR) AS id, CASE WHEN app = 'error' THEN 'unknown' ELSE 'ESTABLISHED' END AS status, CASE WHEN k % 4 > 0 THEN bytes END AS "rxBytesTotal", k % 4 = 0 OR bytes < 0 OR k < 10 AS bad FROM p WHERE app <> 'click'""",
     lambda p: events.parsed(events.written(p.where("app != 'click'").select(F.col("ordinal").cast("string").alias("id"), F.lit("TCP").alias("protocol"), F.when(F.col("app") == "error", "odd").otherwise("ESTABLISHED").alias("status"), F.when(F.col("k") % 4 > 0, F.col("bytes")).alias("rxBytesTotal"), (F.col("k") - 10).alias("txBytesTotal")), "connection_update")
                             .union(events.written(p.select(F.col("ordinal").alias("code")), "finding")), "connection_update").select("id", "status", "rxBytesTotal", "bad"))
+
+# Ladders and round trips. Rows with k % 11 = 0 are lost, so that indexes have gaps.
+_LADDER = f"""{_RING}, x AS (SELECT *, bytes > 0 AND row_number() OVER (PARTITION BY flow, outbound, bytes > 0 ORDER BY idx) = 1 AS opens FROM g WHERE k % 11 > 0),
+h AS (SELECT *, k % 7 = 0 OR opens AS hit, coalesce(idx - lag(idx) OVER (PARTITION BY flow ORDER BY idx) - 1, 0) AS gap FROM x),
+r AS (SELECT *, sum(CASE WHEN hit OR gap > 0 OR coalesce(before, true) THEN 1 ELSE 0 END) OVER (PARTITION BY flow ORDER BY idx) AS run FROM (SELECT *, lag(hit) OVER (PARTITION BY flow ORDER BY idx) AS before FROM h)),
+l AS (SELECT *, count(*) OVER (PARTITION BY flow, run) > 4 AS collapsed FROM r),
+w AS (SELECT flow, CASE WHEN collapsed THEN 'run' ELSE 'arrow' END AS kind, min(idx) AS start, count(*) AS segments, CAST(sum(bytes) FILTER (outbound) AS BIGINT) AS out_bytes, count(*) FILTER (NOT outbound AND bytes <= 0) AS in_acks
+  FROM l GROUP BY flow, run, collapsed, CASE WHEN NOT collapsed THEN idx END UNION ALL SELECT flow, 'gap', idx, gap, NULL, NULL FROM h WHERE gap > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY start, kind <> 'gap') AS p, count(*) OVER (PARTITION BY flow) AS n FROM w)"""
+_on_packets("flow_ladder", f"""{_LADDER} SELECT flow, CAST(CASE WHEN n > 20 AND p > 10 THEN p - n + 21 ELSE p END AS INTEGER) AS place, kind, CAST(start AS BIGINT) AS "at", 1::BIGINT AS rows, CAST(segments AS BIGINT) AS segments,
+  CASE WHEN kind <> 'gap' THEN coalesce(out_bytes, 0) END AS out_bytes, in_acks FROM n WHERE n <= 20 OR p <= 10 OR p > n - 10
+UNION ALL SELECT flow, 11, 'elided', CAST(min(start) AS BIGINT), count(*), CAST(sum(CASE WHEN kind = 'gap' THEN 0 ELSE segments END) AS BIGINT), NULL, NULL FROM n WHERE n > 20 AND p > 10 AND p <= n - 10 GROUP BY flow""",
+    lambda p: tcp.ladder(_ring(p).where("k % 11 > 0").withColumnRenamed("bytes", "len"), "flow", F.col("k") % 7 == 0, most=20).select("flow", "place", "kind", "at", "rows", "segments", "out_bytes", "in_acks"))
+_on_packets("evicted_flows", f"""{_HOSTS}, i AS (SELECT host, last_us, max(last_us) OVER () AS z FROM h), f AS (SELECT host, last_us FROM h WHERE NOT {DAY0 + 700 * HOUR} - last_us > {40 * HOUR} + host * 1000000)
+SELECT host, 'idle' AS reason FROM h WHERE {DAY0 + 700 * HOUR} - last_us > {40 * HOUR} + host * 1000000 UNION ALL SELECT host, 'capacity' FROM (SELECT host, row_number() OVER (ORDER BY last_us DESC, host) AS r FROM f) WHERE r > 5""",
+    lambda p: views.evicted(_hosts(p), "host", DAY0 + 700 * HOUR, F.lit(40 * HOUR) + F.col("host") * 1_000_000, 5))
+_on_packets("traces_complete", "SELECT flow, bool_or(coalesce('ip' || k = 'ip7', false) OR k // 3 >= 30) AS complete FROM p GROUP BY flow",
+            lambda p: views.traces_complete(p.select("flow", (F.col("k") / 3).cast("int").alias("hop"), F.concat(F.lit("ip"), F.col("k").cast("string")).alias("ip"), F.lit("ip7").alias("remote")), "flow"))
+_on_packets("packets_json", "SELECT ordinal, CAST(to_json({'ordinal': ordinal, 'app': app, 'k': CASE WHEN k > 50 THEN k END, 'outbound': outbound}) AS VARCHAR) AS json FROM p",
+            lambda p: views.packets_json(p.select("ordinal", "app", F.when(F.col("k") > 50, F.col("k")).alias("k"), "outbound"), "ordinal"))
+
+
+def _acked(p: DataFrame) -> DataFrame:
+    """Packets as segments of 10 bytes or none, both sides numbering near the wrap; a fold, so without SQL."""
+    n = F.col("index")
+    s = _ring(p).select("flow", "index", "ordinal", "ts_us", "outbound", ((F.lit(4294967096) + n * 10) % (1 << 32)).alias("seq"), ((F.lit(4294967096) + (n - F.col("k") % 4) * 10) % (1 << 32)).alias("ack"),
+                        (F.col("k") % 3 > 0).alias("has_ack"), F.when(F.col("k") % 2 == 0, 10).otherwise(0).cast("bigint").alias("len"), (F.col("k") % 10 == 4).alias("retransmit"))
+    return tcp.ack_rtts(s, "flow")
+
+
+QUERIES["ack_round_trips"] = lambda spark, sf_dir: _acked(read_packets(spark, sf_dir)).select("flow", "ordinal", "rtt_us")

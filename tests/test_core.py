@@ -144,3 +144,30 @@ def test_transactions_equal_a_plain_loop(spark):
 def test_chart_steps():
     assert [views.finest_interval_ms(0, x) for x in (200_000, 200_001, 2_000_001, 10**9)] == [100, 1000, 10_000, 60_000]
     assert [views.finest_bin_us(x) for x in (200_000, 200_001, 10**13)] == [1000, 2000, 3_600_000_000]
+
+
+def test_round_trips_follow_acks(spark):
+    top = 2**32 - 5
+    steps = [  # outbound, seq, ack, has_ack, len, retransmit -> time to the answered segment
+        (True, top, 0, True, 10, False, None), (True, 5, 0, True, 10, False, None), (False, 0, 4, True, 0, False, None),
+        (False, 0, 15, True, 0, False, 2), (False, 0, 15, True, 0, False, None), (True, 15, 0, False, 10, False, None),
+        (True, 25, 0, False, 10, False, None), (True, 20, 0, False, 5, True, None), (False, 0, 35, True, 7, False, None), (True, 35, 7, True, 0, False, 1)]
+    df = spark.createDataFrame([("f", i, i, *s[:6]) for i, s in enumerate(steps)], "f string, index int, ts_us long, outbound boolean, seq long, ack long, has_ack boolean, len long, retransmit boolean")
+    assert [r.rtt_us for r in tcp.ack_rtts(df, "f").orderBy("index").collect()] == [s[6] for s in steps]
+    assert tcp.ack_rtts(df.limit(0), "f").count() == 0
+
+
+def test_round_trips_equal_a_plain_loop(spark):
+    got = QUERIES["ack_round_trips"](spark, SF).toPandas().set_index("ordinal")["rtt_us"]
+    p, sent, place = pd.read_parquet(f"{SF}/events.parquet").sort_values("event_id"), {}, {}
+    for r in p.itertuples():
+        k, n, out = int(r.props.split(":")[1].strip(" }")), place.get(r.user_id, 0), r.event_type in ("click", "purchase")
+        place[r.user_id] = n + 1
+        mine, theirs = sent.setdefault((r.user_id, out), []), sent.setdefault((r.user_id, not out), [])
+        covered = [x for x in theirs if x[0] <= (n - k % 4) * 10] if k % 3 else []
+        want = max(0, (r.ts - covered[-1][1]) // pd.Timedelta(microseconds=1)) if covered else None
+        theirs[:] = theirs[len(covered):]
+        if k % 2 == 0:
+            mine[:] = [x for x in mine if x[0] <= n * 10] if k % 10 == 4 else [*mine, (n * 10 + 10, r.ts)]
+        assert want == (None if pd.isna(got[r.event_id]) else got[r.event_id])
+    assert got.notna().sum() > 20
