@@ -146,11 +146,11 @@ _on_packets("flow_ladder", f"""{_LADDER} SELECT flow, CAST(CASE WHEN n > 20 AND
   CASE WHEN kind <> 'gap' THEN coalesce(out_bytes, 0) END AS out_bytes, in_acks FROM n WHERE n <= 20 OR p <= 10 OR p > n - 10
 UNION ALL SELECT flow, 11, 'elided', CAST(min(start) AS BIGINT), count(*), CAST(sum(CASE WHEN kind = 'gap' THEN 0 ELSE segments END) AS BIGINT), NULL, NULL FROM n WHERE n > 20 AND p > 10 AND p <= n - 10 GROUP BY flow""",
     lambda p: tcp.ladder(_ring(p).where("k % 11 > 0").withColumnRenamed("bytes", "len"), "flow", F.col("k") % 7 == 0, most=20).select("flow", "place", "kind", "at", "rows", "segments", "out_bytes", "in_acks"))
-_on_packets("evicted_flows", f"""{_HOSTS}, i AS (SELECT host, last_us, max(last_us) OVER () AS z FROM h), f AS (SELECT host, last_us FROM h WHERE NOT {DAY0 + 700 * HOUR} - last_us > {40 * HOUR} + host * 1000000)
-SELECT host, 'idle' AS reason FROM h WHERE {DAY0 + 700 * HOUR} - last_us > {40 * HOUR} + host * 1000000 UNION ALL SELECT host, 'capacity' FROM (SELECT host, row_number() OVER (ORDER BY last_us DESC, host) AS r FROM f) WHERE r > 5""",
-    lambda p: views.evicted(_hosts(p), "host", DAY0 + 700 * HOUR, F.lit(40 * HOUR) + F.col("host") * 1_000_000, 5))
-_on_packets("traces_complete", "SELECT flow, bool_or(coalesce('ip' || k = 'ip7', false) OR k // 3 >= 30) AS complete FROM p GROUP BY flow",
-            lambda p: views.traces_complete(p.select("flow", (F.col("k") / 3).cast("int").alias("hop"), F.concat(F.lit("ip"), F.col("k").cast("string")).alias("ip"), F.lit("ip7").alias("remote")), "flow"))
+_on_packets("evicted_flows", f"""{_HOSTS}, i AS (SELECT host, last_us, max(last_us) OVER () AS z FROM h), f AS (SELECT host, last_us FROM h WHERE NOT {DAY0 + 720 * HOUR} - last_us > {HOUR} * (host % 10))
+SELECT host, 'idle' AS reason FROM h WHERE {DAY0 + 720 * HOUR} - last_us > {HOUR} * (host % 10) UNION ALL SELECT host, 'capacity' FROM (SELECT host, row_number() OVER (ORDER BY last_us DESC, host) AS r FROM f) WHERE r > 5""",
+    lambda p: views.evicted(_hosts(p), "host", DAY0 + 720 * HOUR, HOUR * (F.col("host") % 10), 5))
+_on_packets("traces_complete", "SELECT ordinal // 3 AS trace, bool_or(coalesce('ip' || k = 'ip7', false) OR k // 3 >= 30) AS complete FROM p GROUP BY ALL",
+            lambda p: views.traces_complete(p.select(F.expr("ordinal div 3").alias("trace"), (F.col("k") / 3).cast("int").alias("hop"), F.concat(F.lit("ip"), F.col("k").cast("string")).alias("ip"), F.lit("ip7").alias("remote")), "trace"))
 _on_packets("packets_json", "SELECT ordinal, CAST(to_json({'ordinal': ordinal, 'app': app, 'k': CASE WHEN k > 50 THEN k END, 'outbound': outbound}) AS VARCHAR) AS json FROM p",
             lambda p: views.packets_json(p.select("ordinal", "app", F.when(F.col("k") > 50, F.col("k")).alias("k"), "outbound"), "ordinal"))
 
