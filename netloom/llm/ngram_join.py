@@ -22,7 +22,6 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,14 +63,20 @@ def shingle_hashes(text: str | None, k: int, seen: _WordHashes) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-@lru_cache
+#: What `_subsets` has found, by its arguments. A plain dict: a caching wrapper would travel to the workers by name.
+_KNOWN: dict[tuple[int, int], tuple[list[list[int]], np.ndarray]] = {}
+
+
 def _subsets(parts: int, spare: int) -> tuple[list[list[int]], np.ndarray]:
     """The subsets of parts - spare parts, and for each bit pattern of such subsets how many parts must differ to spoil them all."""
+    if (parts, spare) in _KNOWN:
+        return _KNOWN[parts, spare]
     chosen = [list(c) for c in itertools.combinations(range(parts), parts - spare)]
     cost = np.zeros(1 << len(chosen), np.int64)
     for pattern in range(1, len(cost)):
         held = [set(c) for b, c in enumerate(chosen) if pattern >> b & 1]
         cost[pattern] = next(m for m in range(1, parts + 1) if any(all(c & set(x) for c in held) for x in itertools.combinations(range(parts), m)))
+    _KNOWN[parts, spare] = chosen, cost
     return chosen, cost
 
 
