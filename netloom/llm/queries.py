@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import ann, decontam, langid, license, linededup, mixing, ngram_join, quality, toxicity, warc
+from netloom.llm import ann, decontam, dialogue, langid, license, linededup, linefreq, mixing, ngram_join, quality, toxicity, veccodes, warc
 from netloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_warc, op4_ann, op5_quality, op6_mixing, op7_ngram_join, op8_license, op9_langid, op10_toxicity)}
+def op11_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.digest(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (
+    op1_decontaminate, op2_line_dedup, op3_warc, op4_ann, op5_quality, op6_mixing, op7_ngram_join, op8_license, op9_langid, op10_toxicity,
+    op11_line_frequency, op12_vector_codes, op13_conversation_repair,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -88,4 +104,7 @@ SELECT page_id, payload_bytes,
        list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((five[1 + i // 8] >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b""",
     "op6_mixing": mixing.ORACLE_SQL,
+    "op11_line_frequency": linefreq.ORACLE_SQL,
+    "op12_vector_codes": veccodes.ORACLE_SQL,
+    "op13_conversation_repair": dialogue.ORACLE_SQL,
 }
