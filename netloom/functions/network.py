@@ -121,8 +121,44 @@ def is_private(ip: Column) -> Column:
     return F.coalesce(F.when(mapped != "", ipv4_int(mapped).isNull() | inside(mapped)).when(low.contains(":"), six).otherwise(inside(low)), F.lit(False))
 
 
+#: Names of the transports in connection ids.
+TRANSPORTS = {"tcp": "Tcp", "udp": "Udp", "icmp": "Icmp", "other": "Other"}
+
+
 def connection_id(proto: Column, a_ip: Column, a_port: Column, b_ip: Column, b_port: Column) -> Column:
-    return F.concat(F.lower(proto), F.lit(":"), a_ip, F.lit(":"), a_port.cast("string"), F.lit("-"), b_ip, F.lit(":"), b_port.cast("string"))
+    """`Tcp-local:port-remote:port`; IPv6 addresses as they stand."""
+    name = F.create_map(*[F.lit(x) for pair in TRANSPORTS.items() for x in pair])[F.lower(proto)]
+    return F.concat(name, F.lit("-"), a_ip, F.lit(":"), a_port.cast("string"), F.lit("-"), b_ip, F.lit(":"), b_port.cast("string"))
+
+
+def _address(text: Column) -> Column:
+    """Whether an address is IPv4 or IPv6 text in its one canonical form: no leading zeros, lower case, the first longest run of zeros cut."""
+    groups = F.split(text, ":")
+    full = F.when(text.contains("::"), F.concat(
+        F.filter(F.split(F.split_part(text, F.lit("::"), F.lit(1)), ":"), lambda g: g != ""),
+        F.array_repeat(F.lit("0"), F.lit(8) - F.size(F.filter(groups, lambda g: g != ""))),
+        F.filter(F.split(F.split_part(text, F.lit("::"), F.lit(2)), ":"), lambda g: g != ""))).otherwise(groups)
+    joined = F.concat(F.lit(":"), F.array_join(full, ":"), F.lit(":"))
+    longest = F.coalesce(*[F.when(joined.contains(":" + "0:" * n), F.lit(n)) for n in range(8, 1, -1)])
+    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), longest))
+    at = F.position(zeros, joined)
+    head, tail = F.substring(joined, F.lit(2), at - 2), F.substring(joined, at + F.length(zeros), F.length(joined))
+    short = F.concat(head, F.lit("::"), F.substring(tail, F.lit(1), F.greatest(F.length(tail) - 1, F.lit(0))))
+    written = F.when(longest.isNull(), F.array_join(full, ":")).otherwise(short)
+    six = (F.size(full) == 8) & text.rlike(r"^[0-9a-f:]+$") & F.forall(full, lambda g: g.rlike(r"^(0|[1-9a-f][0-9a-f]{0,3})$")) & (written == text)
+    mapped = F.regexp_extract(text, r"^::ffff:([0-9.]+)$", 1)
+    six = F.when(mapped.contains("."), ipv4_int(mapped).isNotNull()).otherwise(six & ~text.rlike("^::ffff:[0-9a-f]+:[0-9a-f]+$"))
+    return F.when(text.contains(":"), F.coalesce(six, F.lit(False))).otherwise(ipv4_int(text).isNotNull())
+
+
+def connection_parts(connection: Column) -> Column:
+    """struct(proto, local_addr, local_port, remote_addr, remote_port) of a TCP connection's id; null unless it is written exactly as `connection_id` writes it."""
+    port = r"(0|[1-9][0-9]{0,4})"
+    shape = rf"^(Tcp)-([0-9a-f:.]+):{port}-([0-9a-f:.]+):{port}$"
+    part = lambda i: F.regexp_extract(connection, shape, i)
+    local, remote = F.try_to_number(part(3), F.lit("99999")).cast("int"), F.try_to_number(part(5), F.lit("99999")).cast("int")
+    whole = (part(1) != "") & _address(part(2)) & _address(part(4)) & (local <= 65535) & (remote <= 65535)
+    return F.when(F.coalesce(whole, F.lit(False)), F.struct(F.upper(part(1)).alias("proto"), part(2).alias("local_addr"), local.alias("local_port"), part(4).alias("remote_addr"), remote.alias("remote_port")))
 
 
 def redact(name: Column, value: Column) -> Column:

@@ -3,28 +3,77 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
-def fold(rows: DataFrame, key: str, order: list[str], new: Callable[[], object], step: Callable[[object, dict], object], result: str, kind: str) -> DataFrame:
-    """rows with `result` = step(state, row), rows of a key in order. Batches stream through; only the present key's state is held."""
-    cols = rows.columns
+def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a key together and in order. Rows without a key are dealt by their order, so that they fill no single task."""
+    lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return rows.repartition(F.when(lost, F.xxhash64(*order)).otherwise(F.xxhash64(*keys))).sortWithinPartitions(*keys, *order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        present, state = object(), None
+
+def fold(
+    rows: DataFrame, key: str | list[str], order: list[str], new: Callable[[], object], step: Callable[[object, dict], object], result: str, kind: str, reads: list[str] | None = None
+) -> DataFrame:
+    """rows with `result` = step(state, row), rows of a key in order.
+
+    Batches stream through and only the present key's state is held. The state sees the columns `reads` (all, if None) as
+    exact Python values; the batches themselves are passed on untouched. Rows with a null key are kept with a null result.
+    """
+    keys = [key] if isinstance(key, str) else key
+    seen = list(dict.fromkeys([*keys, *(rows.columns if reads is None else reads)]))
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{result}` {kind}").fields])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
-                if row[key] != present:
-                    present, state = row[key], new()
+            for row in batch.select(seen).to_pylist():
+                at = tuple(row[k] for k in keys)
+                if None in at:
+                    out.append(None)
+                    continue
+                if at != present:
+                    present, state = at, new()
                 out.append(step(state, row))
-            yield batch.assign(**{result: pd.Series(out, index=batch.index, dtype=object)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow.field(len(arrow) - 1).type)], names=schema.names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{result}` {kind}"
-    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema).select(*cols, result)
+    return _in_order(rows, keys, order).mapInArrow(run, schema)
+
+
+def unfold(
+    rows: DataFrame, key: str | list[str], order: list[str], new: Callable[[], object], step: Callable[[object, dict], list[dict]], done: Callable[[object], list[dict]], schema: str
+) -> DataFrame:
+    """The rows that step(state, row) gives for each row of a key in order, and done(state) behind its last. Rows with a null key give none."""
+    keys = [key] if isinstance(key, str) else key
+    shape = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(shape, prefers_large_types=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, state = None, None
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                at = tuple(row[k] for k in keys)
+                if None in at:
+                    continue
+                if at != present:
+                    if present is not None:
+                        out += done(state)
+                    present, state = at, new()
+                out += step(state, row)
+            yield pa.RecordBatch.from_pylist(out, arrow)
+        if present is not None:
+            yield pa.RecordBatch.from_pylist(done(state), arrow)
+
+    return _in_order(rows, keys, order).mapInArrow(run, shape)
 
 
 def paced(packets: DataFrame, key: str, per_window: int, window_us: int) -> DataFrame:
@@ -37,7 +86,7 @@ def paced(packets: DataFrame, key: str, per_window: int, window_us: int) -> Data
             state["last"] = row["ts_us"]
         return ok
 
-    return fold(packets, key, ["ts_us", "ordinal"], dict, step, "admitted", "boolean")
+    return fold(packets, key, ["ts_us", "ordinal"], dict, step, "admitted", "boolean", ["ts_us"])
 
 
 def handshake_rtt(packets: DataFrame, key: str, syn: Column, syn_ack: Column) -> DataFrame:

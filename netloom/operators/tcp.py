@@ -86,7 +86,7 @@ def ack_rtts(samples: DataFrame, key: str) -> DataFrame:
             own.append(((int(row["seq"]) + int(row["len"])) % WHOLE, row["ts_us"]))
         return None if sent is None else max(0, int(row["ts_us"] - sent))
 
-    return fold(samples, key, ["index"], lambda: {side: deque(maxlen=MAX_OUTSTANDING) for side in (True, False)}, step, "rtt_us", "long")
+    return fold(samples, key, ["index"], lambda: {side: deque(maxlen=MAX_OUTSTANDING) for side in (True, False)}, step, "rtt_us", "long", ["ts_us", "outbound", "seq", "ack", "has_ack", "len", "retransmit"])
 
 
 def ladder(samples: DataFrame, key: str, notable: Column, drawn: int = 4, most: int = 200) -> DataFrame:

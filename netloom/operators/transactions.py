@@ -1,21 +1,19 @@
 """Requests and responses with timeouts, as one ordered fold per flow: DNS by transaction id, HTTP by the order of requests.
 
 Each row gets an `event`: request, retransmitted, answered, duplicate, unmatched, informational, untracked or none. A
-request that is never answered within its timeout is unanswered. Requests expire as of the time of the next row of their
-flow; flows are independent, so the fold is spread over the cluster by flow.
+request that is never answered within its timeout is unanswered. Requests expire in sweeps (see `sweep_clock`); flows are
+independent, so the fold is spread over the cluster by flow.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.folds import fold
 
-#: Timeouts and the number of open requests of an HTTP connection.
-DNS_TIMEOUT_US, HTTP_TIMEOUT_US, PIPELINE = 5_000_000, 30_000_000, 32
+#: Timeouts, the number of open requests of an HTTP connection, and the time between sweeps.
+DNS_TIMEOUT_US, HTTP_TIMEOUT_US, PIPELINE, SWEEP_US = 5_000_000, 30_000_000, 32, 500_000
 EVENT = "struct<event:string,request:bigint,service_us:bigint>"
 
 
@@ -23,18 +21,47 @@ def _said(event: str, request: int | None = None, service_us: int | None = None)
     return {"event": event, "request": request, "service_us": service_us}
 
 
+def sweep_clock(packets: DataFrame, source: str = "source", every_us: int = SWEEP_US) -> DataFrame:
+    """packets (source, ordinal, ts_us) with `swept_us`, the time of the newest sweep before each.
+
+    Requests expire in sweeps, which the packets of a whole capture drive: a packet is matched first, then sweeps if the last
+    sweep is `every_us` old. A capture is one sequence; captures run side by side.
+    """
+
+    def step(state: dict, row: dict) -> int | None:
+        before, now = state.get("at"), row["ts_us"]
+        if before is None or now - before >= every_us:
+            state["at"] = now
+        return before
+
+    return fold(packets, source, ["ordinal"], dict, step, "swept_us", "bigint", ["ts_us"])
+
+
+def _expire(open_requests: dict, state: dict, row: dict, timeout: int) -> None:
+    """Drop requests that a sweep before this row found old: the capture's sweeps where known, else one at each earlier row of the flow."""
+    swept = row["swept_us"] if "swept_us" in row else state.get("prior")
+    state["prior"] = row["ts_us"]
+    if swept is not None:
+        for i in [i for i, held in open_requests.items() if swept - held[0] >= timeout]:
+            del open_requests[i]
+
+
+def _read(messages: DataFrame, *columns: str) -> list[str]:
+    return [*columns, *(c for c in ("swept_us",) if c in messages.columns)]
+
+
 def dns(messages: DataFrame, key: str = "flow") -> DataFrame:
-    """messages (key, ordinal, ts_us, outbound, id, name, is_query) with `t`, an EVENT.
+    """messages (key, ordinal, ts_us, outbound, id, name, is_query; swept_us by `sweep_clock`) with `t`, an EVENT.
 
     A response answers the open query of its id, if it travels the other way and repeats the name in any case; a query that
-    is open already was sent again and keeps its first time; a second answer within the timeout is a duplicate.
+    is open already was sent again and keeps its first time; a second answer within the timeout is a duplicate. An answer
+    that comes late still counts as long as no sweep has met its request.
     """
 
     def step(state: dict, row: dict) -> dict:
         now, known = row["ts_us"], state.setdefault("open", {})
         answered = state.setdefault("answered", {})
-        for i in [i for i, (sent, *_) in known.items() if now - sent >= DNS_TIMEOUT_US]:
-            del known[i]
+        _expire(known, state, row, DNS_TIMEOUT_US)
         for i in [i for i, at in answered.items() if now - at >= DNS_TIMEOUT_US]:
             del answered[i]
         i, name = row["id"], (row["name"] or "").lower()
@@ -50,34 +77,34 @@ def dns(messages: DataFrame, key: str = "flow") -> DataFrame:
             return _said("answered", request, max(0, now - sent))
         return _said("duplicate" if i not in known and i in answered else "unmatched")
 
-    return fold(messages, key, ["ordinal"], dict, step, "t", EVENT)
+    return fold(messages, key, ["ordinal"], dict, step, "t", EVENT, _read(messages, "ordinal", "ts_us", "outbound", "id", "name", "is_query"))
 
 
 def http(messages: DataFrame, key: str = "flow") -> DataFrame:
-    """messages (key, ordinal, ts_us, outbound, status; null for requests) with `t`, an EVENT.
+    """messages (key, ordinal, ts_us, outbound, status; null for requests; swept_us by `sweep_clock`) with `t`, an EVENT.
 
     A final response answers the oldest open request if it travels the other way; interim ones (1xx but 101) answer none.
     """
 
     def step(state: dict, row: dict) -> dict:
-        now, queue = row["ts_us"], state.setdefault("open", deque())
-        while queue and now - queue[0][0] >= HTTP_TIMEOUT_US:
-            queue.popleft()
+        now, waiting = row["ts_us"], state.setdefault("open", {})  # by ordinal, so in order
+        _expire(waiting, state, row, HTTP_TIMEOUT_US)
         status = row["status"]
-        if status is None or status != status:
-            if len(queue) >= PIPELINE:
+        if status is None:
+            if len(waiting) >= PIPELINE:
                 return _said("untracked")
-            queue.append((now, row["outbound"], row["ordinal"]))
+            waiting[row["ordinal"]] = (now, row["outbound"])
             return _said("request")
-        if not queue or queue[0][1] == row["outbound"]:
+        request = next(iter(waiting), None)
+        if request is None or waiting[request][1] == row["outbound"]:
             return _said("unmatched")
-        text = str(int(status))
+        text = str(status)
         if text.startswith("1") and text != "101":
             return _said("informational")
-        sent, _, request = queue.popleft()
+        sent, _ = waiting.pop(request)
         return _said("answered", request, max(0, now - sent))
 
-    return fold(messages, key, ["ordinal"], dict, step, "t", EVENT)
+    return fold(messages, key, ["ordinal"], dict, step, "t", EVENT, _read(messages, "ordinal", "ts_us", "outbound", "status"))
 
 
 def unanswered(tracked: DataFrame, key: str = "flow", timeout_us: int = DNS_TIMEOUT_US) -> DataFrame:

@@ -130,9 +130,18 @@ SELECT p.ordinal, min_by(svc, width) AS svc FROM p LEFT JOIN r ON p.bytes BETWEE
     lambda p: joins.longest_prefix(p.select("ordinal", "bytes"), p.where("ordinal % 50 = 0").selectExpr("ordinal % 4000 as low", "ordinal % 4000 + (k + 1) * 10 as high", "concat('svc', (k + 1) * 10) as svc"), "bytes", "svc").select("ordinal", "svc"))
 _on_packets("hop_places", "SELECT flow AS connection, k AS hop, 'c' || (k // 2) AS country, CASE WHEN k % 2 = 0 THEN 'o' || k END AS org FROM p WHERE k < 60 UNION ALL SELECT flow, k, NULL, NULL FROM p WHERE k >= 60",
             lambda p: joins.hop_places(p.select(F.col("flow").alias("connection"), F.col("k").alias("hop"), F.when(F.col("k") < 80, F.concat(F.lit("ip"), F.col("k").cast("string"))).alias("ip")), p.where("k < 60").selectExpr("concat('ip', k) as ip", "concat('c', k div 2) as country", "if(k % 2 = 0, concat('o', k), null) as org").distinct()).drop("ip"))
-_on_packets("wire_events", """SELECT CAST(ordinal AS VARCHAR) AS id, CASE WHEN app = 'error' THEN 'unknown' ELSE 'ESTABLISHED' END AS status, CASE WHEN k % 4 > 0 THEN bytes END AS "rxBytesTotal", k % 4 = 0 OR bytes < 0 OR k < 10 AS bad FROM p WHERE app <> 'click'""",
-    lambda p: events.parsed(events.written(p.where("app != 'click'").select(F.col("ordinal").cast("string").alias("id"), F.lit("TCP").alias("protocol"), F.when(F.col("app") == "error", "odd").otherwise("ESTABLISHED").alias("status"), F.when(F.col("k") % 4 > 0, F.col("bytes")).alias("rxBytesTotal"), (F.col("k") - 10).alias("txBytesTotal")), "connection_update")
-                            .union(events.written(p.select(F.col("ordinal").alias("code")), "finding")), "connection_update").select("id", "status", "rxBytesTotal", "bad"))
+# Recorded lines as an agent writes them: the payload under its own key, times as text; some lack a field or have a wrong value.
+_WIRE = """
+case when app = 'click' then concat('{"type":"finding","finding":{"id":"f', ordinal, '","timestamp":"', ts_us div 1000, '","severity":"', if(k < 50, 'warning', 'loud'), '","code":"retransmission"',
+  if(k % 4 > 0, ',"summary":"again"', ''), ',"flowId":"Tcp-', flow, '"}}')
+else concat('{"type":"connection_update","connection":{"id":"', ordinal, '","protocol":"HTTP","appLayerProtocol":"HTTP","transportProtocol":"TCP","osiStack":"L4","localAddr":"10.0.0.1","localPort":',
+  if(k = 5, '"x"', cast(k as string)), ',"remoteAddr":"10.0.0.2","remotePort":80,"processName":"unknown","pid":0,"rxSpeed":0.0,"txSpeed":1.5,', if(k % 4 > 0, concat('"rxBytesTotal":', bytes, ','), ''),
+  '"txBytesTotal":', k - 10, ',"packetLoss":0.0,"status":"', if(app = 'error', 'odd', 'ESTABLISHED'), '","encryption":"None","sparkline":[]}}') end as value"""
+_on_packets("wire_events", """SELECT CAST(ordinal AS VARCHAR) AS id, CASE WHEN app = 'error' THEN 'unknown' ELSE 'ESTABLISHED' END AS status, CASE WHEN k % 4 > 0 THEN CAST(bytes AS BIGINT) END AS "rxBytesTotal",
+  k % 4 = 0 OR bytes < 0 OR k < 10 OR k = 5 AS bad FROM p WHERE app <> 'click'""",
+            lambda p: events.parsed(p.selectExpr(_WIRE), "connection_update").select("id", "status", F.col("rxBytesTotal").cast("bigint").alias("rxBytesTotal"), "bad"))
+_on_packets("wire_findings", """SELECT 'f' || ordinal AS id, CAST(ts_us // 1000 AS VARCHAR) AS timestamp, CASE WHEN k < 50 THEN 'warning' ELSE 'unknown' END AS severity, 'Tcp-' || flow AS "flowId", k % 4 = 0 AS bad
+  FROM p WHERE app = 'click'""", lambda p: events.parsed(p.selectExpr(_WIRE), "finding").select("id", "timestamp", "severity", "flowId", "bad"))
 
 # Ladders and round trips. Rows with k % 11 = 0 are lost, so that indexes have gaps.
 _LADDER = f"""{_RING}, x AS (SELECT *, bytes > 0 AND row_number() OVER (PARTITION BY flow, outbound, bytes > 0 ORDER BY idx) = 1 AS opens FROM g WHERE k % 11 > 0),
