@@ -156,11 +156,36 @@ def headers(packets: DataFrame) -> DataFrame:
         "src": F.when(ok, F.when(four, dotted(l3 + 12)).otherwise(colons(l3 + 8))), "dst": F.when(ok, F.when(four, dotted(l3 + 16)).otherwise(colons(l3 + 24))),
         "proto": F.when(ok, F.when(four, _uint(f, l3 + 9, 1)).otherwise(_uint(f, l3 + 6, 1))), "_l4": F.when(ok, l3 + F.when(four, _uint(f, l3, 1) % 16 * 4).otherwise(40)),
         "_end": F.when(ok, l3 + F.when(four, _uint(f, l3 + 2, 2)).otherwise(_uint(f, l3 + 4, 2) + 40))})
-    # A later fragment of a datagram holds no transport header.
-    head = ~F.coalesce(four & (_uint(f, l3 + 6, 2) % 8192 > 0), F.lit(False))
+    # A fragment has no transport header of its own, the first one included: see operators.reassembly.
+    place = F.when(four, _uint(f, l3 + 6, 2))
+    out = out.withColumns({
+        "ip_id": F.when(ok & four, _uint(f, l3 + 4, 2)), "frag_offset": F.when(ok, place % 8192 * 8), "more_fragments": F.when(ok, F.floor(place / F.lit(8192)) % 2 == 1),
+        "ip_declared": F.col("_end") - F.col("_l4"), "ip_header": F.when(ok & four, F.substring(f, l3 + 1, F.col("_l4") - l3)),
+        "ip_payload": F.when(ok, F.substring(f, F.col("_l4") + 1, F.greatest(F.lit(0), F.col("_end") - F.col("_l4"))))})
+    head = ~F.coalesce(F.col("more_fragments") | (F.col("frag_offset") > 0), F.lit(False))
     l4, tcp, ported = F.col("_l4"), head & (F.col("proto") == 6), head & F.col("proto").isin(6, 17)
+    size = F.when(tcp, F.floor(_uint(f, l4 + 12, 1) / F.lit(16)).cast("int") * 4).when(F.col("proto") == 17, 8).otherwise(0)
     out = out.withColumns({
         "src_port": F.when(ported, _uint(f, l4, 2)), "dst_port": F.when(ported, _uint(f, l4 + 2, 2)), "seq": F.when(tcp, _uint(f, l4 + 4, 4)), "ack": F.when(tcp, _uint(f, l4 + 8, 4)),
-        "tcp_flags": F.when(tcp, _uint(f, l4 + 13, 1)), "window": F.when(tcp, _uint(f, l4 + 14, 2)),
-        "payload_len": F.greatest(F.lit(0), F.col("_end") - l4 - F.when(tcp, F.floor(_uint(f, l4 + 12, 1) / F.lit(16)) * 4).when(F.col("proto") == 17, 8).otherwise(0))})
+        "tcp_flags": F.when(tcp, _uint(f, l4 + 13, 1)), "window": F.when(tcp, _uint(f, l4 + 14, 2)), "payload_len": F.greatest(F.lit(0), F.col("_end") - l4 - size),
+        "payload": F.when(ported, F.substring(f, l4 + size + 1, F.greatest(F.lit(0), F.col("_end") - l4 - size))),
+        "wscale": F.when(tcp & (size > 20), window_scale(F.substring(f, l4 + 21, size - 20)))})
     return out.drop("_l3", "_type", "_v", "_l4", "_end")
+
+
+def window_scale(options: Column) -> Column:
+    """The window scale among TCP options (at most 40 bytes); null without one, or where any option is malformed."""
+    size = F.length(options)
+    byte = lambda at: F.conv(F.hex(F.substring(options, at + 1, F.lit(1))), 16, 10).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("shift"), F.lit(False).alias("bad"))
+
+    def step(walk: Column, i: Column) -> Column:
+        kind, length = byte(i), byte(i + 1)
+        single, whole = kind <= 1, F.coalesce((length >= 2) & (i + length <= size), F.lit(False))
+        after = F.when(kind == 0, 99).when(kind == 1, i + 1).when(whole, i + length).otherwise(99)
+        shift = F.coalesce(walk["shift"], F.when((kind == 3) & (length == 3) & whole, byte(i + 2)))  # the first one counts
+        wrong = ~single & (~whole | (kind == 3) & (length != 3))
+        here = F.struct(after.cast("int").alias("at"), shift.alias("shift"), (walk["bad"] | wrong).alias("bad"))
+        return F.when((walk["at"] == i) & (i < size), here).otherwise(walk)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(39)), start, step, lambda w: F.when(~w["bad"], w["shift"]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import network as net
 from netloom.functions.display_filter import Field, FilterError, compile_filter, compile_for_series, connection_fields
 from netloom.operators import joins, tcp, views
-from netloom.plans.views import ORACLE_SQL, QUERIES
+from netloom.plans.core import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
