@@ -3,9 +3,9 @@
 Components become floor(1024 x); a vector is cut into equal parts, each with a codebook of its own. A block of a part is
 described by its mean and by the norm of what is left of it. For two blocks of b components, b times the squared difference
 of the means plus the squared difference of these norms never exceeds their squared distance. The bounds go from coarse to
-fine: one block a part, then two, then four, and so on; an entry falls out once its bound, less an allowance for rounding,
-is over the exact distance of the entry that looked best. What survives gets its exact integer distance, so the result is
-that of a full search.
+fine: one block a part, then two, then four, and so on; at each level the entry that looks best is measured, and those whose
+bound, less an allowance for rounding, is over the least distance so far fall out. What survives gets its exact integer
+distance, so the result is that of a full search.
 
 A round is one pass over all vectors: tasks assign parts and emit exact sums for each part and entry, which are added up
 after a shuffle. Only the codebooks travel to and from the driver: entries x dimensions integers, however many vectors.
@@ -63,12 +63,12 @@ class Codebook:
 
     def __init__(self, entries: np.ndarray) -> None:
         self.entries = entries
-        self.levels = [] if entries.dtype == object else [self.blocks(entries, n) for n in self.shapes(entries.shape[1])]
+        self.levels = [] if entries.dtype == object else [np.hstack(self.blocks(entries, n)) for n in self.shapes(entries.shape[1])]
 
     @staticmethod
     def shapes(size: int) -> list[int]:
-        """Numbers of blocks: 1, 2, 4, ... while blocks keep two components or more."""
-        return [n for n in (1, 2, 4, 8, 16, 32, 64) if size % n == 0 and size // n > 1]
+        """Numbers of blocks: 1, 2, 4, ... while blocks keep four components or more, and one in any case."""
+        return [n for n in (1, 2, 4, 8, 16, 32, 64) if size % n == 0 and (size // n > 3 or n == 1 < size)]
 
     @staticmethod
     def blocks(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +94,16 @@ class Codebook:
             every = [self.exact(q, np.full(len(q), e)) for e in range(len(self.entries))]
             best = np.array([min(range(len(every)), key=lambda e: every[e][i]) for i in rows], np.int64)  # noqa: B023
             return best, np.array([every[e][i] for e, i in zip(best, rows, strict=True)], q.dtype)
-        mine = [self.blocks(q, n) for n in self.shapes(q.shape[1])]
-        (mean, rest), (means, rests) = mine[0], self.levels[0]
-        bound = (mean - means[:, 0]) ** 2 + (rest - rests[:, 0]) ** 2
-        most = self.exact(q, bound.argmin(axis=1))
-        slack = most + 1e-6 * (1.0 + most + (mean**2 + rest**2)[:, 0])
-        i, e = np.nonzero(bound <= slack[:, None])
-        for (mean, rest), (means, rests) in zip(mine[1:], self.levels[1:], strict=True):
-            bound = ((mean[i] - means[e]) ** 2).sum(axis=1) + ((rest[i] - rests[e]) ** 2).sum(axis=1)
-            stays = bound <= slack[i]
-            i, e = i[stays], e[stays]
+        most = np.full(len(q), LARGEST)
+        alive = np.ones((len(q), len(self.entries)), bool)
+        for n, theirs in zip(self.shapes(q.shape[1]), self.levels, strict=True):
+            mine = np.hstack(self.blocks(q, n))
+            own, other = (mine * mine).sum(axis=1), (theirs * theirs).sum(axis=1)
+            bound = own[:, None] + other - 2 * (mine @ theirs.T)
+            most = np.minimum(most, self.exact(q, np.where(alive, bound, np.inf).argmin(axis=1)))
+            # What rounding may add to a bound is far below a thousand-millionth of the squares it comes from.
+            alive &= bound <= (most + 1e-9 * (own + other.max()) + 1e-6)[:, None]
+        i, e = np.nonzero(alive)
         far = self.exact(q[i], e)
         starts = np.searchsorted(i, rows)
         least = np.minimum.reduceat(far, starts)
