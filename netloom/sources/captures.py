@@ -1,7 +1,7 @@
 """Capture files as DataFrames and back: classic pcap and pcapng, through Spark's own file readers.
 
-Files are read whole (`binaryFile`), one file a task at a time, so a file may hold at most 2 GB; captures that rotate by
-size stay below that. Frames are decoded by native expressions, so only the columns that a query uses are computed.
+`read` takes files whole (`binaryFile`), one file a task at a time, so a file may hold at most 2 GB; `capture_files.read` splits
+files of any size. Frames are decoded by native expressions, so only the columns that a query uses are computed.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ SCHEMA = "path string, ordinal long, ts_ns long, direction string, link_type int
 MAX_BLOCK, MAX_INTERFACES = 16 << 20, 4096
 #: Magic numbers of pcap with their nanoseconds a tick, block types of pcapng.
 PCAP = {0xA1B2C3D4: 1000, 0xA1B23C4D: 1}
-SECTION, INTERFACE, OLD_PACKET, SIMPLE_PACKET, PACKET = 0x0A0D0D0A, 1, 2, 3, 6
+SECTION, INTERFACE, OLD_PACKET, SIMPLE_PACKET, STATISTICS, PACKET = 0x0A0D0D0A, 1, 2, 3, 5, 6
 DIRECTIONS = {1: "inbound", 2: "outbound"}
 
 Record = tuple[int, str, int, int, bytes]
@@ -52,8 +52,15 @@ def _options(body: bytes, order: str, at: int) -> dict[int, bytes]:
     return found
 
 
-def _pcapng(data: bytes) -> Iterator[Record]:
-    at, order, links = 0, "<", []
+def _interface(body: bytes, order: str) -> tuple[int, int]:
+    """(link type, ticks a second)."""
+    unit = _options(body, order, 8).get(9, b"\x06")[0]
+    return struct.unpack_from(order + "H", body)[0], 2 ** (unit & 127) if unit & 128 else 10**unit
+
+
+def _pcapng(data: bytes, order: str = "<", faces: list | None = None) -> Iterator[Record]:
+    """The packets of whole blocks. order, faces: the byte order and interfaces in force, for blocks from within a section."""
+    at, links = 0, list(faces or [])
     while at < len(data):
         if at + 12 > len(data):
             raise CaptureError(f"partial block at {at}")
@@ -62,12 +69,13 @@ def _pcapng(data: bytes) -> Iterator[Record]:
         kind, size = struct.unpack_from(order + "2I", data, at)
         if size < 12 or size % 4 or size > MAX_BLOCK or at + size > len(data):
             raise CaptureError(f"bad block length {size} at {at}")
+        if data[at + 4 : at + 8] != data[at + size - 4 : at + size]:
+            raise CaptureError(f"unequal block lengths at {at}")
         body = data[at + 8 : at + size - 4]
         if kind == INTERFACE:
             if len(links) == MAX_INTERFACES:
                 raise CaptureError("too many interfaces")
-            unit = _options(body, order, 8).get(9, b"\x06")[0]
-            links.append((struct.unpack_from(order + "H", body)[0], 2 ** (unit & 127) if unit & 128 else 10**unit))
+            links.append(_interface(body, order))
         elif kind == PACKET:
             face, high, low, cap, wire = struct.unpack_from(order + "5I", body)
             if face >= len(links) or 20 + cap > len(body):
@@ -119,18 +127,29 @@ def encode(packets: DataFrame, by: str, link_type: int = 1) -> DataFrame:
     """(by, capture): the pcapng bytes of each group, nanosecond times, packets by ts_ns. Groups are one file each: rotate by a bounded `by`."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        ways = {v: k for k, v in DIRECTIONS.items()}
-        out = [_block(SECTION, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)), _block(INTERFACE, struct.pack("<HHI", link_type, 0, 0) + struct.pack("<HHB3xI", 9, 1, 9, 0))]
+        out = [head(link_type)]
         for r in rows.sort_values(["ts_ns", "ordinal"]).itertuples():
-            frame = bytes(r.frame)
-            flags = struct.pack("<HHII", 2, 4, ways.get(r.direction, 0), 0)
-            out.append(_block(PACKET, struct.pack("<5I", 0, r.ts_ns >> 32, r.ts_ns & 0xFFFFFFFF, len(frame), r.wire_len) + frame + b"\0" * (-len(frame) % 4) + flags))
+            out.append(packet_block(r.ts_ns, r.direction, r.wire_len, bytes(r.frame)))
         return pd.DataFrame({by: rows[by].iloc[:1], "capture": [b"".join(out)]})
 
     kind = packets.schema[by].dataType.simpleString()
     return packets.select(by, "ordinal", "ts_ns", "direction", "wire_len", "frame").groupBy(by).applyInPandas(build, f"`{by}` {kind}, capture binary")
 
 
+def head(link_type: int = 1) -> bytes:
+    """A section with one interface of nanosecond times."""
+    return _block(SECTION, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + _block(INTERFACE, struct.pack("<HHI", link_type, 0, 0) + struct.pack("<HHB3xI", 9, 1, 9, 0))
+
+
+def packet_block(ts_ns: int, direction: str | None, wire_len: int, frame: bytes) -> bytes:
+    way = {v: k for k, v in DIRECTIONS.items()}.get(direction, 0)
+    return _block(PACKET, struct.pack("<5I", 0, ts_ns >> 32, ts_ns & 0xFFFFFFFF, len(frame), wire_len) + frame + b"\0" * (-len(frame) % 4) + struct.pack("<HHII", 2, 4, way, 0))
+
+
+def statistics_block(ts_ns: int, received: int, dropped: int) -> bytes:
+    return _block(STATISTICS, struct.pack("<3I", 0, ts_ns >> 32, ts_ns & 0xFFFFFFFF) + struct.pack("<HHQHHQI", 4, 8, received, 5, 8, dropped, 0))
+
+
 def _uint(frame: Column, at: Column, size: int) -> Column:
     """A big-endian number at a 0-based place; null where the frame ends before it."""
     return F.when(F.length(frame) >= at + size, F.conv(F.hex(F.substring(frame, at + 1, F.lit(size))), 16, 10).cast("bigint"))
