@@ -15,12 +15,14 @@ HALF, WHOLE = 1 << 31, 1 << 32
 def retransmits(segments: DataFrame, flow: str = "flow", order: str = "idx", side: str = "outbound", size: str = "len") -> DataFrame:
     """segments with `retransmit`. Only segments with payload count, each direction for itself: sequence numbers are unwrapped
     by signed 32-bit steps, and a segment that does not pass the highest number so far is sent again."""
-    w = Window.partitionBy(flow, side, F.col(size) > 0).orderBy(order)
+    # Dealt by flow alone, which serves the windows of both directions and any group by flow that comes after.
+    rows = segments.repartition(flow).withColumn("_data", F.col(size) > 0)
+    w = Window.partitionBy(flow, side, "_data").orderBy(order)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.pmod(F.col("seq") - F.lag("seq").over(w) + HALF, F.lit(WHOLE)) - HALF
-    out = segments.withColumn("_step", F.coalesce(step, F.lit(0))).withColumn("_at", F.sum("_step").over(so_far))
+    out = rows.withColumn("_step", F.coalesce(step, F.lit(0))).withColumn("_at", F.sum("_step").over(so_far))
     highest = F.max("_at").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return out.withColumn("retransmit", (F.col(size) > 0) & F.coalesce(F.col("_at") <= highest, F.lit(False))).drop("_step", "_at")
+    return out.withColumn("retransmit", F.col("_data") & F.coalesce(F.col("_at") <= highest, F.lit(False))).drop("_step", "_at", "_data")
 
 
 def loss_percent(marked: DataFrame, flow: str = "flow", size: str = "len") -> DataFrame:

@@ -53,7 +53,7 @@ def _series_sql(width: int) -> str:
 
 
 def _series(p: DataFrame, width: int) -> DataFrame:
-    return series.io_series(p, {k: compile_filter(v[0], FIELDS) for k, v in SERIES.items()}, width, F.col("k").cast("bigint"))
+    return series.io_series(p, {k: compile_filter(v[0], FIELDS) for k, v in SERIES.items()}, width, F.col("k"))
 
 
 _on_packets("io_series_100ms", _series_sql(100_000), lambda p: _series(p, 100_000))
@@ -82,7 +82,9 @@ _on_packets("conversation_rollup", f"SELECT flow, app, {_FLOW}, max(ts_us) - min
 _on_packets("protocol_hierarchy", "SELECT outbound, app, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS packets, CAST(2 - grouping(outbound) - grouping(app) AS INTEGER) AS depth FROM p GROUP BY ROLLUP (outbound, app)", lambda p: rollups.hierarchy(p, ["outbound", "app"]))
 _on_packets("app_shares", "SELECT app, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS packets, sum(bytes) * 100.0::DOUBLE / (SELECT sum(bytes) FROM p) AS percent FROM p GROUP BY app", lambda p: rollups.shares(p, "app"))
 _on_packets("top_n_flows", "SELECT flow, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY flow ORDER BY bytes DESC, flow LIMIT 10", lambda p: rollups.top_n(p, "flow", 10))
-_on_packets("keyset_page", "SELECT ordinal, ts_us, flow, bytes FROM p WHERE (ts_us, ordinal) > (1704200000000000, 0) ORDER BY ts_us, ordinal LIMIT 200", lambda p: rollups.keyset_page(p, (1704200000000000, 0)).select("ordinal", "ts_us", "flow", "bytes"))
+_PAGE = (1704200000000000, 0)
+_on_packets("keyset_page", "SELECT ordinal, ts_us, flow, bytes FROM p WHERE (ts_us, ordinal) > (1704200000000000, 0) ORDER BY ts_us, ordinal LIMIT 200", lambda p: p)
+QUERIES["keyset_page"] = lambda spark, sf_dir: rollups.keyset_page(packets(spark, sf_dir, _PAGE[0]), _PAGE).select("ordinal", "ts_us", "flow", "bytes")
 _on_packets("flow_sessions_gap", f""", g AS (SELECT *, coalesce(CAST(ts_us - lag(ts_us) OVER (PARTITION BY flow ORDER BY ts_us, ordinal) > {8 * HOUR} AS INTEGER), 1) AS fresh FROM p),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY flow ORDER BY ts_us, ordinal ROWS UNBOUNDED PRECEDING) AS instance FROM g)
 SELECT flow, CAST(instance AS BIGINT) AS instance, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM i GROUP BY ALL""",

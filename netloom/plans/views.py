@@ -19,7 +19,8 @@ DAY0 = 1_704_067_200_000_000
 # Searches, sorts and pages. The columns that a viewer shows are made of the packets' own.
 _shown = lambda p: p.select("ordinal", "ts_us", F.initcap("app").alias("protocol"), F.concat(F.lit("len="), F.col("bytes").cast("string"), F.lit(" K"), F.col("k").cast("string")).alias("summary"), F.concat(F.lit("h"), F.col("flow").cast("string")).alias("src"), F.concat(F.lit("H"), F.col("k").cast("string")).alias("dst"), F.when(F.col("k") % 3 == 0, 7).otherwise(4).alias("layer"))
 _SHOWN = """, v AS (SELECT ordinal, ts_us, upper(app[1]) || app[2:] AS protocol, 'len=' || bytes || ' K' || k AS summary, 'h' || flow AS src, 'H' || k AS dst, CASE WHEN k % 3 = 0 THEN 7 ELSE 4 END AS layer FROM p)"""
-_on_packets("packets_in_time", f"SELECT ordinal, ts_us FROM p WHERE ts_us >= {DAY0} AND ts_us < {DAY0 + 40 * HOUR}", lambda p: views.in_time(p, DAY0, DAY0 + 40 * HOUR).select("ordinal", "ts_us"))
+_on_packets("packets_in_time", f"SELECT ordinal, ts_us FROM p WHERE ts_us >= {DAY0} AND ts_us < {DAY0 + 40 * HOUR}", _shown)
+QUERIES["packets_in_time"] = lambda spark, sf_dir: views.in_time(read_packets(spark, sf_dir, DAY0, DAY0 + 40 * HOUR), DAY0, DAY0 + 40 * HOUR).select("ordinal", "ts_us")
 _on_packets("packet_search", f"{_SHOWN} SELECT ordinal FROM v WHERE (contains(lower(protocol), 'h7') OR contains(lower(summary), 'h7') OR contains(src, 'h7') OR contains(dst, 'h7'))", lambda p: views.packets_found(_shown(p), "h7").select("ordinal"))
 _on_packets("packet_search_in_any_case", f"{_SHOWN} SELECT ordinal FROM v WHERE contains(lower(protocol), 'ick') OR contains(lower(summary), 'ick') OR contains(src, 'ICK') OR contains(dst, 'ICK')", lambda p: views.packets_found(_shown(p), "ICK").select("ordinal"))
 _on_packets("layer_filter", f"{_SHOWN} SELECT ordinal, layer FROM v WHERE layer = 7", lambda p: views.packets_found(_shown(p), "", 7).select("ordinal", "layer"))
@@ -37,7 +38,9 @@ _on_packets("host_table_by_bytes", f"{_HOSTS} SELECT host, CAST(row_number() OVE
 _on_packets("host_table_by_flows", f"{_HOSTS} SELECT host, CAST(row_number() OVER (ORDER BY flow_count, host) AS INTEGER) AS place FROM h", lambda p: views.host_table(_hosts(p), "flow_count", False).select("host", "place"))
 _on_packets("newest_packets", "SELECT ordinal, ts_us FROM p ORDER BY ts_us DESC, ordinal DESC LIMIT 100", lambda p: views.newest(p).select("ordinal", "ts_us"))
 _on_packets("newest_points", f"SELECT series, bucket_us, packets FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY bucket_us DESC) AS r FROM ({_series_sql(HOUR)})) WHERE r <= 200", lambda p: views.newest_points(_series(p, HOUR), 200).select("series", "bucket_us", "packets"))
-_on_packets("drill_down", f"SELECT ordinal FROM p WHERE ts_us >= {DAY0 + 20 * HOUR} AND ts_us < {DAY0 + 44 * HOUR} AND app = 'purchase'", lambda p: views.drilled(p, compile_filter('app == "purchase"', FIELDS), DAY0 + 20 * HOUR, 24 * HOUR).select("ordinal"))
+_on_packets("drill_down", f"SELECT ordinal FROM p WHERE ts_us >= {DAY0 + 20 * HOUR} AND ts_us < {DAY0 + 44 * HOUR} AND app = 'purchase'", _shown)
+QUERIES["drill_down"] = lambda spark, sf_dir: views.drilled(
+    read_packets(spark, sf_dir, DAY0 + 20 * HOUR, DAY0 + 44 * HOUR), compile_filter('app == "purchase"', FIELDS), DAY0 + 20 * HOUR, 24 * HOUR).select("ordinal")
 _on_packets("connections_csv", f"""{_HOSTS}, t AS (SELECT *, row_number() OVER (ORDER BY bytes_tx + bytes_rx DESC, host) AS place FROM h)
 SELECT -2::BIGINT AS line, '# showing ' || count(*) || ' of 100000 observed' AS text FROM t UNION ALL SELECT -1, 'Remote,RX Bytes,TX Bytes' UNION ALL SELECT place, CASE WHEN host % 2 = 0 THEN '"''=' || host || '"' ELSE 'h' || host END || ',' || bytes_rx || ',' || bytes_tx FROM t""",
     lambda p: views.connections_csv(views.host_table(_hosts(p)), 100_000, {"Remote": net.csv_cell(F.concat(F.when(F.col("host") % 2 == 0, "=").otherwise("h"), F.col("host").cast("string"))), "RX Bytes": F.col("bytes_rx").cast("string"), "TX Bytes": F.col("bytes_tx").cast("string")}))
