@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netloom.operators import follow
 from netloom.plans import traffic
 from netloom.plans.model import PACKETS_SQL, packets
 from netloom.plans.queries import ORACLE_SQL, QUERIES
@@ -63,5 +64,47 @@ def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["capture_round_trip"] = capture_round_trip
 ORACLE_SQL["capture_round_trip"] = f"""WITH {PACKETS_SQL} SELECT ordinal, ts_us * 1000 AS ts_ns, CASE WHEN outbound THEN 'outbound' ELSE 'inbound' END AS direction, 1 AS link_type,
-  14 + 20 + CASE app WHEN 'view' THEN 8 + 31 + length('' || flow) WHEN 'purchase' THEN 8 + 47 + length('' || flow) WHEN 'click' THEN 20 + 31 + length('' || k || ordinal)
+  14 + 20 + CASE app WHEN 'view' THEN 8 + 31 + length('' || flow) WHEN 'purchase' THEN 8 + 47 + length('' || flow) WHEN 'click' THEN 20 + 32 + length('' || k || ordinal)
     WHEN 'error' THEN 20 + 70 + length('' || bytes) ELSE 28 + 90 + length('' || flow) END AS wire_len FROM p"""
+
+
+def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as TCP flows: a handshake, each turn with a header, a cookie and its text, and a FIN each way.
+
+    Of each side two segments at a time arrive in the wrong order; every fifth conversation loses the first answer.
+    """
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("outbound", F.coalesce(F.col("role") != "assistant", F.lit(True)))
+    data = F.concat(F.lit("X-Turn: "), F.col("turn").cast("string"), F.lit("\r\nCookie: c"), F.col("turn").cast("string"), F.lit("\r\n"), F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary")
+    side = Window.partitionBy("conv_id", "outbound").orderBy("turn")
+    size = F.octet_length("payload")
+    d = c.withColumn("payload", data).withColumns({
+        "seq": F.lit(4294967000) + 1 + F.coalesce(F.sum(size).over(side.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.row_number().over(side), "all": F.sum(size).over(Window.partitionBy("conv_id", "outbound"))})
+    kept = d.where("not (conv_id % 5 = 0 and not outbound and n = 1)")
+    base = lambda rows, seq, ordinal, payload, syn, fin: rows.select(
+        F.col("conv_id").alias("flow"), "outbound", F.lit(ordinal).cast("bigint").alias("ordinal") if isinstance(ordinal, int) else ordinal.cast("bigint").alias("ordinal"), F.pmod(seq, F.lit(1 << 32)).cast("bigint").alias("seq"), payload.alias("payload"),
+        F.lit(syn).alias("syn"), F.lit(fin).alias("fin"))
+    sides = d.groupBy("conv_id", "outbound").agg(F.max("all").alias("all"))
+    none = F.lit(b"")
+    swapped = F.col("n") + F.when(F.col("n") % 2 == 1, 1).otherwise(-1)
+    rows = base(sides, F.lit(4294967000), 0, none, True, False).union(base(kept, F.col("seq"), swapped * 2 + F.col("outbound").cast("int") + 10, F.col("payload"), False, False))
+    rows = rows.union(base(sides, F.lit(4294967001) + F.col("all"), 1 << 40, none, False, True))
+    order = F.when(F.col("outbound"), 0).otherwise(1)
+    return rows.select("flow", "outbound", (F.col("ordinal") * 2 + order).alias("ordinal"), F.col("ordinal").alias("clock_ms"), "seq", F.lit(0).cast("bigint").alias("ack"), "payload", "syn", (F.col("syn") & ~F.col("outbound")).alias("ack_flag"), "fin", F.lit(False).alias("rst"))
+
+
+def followed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = follow.streams(conversation_segments(spark, sf_dir)).withColumn("s", follow.shown())
+    return rows.select("flow", "side", F.octet_length("data").cast("bigint").alias("bytes"), F.md5("s.data").alias("digest"), F.size("s.masks").alias("masks"), F.size("gaps").alias("gaps"), F.get("gaps", F.lit(0))["missing"].alias("missing"), "closed")
+
+
+QUERIES["followed_streams"] = followed_streams
+ORACLE_SQL["followed_streams"] = """WITH c AS (SELECT conv_id, turn, coalesce(role <> 'assistant', true) AS out, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id, coalesce(role <> 'assistant', true) ORDER BY turn) AS n FROM conversations),
+t AS (SELECT *, 'X-Turn: ' || turn || chr(13) || chr(10) AS h, 'Cookie: c' || turn || chr(13) || chr(10) || text || chr(10) AS b, NOT out AND conv_id % 5 = 0 AS lossy FROM c),
+k AS (SELECT conv_id, out, lossy, n, octet_length(encode(h || b)) AS size, CASE WHEN lossy AND n = 2 THEN repeat('*', length(h) - 1) || chr(10) ELSE h END
+  || 'Cookie: ' || repeat('*', length('c' || turn)) || chr(13) || chr(10) || text || chr(10) AS said FROM t),
+g AS (SELECT conv_id, out, lossy, coalesce(sum(size) FILTER (NOT (lossy AND n = 1)), 0) AS bytes, coalesce(string_agg(said, '' ORDER BY n) FILTER (NOT (lossy AND n = 1)), '') AS said, count(*) AS turns, max(size) FILTER (n = 1) AS first FROM k GROUP BY ALL)
+SELECT CAST(conv_id AS VARCHAR) AS flow, CASE WHEN out THEN 'c2s' ELSE 's2c' END AS side, CAST(bytes AS BIGINT) AS bytes, md5(said) AS digest, CAST(CASE WHEN lossy THEN greatest(0, (turns - 1) + CASE WHEN turns > 1 THEN 1 ELSE 0 END) ELSE turns END AS INTEGER) AS masks,
+  CAST(CASE WHEN lossy AND turns > 1 THEN 1 ELSE 0 END AS INTEGER) AS gaps, CASE WHEN lossy AND turns > 1 THEN first END AS missing, NOT (lossy AND turns = 1) AS closed FROM g
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 's2c', 0, md5(''), 0, 0, NULL, false FROM g GROUP BY conv_id HAVING count(*) = 1 AND bool_and(out)
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'c2s', 0, md5(''), 0, 0, NULL, false FROM g GROUP BY conv_id HAVING count(*) = 1 AND NOT bool_or(out)"""

@@ -120,7 +120,7 @@ _register("frame_headers", lambda spark, sf_dir: captures.headers(frames(spark,
           f"""SELECT ordinal, 'ok' AS parse_status, CASE WHEN {_IN} THEN {_FAR} ELSE {_NEAR} END AS src, CASE WHEN {_IN} THEN {_NEAR} ELSE {_FAR} END AS dst, CASE WHEN {_UDP} THEN 17 ELSE 6 END AS proto,
   CASE app WHEN 'purchase' THEN 53 WHEN 'error' THEN 80 ELSE {_PORT} END AS src_port, CASE app WHEN 'view' THEN 53 WHEN 'click' THEN 80 WHEN 'signup' THEN 443 ELSE {_PORT} END AS dst_port,
   CASE WHEN NOT {_UDP} THEN (ordinal * 7919 + 4294900000) % 4294967296 END AS seq, CASE WHEN NOT {_UDP} THEN k END AS ack, CASE app WHEN 'signup' THEN 18 WHEN 'click' THEN 24 WHEN 'error' THEN 24 END AS tcp_flags,
-  CASE app WHEN 'view' THEN 31 + length('' || flow) WHEN 'purchase' THEN 47 + length('' || flow) WHEN 'click' THEN 31 + length('' || k || ordinal)
+  CASE app WHEN 'view' THEN 31 + length('' || flow) WHEN 'purchase' THEN 47 + length('' || flow) WHEN 'click' THEN 32 + length('' || k || ordinal)
     WHEN 'error' THEN 70 + length('' || bytes) ELSE 90 + length('' || flow) END AS payload_len, CASE app WHEN 'signup' THEN 7 END AS wscale FROM p""")
 _register("decoded_payloads", lambda spark, sf_dir: decoded(spark, sf_dir).select(
     "ordinal", "app_data.kind", "app_data.id", "app_data.name", F.col("app_data.answers")[0]["data"].alias("address"), F.col("app_data.answers")[0]["ttl"].alias("ttl"), "app_data.method", "app_data.path", "app_data.status",
