@@ -30,8 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows that travel to Python at once: texts may be long, and a worker holds several copies of a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send Python at most BATCH_ROWS rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends and sizes become known to the planner."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
