@@ -1,8 +1,8 @@
 """Co-training quality classifier over two views of a document: its text and its metadata.
 
 Each view has a logistic model. They start from a bounded sample of labelled rows (`labelled`, smallest hashes first); in
-each round a view labels, of all unlabelled rows, those on which it is confident for the other view's next Newton steps,
-whose sums Spark takes over the table. Each view is then calibrated on labelled rows held back from fitting, and a logistic model over both calibrated views
+each round a view labels, of all unlabelled rows, those of which it is surest for the other view's next Newton steps, more
+of them from round to round; Spark takes the sums over the table. Each view is then calibrated on labelled rows held back from fitting, and a logistic model over both calibrated views
 scores all documents.
 
 Edge cases: null and empty texts, languages and sources have defined features and get a score; with no labels or one class
@@ -82,41 +82,87 @@ def _sums(rows: DataFrame, cells: int, of: Callable[[np.ndarray, np.ndarray], np
     return out
 
 
-def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, rest: DataFrame, rounds: int = 3, steps: int = 3, confident: float = 0.97, pull: float = 0.3) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+#: Cells of the histograms in which the surest rows are counted, over logits from -LOGIT to LOGIT.
+BINS, LOGIT = 4096, 12.0
+
+
+class Model:
+    """Chances of the combined views, and how many pseudo-labels each view gave the other in each round: (round, text to metadata, metadata to text)."""
+
+    def __init__(self, chance: Callable[[np.ndarray, np.ndarray], np.ndarray], exchanged: list[tuple[int, int, int]]) -> None:
+        self.chance, self.exchanged = chance, exchanged
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.chance(a, b)
+
+
+def _edges(counts: np.ndarray, low: float, high: float) -> tuple[int, int]:
+    """(l, h): cells up to l hold the lowest rows, at most `low` of them and one cell at least; cells from h on the highest."""
+    up, down = np.cumsum(counts), np.cumsum(counts[::-1])
+    first = int(np.argmax(counts > 0)) if counts.any() else -1
+    last = len(counts) - 1 - int(np.argmax(counts[::-1] > 0)) if counts.any() else len(counts)
+    return max(int((up <= low).sum()) - 1, first), min(len(counts) - int((down <= high).sum()), last)
+
+
+def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, rest: DataFrame, rounds: int = 3, steps: int = 3, grow: float = 0.15, pull: float = 2.0) -> Model:
     """Co-train on labelled views x and all unlabelled rows of `rest`.
 
-    In each round a view's model, calibrated on labelled rows held back, labels the rows it is confident of for the other view, which then takes `steps` Newton
-    steps over the labelled rows and those. A pseudo-labelled row weighs `pull` of a labelled one, less where together they would weigh more than `pull` times all labelled ones.
+    In round r each view's model, calibrated on labelled rows held back, labels the rows it is surest of for the other view: of
+    each class the share r x `grow` of the rows that the class should have by the labels. A histogram of all rows, summed by
+    Spark, says how sure that is. The other view then takes `steps` Newton steps over labelled and pseudo-labelled rows; a
+    pseudo-labelled one weighs (2 p - 1)^2, so a view that knows little teaches little, and less where together they would
+    outweigh the labelled rows `pull` times. A view keeps what it was taught only if it then fits the rows held back no worse.
     """
     held = np.arange(len(y)) % 4 == 3
     train = [v[~held] for v in x]
     first = [Logistic().fit(v, y[~held]) for v in train]
     scale = [(m.mean, np.where(m.sd > 1e-6, m.sd, 1.0)) for m in first]  # a feature that no labelled row has keeps its own scale
     w = [m.w for m in first]
-    calibrated = lambda w: [Logistic().fit((_standard(v[held], *s) @ t).clip(-12, 12)[:, None], y[held]) for v, s, t in zip(x, scale, w, strict=True)]
+    calibrated = lambda w: [Logistic().fit((_standard(v[held], *s) @ t).clip(-LOGIT, LOGIT)[:, None], y[held]) for v, s, t in zip(x, scale, w, strict=True)]
+
+    def loss(w: list[np.ndarray]) -> list[float]:
+        """Of each calibrated view on the labelled rows held back."""
+        out = []
+        for v, s, t, c in zip(x, scale, w, calibrated(w), strict=True):
+            p = sigmoid(c.logit((_standard(v[held], *s) @ t).clip(-LOGIT, LOGIT)[:, None])).clip(1e-9, 1 - 1e-9)
+            out.append(float(-np.where(y[held] > 0, np.log(p), np.log(1 - p)).sum()))
+        return out
+
     both_classes = 0 < y[~held].sum() < (~held).sum()
-    sizes = [len(v) for v in w]
-    for _ in range(rounds if both_classes else 0):
+    sizes, rate, exchanged = [len(v) for v in w], float(y.mean()) if len(y) else 0.5, []
+    for turn in range(1, rounds + 1 if both_classes else 1):
         teachers = [(v.copy(), c) for v, c in zip(w, calibrated(w), strict=True)]
 
-        def taught(a: np.ndarray, b: np.ndarray, by: list[tuple[np.ndarray, Logistic]] = teachers) -> list[tuple[np.ndarray, np.ndarray]]:
-            """For each view the rows (standardised, label) that the other view, calibrated, is confident of."""
+        def said(a: np.ndarray, b: np.ndarray, by: list[tuple[np.ndarray, Logistic]] = teachers) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+            """Standardised rows, the cells of each view's score, and its calibrated chances."""
             z = [_standard(v, *s) for v, s in zip((a, b), scale, strict=True)]
-            p = [sigmoid(c.logit((v @ t).clip(-12, 12)[:, None])) for v, (t, c) in zip(z, by, strict=True)]
-            sure = [(q > confident) | (q < 1 - confident) for q in p]
-            return [(z[i][sure[1 - i]], (p[1 - i][sure[1 - i]] > 0.5).astype(float)) for i in (0, 1)]
-
-        n = _sums(rest, 2, lambda a, b, t=taught: np.array([len(k) for _, k in t(a, b)], float))
-        share = [min(pull, pull * len(train[0]) / max(1.0, c)) for c in n]
+            raw = [(v @ t).clip(-LOGIT, LOGIT) for v, (t, _) in zip(z, by, strict=True)]
+            cells = [((r + LOGIT) * (BINS / (2 * LOGIT))).astype(int).clip(0, BINS - 1) for r in raw]
+            return z, cells, [sigmoid(c.logit(r[:, None])) for r, (_, c) in zip(raw, by, strict=True)]
+
+        counts = _sums(rest, 2 * BINS, lambda a, b, f=said: np.concatenate([np.bincount(c, minlength=BINS) for c in f(a, b)[1]]).astype(float))
+        n = counts[:BINS].sum() * min(1.0, turn * grow)
+        edges = [_edges(c, n * (1 - rate), n * rate) for c in (counts[:BINS], counts[BINS:])]
+
+        def taught(a: np.ndarray, b: np.ndarray, f: Callable = said, edges: list[tuple[int, int]] = edges) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """For each view the rows (standardised, label, weight) that the other view is surest of."""
+            z, cells, p = f(a, b)
+            sure = [(c <= e[0]) | (c >= e[1]) for c, e in zip(cells, edges, strict=True)]
+            return [(z[i][sure[1 - i]], (cells[1 - i][sure[1 - i]] >= edges[1 - i][1]).astype(float), (2 * p[1 - i][sure[1 - i]] - 1) ** 2) for i in (0, 1)]
+
+        told = _sums(rest, 4, lambda a, b, t=taught: np.array([f(k) for _, _, k in t(a, b) for f in (len, np.sum)], float))
+        exchanged.append((turn, int(told[2]), int(told[0])))
+        share = [min(1.0, pull * len(train[0]) / max(1e-9, c)) for c in (told[1], told[3])]
+        before, losses = [v.copy() for v in w], loss(w)
         for _ in range(steps):
             now = [v.copy() for v in w]
 
             def slopes(a: np.ndarray, b: np.ndarray, t: Callable = taught, now: list[np.ndarray] = now) -> np.ndarray:
                 """Gradient and Hessian of both views, end to end."""
                 out = []
-                for (z, k), v in zip(t(a, b), now, strict=True):
+                for (z, k, weight), v in zip(t(a, b), now, strict=True):
                     p = sigmoid(z @ v)
-                    out += [z.T @ (p - k), ((z * (p * (1 - p))[:, None]).T @ z).ravel()]
+                    out += [z.T @ (weight * (p - k)), ((z * (weight * p * (1 - p))[:, None]).T @ z).ravel()]
                 return np.concatenate(out)
 
             found = _sums(rest, sum(d + d * d for d in sizes), slopes)
@@ -129,14 +175,15 @@ def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, rest: DataFrame, rounds
                 curve = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + mine[d:].reshape(d, d) + np.diag(ridge)
                 step = np.linalg.solve(curve, slope)
                 w[i] = w[i] - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
-    logits = lambda a, b: np.c_[_standard(a, *scale[0]) @ w[0], _standard(b, *scale[1]) @ w[1]].clip(-12, 12)
+        w = [old if was < now else new for old, new, was, now in zip(before, w, losses, loss(w), strict=True)]
+    logits = lambda a, b: np.c_[_standard(a, *scale[0]) @ w[0], _standard(b, *scale[1]) @ w[1]].clip(-LOGIT, LOGIT)
     one, two = calibrated(w)
     views = lambda a, b: np.c_[one.logit(logits(a, b)[:, [0]]), two.logit(logits(a, b)[:, [1]])]
     last = Logistic().fit(views(x[0][held], x[1][held]), y[held])
-    return lambda a, b: sigmoid(last.logit(views(a, b)))
+    return Model(lambda a, b: sigmoid(last.logit(views(a, b))), exchanged)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, **how: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, **how: float) -> Model:
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("y"))
     rank = F.xxhash64("doc_id")
 
