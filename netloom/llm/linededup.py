@@ -153,8 +153,10 @@ class LineIndex:
     layers: int = 0
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 10, shards: int | None = None) -> LineIndex:
-        return cls._of(_postings(docs, id_col, text_col, min_len), shards)
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 10, shards: int | None = None, once: bool = False) -> LineIndex:
+        """`once`: no two rows share a doc_id, or the counts are not used; else repeated rows are made one before they count."""
+        postings = _postings(docs, id_col, text_col, min_len)
+        return cls._of(postings if once else postings.distinct(), shards)
 
     @classmethod
     def _of(cls, postings: DataFrame, shards: int | None) -> LineIndex:
@@ -244,7 +246,7 @@ def _kept(text: str | None, keys: list[str] | None, min_len: int) -> tuple[str,
 
 def dedup_lines(docs: DataFrame, min_len: int = 10, index: LineIndex | None = None) -> DataFrame:
     """All columns of `docs`, with `text` reduced to the lines that stay, and `n_lines`, `n_dropped` (in place of such columns of the input)."""
-    index = index or LineIndex.build(docs, min_len=min_len)
+    index = index or LineIndex.build(docs, min_len=min_len, once=True)  # only whether a line is shared counts here
     held, made = fresh("lost_keys", docs), fresh("stripped", docs)
     both = docs.join(index.losses().withColumnRenamed("keys", held), "doc_id", "left")
     lines = F.coalesce(F.col("text"), F.lit(""))
