@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions import payloads
+from netloom.functions import fields, payloads
+from netloom.functions.display_filter import compile_filter
 from netloom.operators import reassembly
 from netloom.plans.model import PACKETS_SQL
 from netloom.plans.model import packets as read_packets
@@ -100,7 +101,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = captures.headers(frames(spark, sf_dir))
+    h = captures.headers(captures.settled(frames(spark, sf_dir)))
     return h.withColumn("app_data", payloads.decoded(F.col("payload"), F.col("proto") == 6, F.col("src_port").cast("int"), F.col("dst_port").cast("int")))
 
 
@@ -210,3 +211,21 @@ SELECT ordinal, CAST(CASE WHEN k % 7 = 0 THEN list_position(parts, 0) - 1 ELSE 2
   CASE WHEN k % 7 = 0 THEN 10 ELSE 64 END AS joined_len, 40000 AS src_port, 9000 AS dst_port, CASE WHEN k % 7 = 0 THEN text[1:2] ELSE text END AS text FROM f WHERE k % 7 = 0 OR k % 5 > 0""")
 _register("fragment_counters", lambda spark, sf_dir: reassembly.counters(_rejoined(spark, sf_dir), "joined"), f"""{_FRAGMENTS}
 SELECT count(*) FILTER (k % 7 > 0 AND k % 5 > 0) AS completed, count(*) FILTER (k % 7 = 0) AS incomplete_truncated, 0 AS incomplete_missing, 0 AS abandoned, 0 AS evicted_idle, 0 AS conflicting_bytes, 0 AS forged_ends FROM f""")
+
+
+def _with_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = captures.settled(decoded(spark, sf_dir))
+    return captures.settled(rows.select("ordinal", "cap_len", fields.field_list(rows).alias("fields")))
+
+
+_FIELDS = """, v AS (SELECT ordinal, app, flow, k, bytes, 'n' || flow || '.example.com' AS host FROM p)"""
+_register("field_trees", lambda spark, sf_dir: fields.nested(_with_fields(spark, sf_dir), "ordinal").where("path in ('tcp.flags.syn', 'dns.answer.0.data', 'http.content_length', 'udp.dst_port', 'eth.dst')").select(
+    "ordinal", "path", "group", "type", "depth", F.coalesce("vs", F.col("vu").cast("string"), F.col("vb").cast("string")).alias("value"), "offset", "len"),
+    _FIELDS + """SELECT ordinal, 'eth.dst' AS path, 'eth' AS "group", 'addr' AS type, 1 AS depth, '00:00:00:00:00:00' AS value, 0 AS "offset", 6 AS len FROM v
+UNION ALL SELECT ordinal, 'tcp.flags.syn', 'tcp.flags', 'bool', 2, CASE WHEN app = 'signup' THEN 'true' ELSE 'false' END, 47, 1 FROM v WHERE app IN ('click', 'error', 'signup')
+UNION ALL SELECT ordinal, 'udp.dst_port', 'udp', 'uint', 1, CASE WHEN app = 'view' THEN '53' ELSE '' || (flow % 20000 + 40000) END, 36, 2 FROM v WHERE app IN ('view', 'purchase')
+UNION ALL SELECT ordinal, 'http.content_length', 'http', 'uint', 1, '' || bytes, 0, 70 + length('' || bytes) FROM v WHERE app = 'error'
+UNION ALL SELECT ordinal, 'dns.answer.0.data', 'dns.answer.0', 'addr', 3, '10.' || k || '.0.1', 0, 47 + length('' || flow) FROM v WHERE app = 'purchase'""")
+_TREE_FILTER = 'dns.answer.0.ttl >= 3000 or DNS.answer.1 or http.response.code in {250, 251, "252"} or tcp.flags.syn == true and tls.handshake.sni contains "N1" or not eth and ip.ttl == 64'
+_register("filter_field_trees", lambda spark, sf_dir: _with_fields(spark, sf_dir).where(compile_filter(_TREE_FILTER, fields.TREE)).select("ordinal"),
+          _FIELDS + "SELECT ordinal FROM v WHERE app = 'purchase' AND k * 60 >= 3000 OR app = 'error' AND k IN (50, 51) OR app = 'signup' AND contains(host, 'n1')")

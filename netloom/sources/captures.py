@@ -150,6 +150,11 @@ def statistics_block(ts_ns: int, received: int, dropped: int) -> bytes:
     return _block(STATISTICS, struct.pack("<3I", 0, ts_ns >> 32, ts_ns & 0xFFFFFFFF) + struct.pack("<HHQHHQI", 4, 8, received, 5, 8, dropped, 0))
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows as they stand: what follows reads these columns, where the planner would else repeat their expressions for each use."""
+    return rows.mapInArrow(lambda batches: batches, rows.schema)
+
+
 def _uint(frame: Column, at: Column, size: int) -> Column:
     """A big-endian number at a 0-based place; null where the frame ends before it."""
     return F.when(F.length(frame) >= at + size, F.conv(F.hex(F.substring(frame, at + 1, F.lit(size))), 16, 10).cast("bigint"))
