@@ -133,11 +133,12 @@ def history(series: DataFrame, key: str, at: str, value: str, n: int = 60) -> Da
     return series.withColumn("history", F.collect_list(value).over(Window.partitionBy(key).orderBy(at).rowsBetween(1 - n, 0)))
 
 
-def throughput(samples: DataFrame, key: str, bin_us: int) -> DataFrame:
+def throughput(samples: DataFrame, key: str, bin_us: int, from_us: int | None = None, to_us: int | None = None, most: int = 200) -> DataFrame:
     """(key, bin_us, outbound_bytes, inbound_bytes): payload each way in every bin that the samples cover whole, zeros included.
 
     samples: key, index, ts_us, outbound, bytes, syn, rst, fin. The first bin is whole if the flow is held from its SYN, the
-    last one if it has ended: by a reset, or by a FIN each way.
+    last one if it has ended: by a reset, or by a FIN each way. from_us, to_us: the range that is looked at; without both,
+    a flow keeps the newest `most` bins, so that one long open does not grow without bound.
     """
     at = lambda c: F.floor(c / F.lit(bin_us)).cast("bigint")
     out = F.col("outbound")
@@ -146,6 +147,8 @@ def throughput(samples: DataFrame, key: str, bin_us: int) -> DataFrame:
         (F.bool_or("rst") | F.bool_or(F.col("fin") & out) & F.bool_or(F.col("fin") & ~out)).alias("ended"))
     first = F.when((F.col("h.index") == 0) & F.col("h.syn"), at(F.col("a"))).otherwise(F.ceil(F.col("a") / F.lit(bin_us)).cast("bigint"))
     last = at(F.col("z")) - F.when(F.col("ended"), 0).otherwise(1)
+    first = F.greatest(first, at(F.lit(from_us))) if from_us is not None else F.greatest(first, last - (most - 1)) if to_us is None else first
+    last = F.least(last, F.ceil(F.lit(to_us) / F.lit(bin_us)).cast("bigint") - 1) if to_us is not None else last
     spine = spans.where(first <= last).select(key, F.explode(F.sequence(first, last)).alias("_b"))
     each = lambda which: F.sum(F.when(which, F.col("bytes")).otherwise(0))
     sums = samples.where("bytes > 0").groupBy(key, at(F.col("ts_us")).alias("_b")).agg(each(out).alias("o"), each(~out).alias("i"))

@@ -15,17 +15,38 @@ def asof(asked: DataFrame, learned: DataFrame, key: str, value: str, expires: st
     return known.select(*asked.columns, F.when(F.col("_now.e") > F.col("ts_us"), F.col("_now.v")).alias(value))
 
 
-def in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, order: str, value: str, block: int = 1 << 16) -> DataFrame:
+DIGIT = 16
+
+
+def _aligned(low: Column, high: Column) -> Column:
+    """array<struct<level, cell>>: a range as blocks of DIGIT ** level numbers that start at a multiple of it, at most 30 of each level."""
+    cells = lambda level, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda c: F.struct(level.cast("int").alias("level"), c.alias("cell")))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+
+    def step(held: Column, level: Column) -> Column:
+        a, b = held["a"], held["b"]
+        up = F.least(b, a + F.pmod(-a, F.lit(DIGIT)))
+        down = F.greatest(up, b - F.pmod(b, F.lit(DIGIT)))
+        whole = F.concat(held["blocks"], cells(level, a, up), cells(level, down, b))
+        shrunk = lambda c: F.when(up < down, F.shiftright(c, 4)).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(shrunk(up).alias("a"), shrunk(down).alias("b"), whole.alias("blocks"))
+
+    start = F.struct(low.cast("bigint").alias("a"), (high.cast("bigint") + 1).alias("b"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("blocks"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(15)), start, step, lambda held: held["blocks"])
+
+
+def in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, order: str, value: str) -> DataFrame:
     """points with the value of the first range (smallest `order`) that holds them, else null.
 
-    Ranges are dealt into aligned blocks, so the join is an equality join on the block and never a nested loop; equal
-    points are looked up once.
+    A range of any width becomes a few aligned blocks at the levels of a grid of powers of 16, so the join is one of equal
+    level and cell, with no pair that does not hit: a range over all addresses is one row. Equal points are looked up once,
+    at the levels that the ranges use. Numbers from 0 to 2**62; ranges that end before they begin hold nothing.
     """
-    cell = lambda c: F.floor(c / F.lit(block)).cast("bigint")
-    dealt = ranges.select(F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))).alias("_cell"), F.col(low).alias("_low"), F.col(high).alias("_high"), F.col(order).alias("_order"), F.col(value).alias("_value"))
-    asked = points.select(F.col(point).alias("_p")).where("_p is not null").distinct().withColumn("_cell", cell(F.col("_p")))
-    hits = asked.join(dealt, "_cell").where("_p between _low and _high").groupBy("_p").agg(F.min_by("_value", "_order").alias(value))
-    return points.join(hits, points[point] == hits["_p"], "left").drop("_p")
+    dealt = ranges.where(f"`{low}` <= `{high}`").select(F.explode(_aligned(F.col(low), F.col(high))).alias("_b"), F.col(order).alias("_order"), F.col(value).alias("_value")).select("_b.*", "_order", "_value")
+    levels = F.broadcast(dealt.agg(F.collect_set("level").alias("_levels")))  # one row of 16 numbers at most
+    asked = points.select(F.col(point).cast("bigint").alias("_p")).where("_p is not null").distinct().crossJoin(levels).select("_p", F.explode("_levels").alias("level"))
+    asked = asked.withColumn("cell", F.expr("shiftright(_p, 4 * level)"))
+    hits = asked.join(dealt, ["level", "cell"]).groupBy("_p").agg(F.min_by("_value", "_order").alias(value))
+    return points.join(hits, points[point].cast("bigint") == hits["_p"], "left").drop("_p")
 
 
 def spans_touching(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -62,7 +83,7 @@ def unmatched_responses(matched: DataFrame, packets: DataFrame, response: Column
 def longest_prefix(points: DataFrame, services: DataFrame, point: str, value: str) -> DataFrame:
     """points with the value of the narrowest block that holds them. services: low, high, value."""
     sized = services.select("low", "high", (F.col("high") - F.col("low")).alias("_width"), value)
-    return in_range(points, sized, point, "low", "high", "_width", value, 256)
+    return in_range(points, sized, point, "low", "high", "_width", value)
 
 
 def hop_places(hops: DataFrame, places: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.network import csv_cell
+
 #: Widths of a series in ms, widths of throughput bins in ms, points and bins of a chart, samples of a page.
 INTERVALS_MS = (100, 1000, 10_000, 60_000)
 BIN_STEPS_MS = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10_000, 30_000, 60_000, 120_000, 300_000, 600_000, 1_800_000, 3_600_000)
@@ -106,11 +108,24 @@ def most_specific_field(fields: DataFrame, offset: int) -> DataFrame:
     return covering.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def connections_csv(rows: DataFrame, observed: int, columns: dict[str, Column]) -> DataFrame:
-    """(line, text): the horizon, the header, one line a row in the order of `place`. columns: header -> cell."""
-    shown = rows.count()
-    head = rows.sparkSession.createDataFrame([(-2, f"# showing {shown} of {observed} observed"), (-1, ",".join(columns))], "line long, text string")
-    return head.unionByName(rows.select(F.col("place").cast("long").alias("line"), F.concat_ws(",", *columns.values()).alias("text")))
+#: The columns of exported connections, and no others.
+CSV_HEADER = ("Protocol", "Local", "Remote", "Process", "PID", "RX Bytes", "TX Bytes", "Status")
+
+
+def connections_csv(rows: DataFrame, observed: int) -> DataFrame:
+    """(line, text): how many rows of how many observed, the header, one line a row in the order of `place`.
+
+    rows: place, protocol, local_addr, local_port, remote_addr, remote_port, process, pid, rx_bytes, tx_bytes, status. What else
+    they hold is never written. Text cells are quoted and kept from running as formulas; numbers stay as they are.
+    """
+    at = lambda side: csv_cell(F.concat(F.col(f"{side}_addr"), F.lit(":"), F.col(f"{side}_port").cast("string")))
+    number = lambda c: F.col(c).cast("string")
+    cells = [csv_cell(F.col("protocol")), at("local"), at("remote"), csv_cell(F.col("process")), number("pid"), number("rx_bytes"), number("tx_bytes"), csv_cell(F.col("status"))]
+    lines = rows.select(F.col("place").cast("long").alias("line"), F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells]).alias("text"))
+    shown = lines.agg(F.format_string(f"# showing %d of {observed} observed", F.count(F.lit(1))).alias("text"))
+    head = shown.select(F.lit(-2).cast("long").alias("line"), "text")
+    names = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("line"), F.lit(",".join(CSV_HEADER)).alias("text"))
+    return head.unionByName(names).unionByName(lines)
 
 
 def evicted(flows: DataFrame, key: str, now_us: int, idle_us: Column, most: int = 10_000) -> DataFrame:
@@ -123,6 +138,7 @@ def evicted(flows: DataFrame, key: str, now_us: int, idle_us: Column, most: int
     return flows.where(idle).select(key, F.lit("idle").alias("reason")).union(over)
 
 
+#: Fixed value: the last hop that a trace tries.
 MAX_HOP = 30
 
 

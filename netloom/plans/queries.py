@@ -148,7 +148,7 @@ _on_packets("dns_name_asof", f""", l AS (SELECT flow, ts_us, max(ordinal) AS o F
 SELECT q.ordinal, CASE WHEN l.ts_us + {30 * HOUR} > q.ts_us THEN 'n' || l.o END AS name FROM q ASOF LEFT JOIN l ON q.flow = l.flow AND q.ts_us >= l.ts_us""", lambda p: joins.asof(p.where("app = 'purchase'").select("ordinal", "flow", "ts_us"), _learned(p), "flow", "name").select("ordinal", "name"))
 _on_packets("ownership_range", """, r AS (SELECT ordinal AS pos, bytes % 2000 * 8 AS low, bytes % 2000 * 8 + k AS high, 'org' || ordinal AS org FROM p WHERE ordinal % 50 = 0)
 SELECT p.ordinal, min_by(org, pos) AS org FROM p LEFT JOIN r ON p.bytes BETWEEN low AND high GROUP BY p.ordinal""",
-    lambda p: joins.in_range(p.select("ordinal", "bytes"), p.where("ordinal % 50 = 0").selectExpr("ordinal as pos", "bytes % 2000 * 8 as low", "bytes % 2000 * 8 + k as high", "concat('org', ordinal) as org"), "bytes", "low", "high", "pos", "org", 256).select("ordinal", "org"))
+    lambda p: joins.in_range(p.select("ordinal", "bytes"), p.where("ordinal % 50 = 0").selectExpr("ordinal as pos", "bytes % 2000 * 8 as low", "bytes % 2000 * 8 + k as high", "concat('org', ordinal) as org"), "bytes", "low", "high", "pos", "org").select("ordinal", "org"))
 _on_packets("unique_links", """, a AS (SELECT flow, k, min(ordinal) AS left_id FROM p WHERE app = 'view' GROUP BY ALL HAVING count(*) = 1), b AS (SELECT flow, k, min(ordinal) AS right_id FROM p WHERE app = 'click' GROUP BY ALL HAVING count(*) = 1)
 SELECT * FROM a JOIN b USING (flow, k)""", lambda p: joins.unique_links(p.where("app = 'view'"), p.where("app = 'click'"), ["flow", "k"], "ordinal", "ordinal"))
 _on_packets("unanswered_requests", f"{_MATCH} SELECT flow, n, req_ordinal FROM m WHERE resp_ordinal IS NULL", lambda p: _fifo(p).where("resp_ordinal is null").select("flow", "n", "req_ordinal"))
@@ -165,7 +165,7 @@ _SAMPLES = """, t AS (SELECT flow, row_number() OVER (PARTITION BY flow ORDER BY
 _on_packets("throughput_bins", f"""{_SAMPLES}, e AS (SELECT flow, min(ts_us) AS a, max(ts_us) AS z, bool_or(idx = 0 AND syn) AS whole, bool_or(rst) OR bool_or(fin AND outbound) AND bool_or(fin AND NOT outbound) AS ended FROM t GROUP BY flow),
 g AS (SELECT flow, unnest(range(a // {HOUR} + CASE WHEN whole OR a % {HOUR} = 0 THEN 0 ELSE 1 END, z // {HOUR} + CASE WHEN ended THEN 1 ELSE 0 END)) AS b FROM e),
 u AS (SELECT flow, ts_us // {HOUR} AS b, sum(CASE WHEN outbound THEN bytes ELSE 0 END) AS o, sum(CASE WHEN outbound THEN 0 ELSE bytes END) AS i FROM t GROUP BY ALL)
-SELECT flow, b * {HOUR} AS bin_us, CAST(coalesce(o, 0) AS BIGINT) AS outbound_bytes, CAST(coalesce(i, 0) AS BIGINT) AS inbound_bytes FROM g LEFT JOIN u USING (flow, b)""", lambda p: folds.throughput(_samples(p), "flow", HOUR))
+SELECT flow, b * {HOUR} AS bin_us, CAST(coalesce(o, 0) AS BIGINT) AS outbound_bytes, CAST(coalesce(i, 0) AS BIGINT) AS inbound_bytes FROM g LEFT JOIN u USING (flow, b)""", lambda p: folds.throughput(_samples(p), "flow", HOUR, 0, 1 << 61))
 _on_packets("covered_buckets", f""", s AS ({_series_sql(HOUR)}), e AS (SELECT series, unnest(range(min(bucket_us), max(bucket_us) + 1, {HOUR})) AS bucket_us FROM s GROUP BY series)
 SELECT series, bucket_us, coalesce(packets, 0) AS packets, coalesce(bytes, 0) AS bytes FROM e LEFT JOIN s USING (series, bucket_us)""", lambda p: folds.covered(_series(p, HOUR), HOUR))
 _on_packets("bandwidth_history", f""", s AS (SELECT series, bucket_us, bytes FROM ({_series_sql(HOUR)}))

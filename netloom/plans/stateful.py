@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.operators import follow
+from netloom.operators import follow, history
 from netloom.plans import traffic
 from netloom.plans.model import PACKETS_SQL, packets
 from netloom.plans.queries import ORACLE_SQL, QUERIES
@@ -108,3 +108,29 @@ SELECT CAST(conv_id AS VARCHAR) AS flow, CASE WHEN out THEN 'c2s' ELSE 's2c' END
   CAST(CASE WHEN lossy AND turns > 1 THEN 1 ELSE 0 END AS INTEGER) AS gaps, CASE WHEN lossy AND turns > 1 THEN first END AS missing, NOT (lossy AND turns = 1) AS closed FROM g
 UNION ALL SELECT CAST(conv_id AS VARCHAR), 's2c', 0, md5(''), 0, 0, NULL, false FROM g GROUP BY conv_id HAVING count(*) = 1 AND bool_and(out)
 UNION ALL SELECT CAST(conv_id AS VARCHAR), 'c2s', 0, md5(''), 0, 0, NULL, false FROM g GROUP BY conv_id HAVING count(*) = 1 AND NOT bool_or(out)"""
+
+
+_FROM, _TO = 1_704_067_200, 1_705_067_200
+
+
+def series_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a second as a millisecond: a message an hour covers it, every tenth hour hides its first half second, every seventh packet is late."""
+    p = packets(spark, sf_dir).withColumn("ms", F.floor(F.col("ts_us") / F.lit(1_000_000)).cast("bigint")).withColumn("hour", F.floor(F.col("ms") / F.lit(3600)).cast("bigint"))
+    hours = p.select("hour").distinct()
+    messages = hours.select(F.lit("s").alias("source"), F.col("hour").alias("ordinal"), F.lit("e").alias("epoch"), F.lit(1).cast("bigint").alias("revision"), (F.col("hour") * 3600).alias("from_ms"), (F.col("hour") * 3600 + 3600).alias("to_ms"))
+    counts = p.select(F.lit("s").alias("source"), F.col("hour").alias("ordinal"), F.lit("all").alias("series"), (F.col("ms") - F.col("ms") % 100).alias("start_ms"), F.lit(1).cast("bigint").alias("packets"), "bytes", (F.col("k") % 7 == 0).alias("late"))
+    unseen = messages.where("ordinal % 10 = 0").select("source", "ordinal", "from_ms", (F.col("from_ms") + 500).alias("to_ms"), F.lit("backlog").alias("reason"))
+    held = history.tiers(messages, counts.where("late is not null"), unseen)
+    return history.points(held, "all", 10_000, _FROM, _TO).drop("source")
+
+
+QUERIES["series_history"] = series_history
+ORACLE_SQL["series_history"] = f"""WITH {PACKETS_SQL}, e AS (SELECT *, ts_us // 1000000 AS ms FROM p WHERE k IS NOT NULL), h AS (SELECT DISTINCT ts_us // 1000000 // 3600 AS h FROM p),
+i AS (SELECT unnest(range({_FROM} // 10000 * 10000, {_TO}, 10000)) AS a),
+c AS (SELECT a, sum(greatest(0, least(a + 10000, h * 3600 + 3600) - greatest(a, h * 3600))) AS covered,
+  sum(CASE WHEN h % 10 = 0 THEN greatest(0, least(a + 10000, h * 3600 + 500) - greatest(a, h * 3600)) ELSE 0 END) AS unseen FROM i JOIN h ON h * 3600 < a + 10000 AND h * 3600 + 3600 > a GROUP BY a),
+n AS (SELECT (ms - ms % 100) // 10000 * 10000 AS a, count(*) FILTER (k % 7 > 0) AS packets, sum(bytes) FILTER (k % 7 > 0) AS bytes, count(*) FILTER (k % 7 = 0) AS late FROM e GROUP BY 1),
+s AS (SELECT a, CASE WHEN unseen > 0 THEN 'notObserved' WHEN covered >= 10000 THEN 'value' ELSE 'unknown' END AS state, coalesce(packets, 0) AS packets, coalesce(bytes, 0) AS bytes, coalesce(late, 0) AS late, coalesce(unseen, 0) AS unseen
+  FROM i LEFT JOIN c USING (a) LEFT JOIN n USING (a))
+SELECT a AS start_ms, state, CASE WHEN state = 'value' THEN packets ELSE 0 END AS packets, CAST(CASE WHEN state = 'value' THEN bytes ELSE 0 END AS BIGINT) AS bytes, late AS late_packets, CAST(unseen AS BIGINT) AS unseen_ms,
+  CASE WHEN unseen > 0 THEN 'backlog' END AS reason FROM s"""

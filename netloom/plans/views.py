@@ -42,8 +42,12 @@ _on_packets("drill_down", f"SELECT ordinal FROM p WHERE ts_us >= {DAY0 + 20 * HO
 QUERIES["drill_down"] = lambda spark, sf_dir: views.drilled(
     read_packets(spark, sf_dir, DAY0 + 20 * HOUR, DAY0 + 44 * HOUR), compile_filter('app == "purchase"', FIELDS), DAY0 + 20 * HOUR, 24 * HOUR).select("ordinal")
 _on_packets("connections_csv", f"""{_HOSTS}, t AS (SELECT *, row_number() OVER (ORDER BY bytes_tx + bytes_rx DESC, host) AS place FROM h)
-SELECT -2::BIGINT AS line, '# showing ' || count(*) || ' of 100000 observed' AS text FROM t UNION ALL SELECT -1, 'Remote,RX Bytes,TX Bytes' UNION ALL SELECT place, CASE WHEN host % 2 = 0 THEN '"''=' || host || '"' ELSE 'h' || host END || ',' || bytes_rx || ',' || bytes_tx FROM t""",
-    lambda p: views.connections_csv(views.host_table(_hosts(p)), 100_000, {"Remote": net.csv_cell(F.concat(F.when(F.col("host") % 2 == 0, "=").otherwise("h"), F.col("host").cast("string"))), "RX Bytes": F.col("bytes_rx").cast("string"), "TX Bytes": F.col("bytes_tx").cast("string")}))
+SELECT -2::BIGINT AS line, '# showing ' || count(*) || ' of 100000 observed' AS text FROM t UNION ALL SELECT -1, 'Protocol,Local,Remote,Process,PID,RX Bytes,TX Bytes,Status'
+UNION ALL SELECT place, 'HTTP,10.0.0.1:' || host || ',' || CASE WHEN host % 2 = 0 THEN '"''=' || host || ':80"' ELSE 'h' || host || ':80' END || ',' || CASE WHEN host % 3 = 0 THEN '"a ""b"", c"' ELSE '' END
+  || ',' || host || ',' || bytes_rx || ',' || bytes_tx || ',ESTABLISHED' FROM t""",
+    lambda p: views.connections_csv(views.host_table(_hosts(p)).select(
+        "place", F.lit("HTTP").alias("protocol"), F.lit("10.0.0.1").alias("local_addr"), F.col("host").alias("local_port"), F.concat(F.when(F.col("host") % 2 == 0, "=").otherwise("h"), F.col("host").cast("string")).alias("remote_addr"),
+        F.lit(80).alias("remote_port"), F.when(F.col("host") % 3 == 0, 'a "b", c').alias("process"), F.col("host").alias("pid"), F.col("bytes_rx").alias("rx_bytes"), F.col("bytes_tx").alias("tx_bytes"), F.lit("ESTABLISHED").alias("status"), F.lit("secret").alias("payload")), 100_000))
 
 # Samples of a flow: index from 0, some lost.
 _ring = lambda p: p.select("flow", (F.row_number().over(Window.partitionBy("flow").orderBy("ordinal")) - 1).alias("index"), "ordinal", "ts_us", "outbound", "k", (F.col("bytes") * (F.col("k") % 2)).alias("bytes"))
