@@ -230,3 +230,48 @@ def display_safe(text: Column, most: int) -> Column:
 def _code_point(c: Column) -> Column:
     """Of one character: its big-endian UTF-32 bytes as a number."""
     return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint")
+
+
+#: Fixed value: bytes of a sample's label.
+LABEL_BYTES = 64
+
+
+def sample_label(app: Column, payload: Column) -> Column:
+    """What a segment shows in a ladder: a ClientHello with its name, a ServerHello, a request without query or fragment, a response; else null.
+
+    app: a struct as `payloads.decoded` gives it. Printable ASCII, escapes whole, at most LABEL_BYTES.
+    """
+    server = (F.octet_length(payload) >= 6) & (F.hex(F.substring(payload, 1, 2)) == "1603") & (F.hex(F.substring(payload, 6, 1)) == "02")
+    path = F.regexp_extract(app["path"], "^[^?#]*", 0)
+    text = (
+        F.when(app["kind"] == "tls_client_hello", F.concat(F.lit("ClientHello (SNI: "), app["sni"], F.lit(")"))).when(server, "ServerHello")
+        .when(app["kind"] == "http", F.concat(F.lit("HTTP "), app["method"], F.lit(" "), path)).when(app["kind"] == "http_response", F.concat_ws(" ", F.lit("HTTP"), app["status"], app["reason"])))
+    one = lambda c: F.when((c >= " ") & (c <= "~") & (F.octet_length(c) == 1), c).otherwise(F.concat(F.lit("\\u{"), F.lower(F.hex(_code_point(c))), F.lit("}")))
+    start = F.struct(F.lit("").alias("said"), F.lit(False).alias("full"))
+
+    def add(held: Column, c: Column) -> Column:
+        more = F.concat(held["said"], one(c))
+        fits = ~held["full"] & (F.length(more) <= LABEL_BYTES)
+        return F.struct(F.when(fits, more).otherwise(held["said"]).alias("said"), (~fits).alias("full"))
+
+    return F.when(text.isNotNull(), F.aggregate(F.filter(F.split(F.substring(text, 1, LABEL_BYTES), ""), lambda c: c != ""), start, add, lambda held: held["said"]))
+
+
+def mac_prefix(mac: Column) -> Column:
+    """The six upper-case digits that a vendor is looked up by; null for malformed, zero, multicast and locally given addresses."""
+    digits = F.upper(F.regexp_replace(mac, "[:-]", ""))
+    own = F.conv(F.substring(digits, 1, 2), 16, 10).cast("int").bitwiseAND(3) == 0
+    return F.when(digits.rlike("^[0-9A-F]{12}$") & (digits != "0" * 12) & own, F.substring(digits, 1, 6))
+
+
+#: Fixed value: the widest block that an allocation may claim.
+LEAST_PREFIX = 8
+
+
+def range_cidr(first: Column, last: Column) -> Column:
+    """The one block of /8 to /32 that an IPv4 range is; null where it is none, for a wider one would claim what it does not hold."""
+    low, high = ipv4_int(first), ipv4_int(last)
+    size = high - low + 1
+    bits = F.when(size >= 1, F.array_position(F.array(*[F.lit(1 << (32 - p)) for p in range(33)]), size) - 1)
+    dotted = F.concat_ws(".", *[(F.shiftright(low, 8 * (3 - i)) % 256).cast("string") for i in range(4)])
+    return F.when((bits >= LEAST_PREFIX) & (F.pmod(low, F.greatest(size, F.lit(1))) == 0), F.concat(dotted, F.lit("/"), bits.cast("string")))

@@ -50,6 +50,23 @@ def _read(messages: DataFrame, *columns: str) -> list[str]:
     return [*columns, *(c for c in ("swept_us",) if c in messages.columns)]
 
 
+def dns_messages(packets: DataFrame, app: str = "app_data") -> DataFrame:
+    """The DNS messages that are matched: over UDP, the server on port 53. packets: flow, outbound, local_port, remote_port, proto, and decoded payloads; a retransmitted segment says nothing new."""
+    a = lambda c: F.col(f"{app}.{c}")
+    asks = a("kind") == "dns"
+    server = F.when(asks == F.col("outbound"), F.col("remote_port")).otherwise(F.col("local_port"))
+    rows = packets.where(a("kind").isin("dns", "dns_response") & (F.col("proto") == 17) & (server == 53))
+    return rows.select(*[c for c in ("flow", "ordinal", "ts_us", "outbound", "swept_us") if c in packets.columns], a("id").alias("id"), a("name").alias("name"), asks.alias("is_query"))
+
+
+def http_messages(packets: DataFrame, app: str = "app_data") -> DataFrame:
+    """Requests (status null) and responses of packets that were not sent again (`retransmit`, where the packets have it)."""
+    a = lambda c: F.col(f"{app}.{c}")
+    rows = packets.where(a("kind").isin("http", "http_response"))
+    rows = rows.where(~F.coalesce("retransmit", F.lit(False))) if "retransmit" in packets.columns else rows
+    return rows.select(*[c for c in ("flow", "ordinal", "ts_us", "outbound", "swept_us") if c in packets.columns], a("status").alias("status"))
+
+
 def dns(messages: DataFrame, key: str = "flow") -> DataFrame:
     """messages (key, ordinal, ts_us, outbound, id, name, is_query; swept_us by `sweep_clock`) with `t`, an EVENT.
 

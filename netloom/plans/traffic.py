@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from netloom.functions import fields, payloads
 from netloom.functions.display_filter import compile_filter
-from netloom.operators import reassembly
+from netloom.functions import network as net
+from netloom.operators import lookups, reassembly, stats, transactions
 from netloom.plans.model import PACKETS_SQL
 from netloom.plans.model import packets as read_packets
 from netloom.plans.queries import ORACLE_SQL, QUERIES
@@ -229,3 +230,30 @@ UNION ALL SELECT ordinal, 'dns.answer.0.data', 'dns.answer.0', 'addr', 3, '10.'
 _TREE_FILTER = 'dns.answer.0.ttl >= 3000 or DNS.answer.1 or http.response.code in {250, 251, "252"} or tcp.flags.syn == true and tls.handshake.sni contains "N1" or not eth and ip.ttl == 64'
 _register("filter_field_trees", lambda spark, sf_dir: _with_fields(spark, sf_dir).where(compile_filter(_TREE_FILTER, fields.TREE)).select("ordinal"),
           _FIELDS + "SELECT ordinal FROM v WHERE app = 'purchase' AND k * 60 >= 3000 OR app = 'error' AND k IN (50, 51) OR app = 'signup' AND contains(host, 'n1')")
+
+
+_register("sample_labels", lambda spark, sf_dir: captures.settled(decoded(spark, sf_dir).select("ordinal", "app_data", "payload")).select("ordinal", net.sample_label(F.col("app_data"), F.col("payload")).alias("label")),
+          """SELECT ordinal, CASE app WHEN 'signup' THEN 'ClientHello (SNI: n' || flow || '.example.com)' WHEN 'click' THEN 'HTTP GET /p/' || k WHEN 'error' THEN 'HTTP ' || (k + 200) || ' Fine' END AS label FROM p""")
+_register("capture_counters", lambda spark, sf_dir: stats.capture_counters(captures.headers(captures.settled(frames(spark, sf_dir).withColumns({
+    "frame": F.when(F.col("k") % 10 == 0, F.substring("frame", 1, 30)).otherwise(F.col("frame")), "cap_len": F.when(F.col("k") % 10 == 0, 30).otherwise(F.col("cap_len"))})))),
+    """SELECT count(*) AS received, CAST(sum(14 + 20 + CASE app WHEN 'view' THEN 8 + 31 + length('' || flow) WHEN 'purchase' THEN 8 + 47 + length('' || flow) WHEN 'click' THEN 20 + 32 + length('' || k || ordinal)
+    WHEN 'error' THEN 20 + 70 + length('' || bytes) ELSE 28 + 90 + length('' || flow) END) AS BIGINT) AS bytes, count(*) FILTER (k % 10 = 0) AS unparseable, 0 AS unsupported, count(*) FILTER (k % 10 = 0) AS truncated FROM p""")
+_register("range_blocks", lambda spark, sf_dir: read_packets(spark, sf_dir).select("ordinal", net.range_cidr(
+    F.concat(F.lit("10."), F.col("k").cast("string"), F.lit(".0.0")), F.concat(F.lit("10."), (F.col("k") + F.when(F.col("flow") % 3 == 0, 0).when(F.col("flow") % 3 == 1, 1).otherwise(3)).cast("string"), F.lit(".255.255"))).alias("block")),
+    """SELECT ordinal, CASE WHEN flow % 3 = 0 THEN '10.' || k || '.0.0/16' WHEN flow % 3 = 1 AND k % 2 = 0 THEN '10.' || k || '.0.0/15' WHEN flow % 3 = 2 AND k % 4 = 0 THEN '10.' || k || '.0.0/14' END AS block FROM p""")
+_register("mac_vendors", lambda spark, sf_dir: lookups.vendors(
+    read_packets(spark, sf_dir).select("ordinal", F.concat(F.lpad(F.hex(F.col("k")), 2, "0"), F.lit(":1b-2C:00:00:"), F.lpad(F.hex(F.col("flow") % 256), 2, "0")).alias("mac")),
+    read_packets(spark, sf_dir).where("k % 8 = 0").select(F.concat(F.lpad(F.hex(F.col("k")), 2, "0"), F.lit("1B2C")).alias("prefix"), F.concat(F.lit("maker "), F.col("k").cast("string")).alias("vendor")).distinct()).drop("mac"),
+    """SELECT ordinal, CASE WHEN k % 8 = 0 THEN 'maker ' || k END AS vendor FROM p""")
+
+
+def matched_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names asked and answered over UDP, from decoded frames; time runs a million times as fast, and every fourth client port is a capture of its own."""
+    rows = decoded(spark, sf_dir).select("ordinal", F.col("direction"), "flow", F.floor(F.col("ts_ns") / F.lit(1_000_000_000)).cast("bigint").alias("ts_us"), "src", "dst", "src_port", "dst_port", "proto", "app_data")
+    ends = stats.canonical(rows.drop("flow"), None)
+    flow = net.connection_id(F.when(F.col("proto") == 6, "tcp").otherwise("udp"), F.col("local_addr"), F.col("local_port"), F.col("remote_addr"), F.col("remote_port"))
+    swept = transactions.sweep_clock(ends.withColumns({"flow": flow, "source": F.col("local_port") % 4}))
+    return transactions.dns(transactions.dns_messages(swept)).select("flow", "ordinal", "t.event", "t.request", "t.service_us")
+
+
+QUERIES["matched_dns"] = matched_dns
