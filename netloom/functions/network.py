@@ -76,6 +76,7 @@ def speed_text(n: Column) -> Column:
 
 
 def service_text(us: Column) -> Column:
+    """Microseconds, milliseconds with one decimal, seconds with two. Halves go up in exact integers: 1,150 us is 1.2 ms, where rounding the binary fraction gives 1.1."""
     us = us.cast("bigint")
     return F.when(us < 1000, F.concat(us.cast("string"), F.lit(" µs"))).when(us < 1_000_000, _decimal(us, 1000, 1, " ms")).otherwise(_decimal(us, 1_000_000, 2, " s"))
 
@@ -167,11 +168,15 @@ def redact(name: Column, value: Column) -> Column:
     return F.when(F.coalesce(secret, F.lit(False)) & value.isNotNull(), "[REDACTED]").otherwise(value)
 
 
+#: How a cell begins that a spreadsheet runs as a formula, and what makes a cell quoted.
+FORMULA, QUOTED = "^[=+\\-@\\t\\r\\n＝＋－＠]", '[",;\\t\\r\\n]'
+
+
 def csv_cell(text: Column) -> Column:
     """One quoted CSV cell; cells a spreadsheet would run as a formula get a leading quote mark."""
-    formula = text.rlike("^[=+\\-@\\t\\r\\n＝＋－＠]")
+    formula = text.rlike(FORMULA)
     body = F.when(formula, F.concat(F.lit("'"), text)).otherwise(text)
-    return F.when(formula | body.rlike('[",;\\t\\r\\n]'), F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(body)
+    return F.when(formula | body.rlike(QUOTED), F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(body)
 
 
 def hex_dump(payload: Column, n: int = 64) -> Column:

@@ -20,6 +20,28 @@ def hierarchy(packets: DataFrame, levels: list[str]) -> DataFrame:
     return out.withColumn("depth", depth.cast("int")).drop("_g")
 
 
+def protocol_hierarchy(packets: DataFrame, app: str = "app_now") -> DataFrame:
+    """(depth, path, bytes, packets): every prefix of Ethernet, IP, transport and application.
+
+    packets: proto, bytes, src_port, dst_port and the application of their flow by then. TCP and UDP count if they have ports,
+    with their application ('Unknown' without one); ICMP (1 and 58) and others have none. All links count as Ethernet.
+    """
+    ported = F.col("proto").isin(6, 17)
+    transport = F.when(F.col("proto") == 6, "TCP").when(F.col("proto") == 17, "UDP").when(F.col("proto").isin(1, 58), "ICMP").otherwise("Other")
+    path = F.concat(F.array(F.lit("Ethernet"), F.lit("IP"), transport), F.when(ported, F.array(F.coalesce(F.col(app), F.lit("Unknown")))).otherwise(F.array().cast("array<string>")))
+    counted = packets.where(F.col("proto").isNotNull() & (~ported | F.col("src_port").isNotNull() & F.col("dst_port").isNotNull()))
+    leaves = counted.groupBy(path.alias("_p")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("packets"))  # few: prefixes are counted from these
+    each = leaves.select("bytes", "packets", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda n: F.slice("_p", 1, n))).alias("_q"))
+    return each.groupBy(F.size("_q").alias("depth"), F.array_join("_q", "/").alias("path")).agg(F.sum("bytes").cast("bigint").alias("bytes"), F.sum("packets").alias("packets"))
+
+
+def transport_shares(hierarchy_rows: DataFrame) -> DataFrame:
+    """(name, bytes, packets, percent of IP) of each transport, the largest first."""
+    ip = F.broadcast(hierarchy_rows.where("depth = 2").agg(F.sum("bytes").alias("_ip")))  # one row
+    rows = hierarchy_rows.where("depth = 3").select(F.substring_index("path", "/", -1).alias("name"), "bytes", "packets").crossJoin(ip)
+    return rows.select("name", "bytes", "packets", F.when(F.col("_ip") > 0, F.col("bytes") * 100.0 / F.col("_ip")).otherwise(0.0).alias("percent")).orderBy(F.desc("bytes"), "name")
+
+
 def shares(packets: DataFrame, key: str) -> DataFrame:
     totals = packets.groupBy(key).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("packets"))
     everything = totals.agg(F.sum("bytes").alias("_all"))  # one row

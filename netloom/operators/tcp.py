@@ -47,6 +47,7 @@ def turns(pieces: DataFrame, stream: str, order: str, side: str, size: str) -> D
     return runs.groupBy(stream, "turn", side).agg(F.min("_s").alias("start"), F.sum(size).alias("length"))
 
 
+#: Fixed value: the largest window shift that counts.
 MAX_SHIFT = 14
 
 
@@ -65,6 +66,7 @@ def scaled_windows(samples: DataFrame, key: str) -> DataFrame:
     return seen.withColumns({"scaled": agreed, "window": F.when(agreed, F.col("win") * factor).otherwise(F.col("win"))}).drop("_l", "_r")
 
 
+#: Fixed value: segments of a direction that wait for their ACK.
 MAX_OUTSTANDING = 256
 
 

@@ -47,11 +47,15 @@ def hosts_found(rows: DataFrame, text: str, columns: Iterable[str]) -> DataFrame
     return rows.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(text.lower())))
 
 
-def host_table(rows: DataFrame, sort: str = "bytes", descending: bool = True) -> DataFrame:
-    """Hosts with `place`, their row in the table; ties keep the order of the host's name."""
+def host_table(rows: DataFrame, sort: str = "bytes", descending: bool = True, most: int | None = None) -> DataFrame:
+    """Hosts with `place`, their row in the table; ties keep the order of the host's name.
+
+    All hosts in one order are one task; with `most` the first rows are found on all tasks, and only those are numbered.
+    """
     value = {"bytes": F.col("bytes_rx") + F.col("bytes_tx"), "packets": F.col("packets_rx") + F.col("packets_tx"), "duration": F.coalesce("duration_us", F.lit(0)), "name": F.col("host")}.get(sort, F.col(sort))
-    order = Window.orderBy(value.desc() if descending else value.asc(), "host")
-    return rows.withColumn("place", F.row_number().over(order))
+    by = (value.desc() if descending else value.asc(), F.col("host"))
+    shown = rows if most is None else rows.orderBy(*by).limit(most)
+    return shown.withColumn("place", F.row_number().over(Window.orderBy(*by)))
 
 
 def newest(rows: DataFrame, n: int = 100) -> DataFrame:

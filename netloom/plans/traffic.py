@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import fields, payloads
 from netloom.functions.display_filter import compile_filter
 from netloom.functions import network as net
-from netloom.operators import lookups, reassembly, stats, transactions
+from netloom.operators import lookups, reassembly, rollups, stats, transactions
 from netloom.plans.model import PACKETS_SQL
 from netloom.plans.model import packets as read_packets
 from netloom.plans.queries import ORACLE_SQL, QUERIES
@@ -257,3 +257,17 @@ def matched_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["matched_dns"] = matched_dns
+
+
+def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    app = F.when(F.col("app_data.kind").startswith("dns"), "DNS").when(F.col("app_data.kind").startswith("http"), "HTTP").when(F.col("app_data.kind") == "tls_client_hello", "HTTPS/TLS")
+    rows = decoded(spark, sf_dir).withColumns({"app_now": F.when(F.col("k") < 90, app), "proto": F.when(F.col("k") == 7, 1).when(F.col("k") == 8, 89).otherwise(F.col("proto"))})
+    return rollups.protocol_hierarchy(rows)
+
+
+_LAYERS = """, w AS (SELECT bytes, CASE WHEN k = 7 THEN ['Ethernet', 'IP', 'ICMP'] WHEN k = 8 THEN ['Ethernet', 'IP', 'Other'] ELSE ['Ethernet', 'IP', CASE WHEN app IN ('view', 'purchase') THEN 'UDP' ELSE 'TCP' END,
+  CASE WHEN k >= 90 THEN 'Unknown' WHEN app IN ('view', 'purchase') THEN 'DNS' WHEN app = 'signup' THEN 'HTTPS/TLS' ELSE 'HTTP' END] END AS p FROM p),
+t AS (SELECT CAST(n AS INTEGER) AS depth, array_to_string(p[1:n], '/') AS path, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS packets FROM w, unnest(range(1, len(p) + 1)) AS r(n) GROUP BY ALL)"""
+_register("protocol_tree", _layered, f"{_LAYERS} SELECT * FROM t")
+_register("transport_shares", lambda spark, sf_dir: rollups.transport_shares(_layered(spark, sf_dir)), f"""{_LAYERS}
+SELECT split_part(path, '/', 3) AS name, bytes, packets, bytes * 100.0::DOUBLE / (SELECT bytes FROM t WHERE depth = 2) AS percent FROM t WHERE depth = 3""")
