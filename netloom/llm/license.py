@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import words
 
-#: Phrases and their labels.
+#: Phrases and their labels. A caller may name others as base; these then still give labels.
 BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Label, template words, mandatory phrase. The texts are the public wordings of the licences' notices.
 TEMPLATES = [
@@ -65,10 +65,11 @@ def _stands(listed: Column, at: Column, phrase: list[str]) -> Column:
     return F.aggregate(F.transform(F.array(*map(F.lit, phrase)), same), F.lit(0), lambda x, y: x + y)
 
 
-def scan(docs: DataFrame, share: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, share: float = 0.8, base: dict[str, str] = BASE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best share of a template's words)."""
     tokens = docs.select("doc_id", words(F.col("text")).alias("words"))
-    wanted = [(label, phrase, phrase) for phrase, label in BASE.items()] + TEMPLATES
+    templates = TEMPLATES + [(label, phrase, phrase) for phrase, label in BASE.items() if phrase not in base]
+    wanted = [(label, phrase, phrase) for phrase, label in base.items()] + templates
     vocabulary = F.array(*map(F.lit, sorted({w for _, _, must in wanted for w in must.split()})))
     known = tokens.select(F.explode(F.array_intersect(vocabulary, "words")).alias("w"))
     counts = {r["w"]: r["n"] for r in known.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a template word
@@ -97,11 +98,11 @@ def scan(docs: DataFrame, share: float = 0.8) -> DataFrame:
         whole = F.filter(starts(keys), lambda s: _stands(F.col("words"), s + begin, phrase) == len(phrase))
         return F.transform(whole, lambda s: F.struct(s.alias("s"), (F.lit(1.0) if full == phrase else _stands(F.col("words"), s, full) / F.lit(len(full))).alias("share")))
 
-    base, other = index[: len(BASE)], index[len(BASE) :]
+    fixed, other = index[: len(base)], index[len(base) :]
     found = looked.select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"),
-        F.array(*[F.struct(F.lit(label).alias("label"), verified(phrase, phrase, keys)["s"].alias("at")) for (phrase, label), keys in zip(BASE.items(), base, strict=True)]).alias("base"),
-        F.filter(F.array(*[F.struct(F.lit(label).alias("label"), F.array_max(verified(t, must, keys)["share"]).alias("share")) for (label, t, must), keys in zip(TEMPLATES, other, strict=True)]), lambda x: x["share"] >= share).alias("more"))
+        F.array(*[F.struct(F.lit(label).alias("label"), verified(phrase, phrase, keys)["s"].alias("at")) for (phrase, label), keys in zip(base.items(), fixed, strict=True)]).alias("base"),
+        F.filter(F.array(*[F.struct(F.lit(label).alias("label"), F.array_max(verified(t, must, keys)["share"]).alias("share")) for (label, t, must), keys in zip(templates, other, strict=True)]), lambda x: x["share"] >= share).alias("more"))
     places = F.array_compact(F.flatten(F.transform("base", lambda b: F.coalesce(b["at"], F.array().cast("array<int>")))))
     held = found.select("*", places.alias("places"), F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"]).alias("b"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

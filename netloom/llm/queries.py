@@ -40,8 +40,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+#: The base phrases of op8 and their labels.
+LICENSE_BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.scan(table(spark, sf_dir, "documents"))
+    return license.scan(table(spark, sf_dir, "documents"), base=LICENSE_BASE)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,6 +253,13 @@ def test_license_base_places(spark):
     assert (a.n_base, a.first_word, a.last_word, a.base_labels) == (3, 1, 7, "apache-2,mit") and b.n_base == 0 and c.labels == "cc-by-nc"
 
 
+def test_license_query_base_phrases(spark, tmp_path):
+    rows = [(1, "x Under the MIT-License. the mit license"), (2, "the mit license"), (3, "cc by nc, Apache License Version 2"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_license"](spark, str(tmp_path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels").orderBy("doc_id")
+    assert [tuple(r) for r in got.collect()] == [(1, 8, 1, 1, 1, "mit", "mit"), (2, 3, 0, None, None, "", "mit"), (3, 7, 2, 0, 3, "apache-2,cc-by-nc", "apache-2,cc-by-nc"), (4, 0, 0, None, None, "", "")]
+
+
 def test_viterbi_restores(spark):
     lm = toxicity.language_model(spark.createDataFrame([("stupid loser trash " * 50,)], "text string"))
     assert toxicity.restorer(lm)("you st00pid l0ser t r a s h stuuuupid").split()[2:] == ["loser", "trash", "stupid"]
