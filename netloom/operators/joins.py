@@ -42,6 +42,7 @@ def in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: s
     at the levels that the ranges use. Numbers from 0 to 2**62; ranges that end before they begin hold nothing.
     """
     dealt = ranges.where(f"`{low}` <= `{high}`").select(F.explode(_aligned(F.col(low), F.col(high))).alias("_b"), F.col(order).alias("_order"), F.col(value).alias("_value")).select("_b.*", "_order", "_value")
+    dealt = dealt.groupBy("level", "cell").agg(F.min("_order").alias("_order"), F.min_by("_value", "_order").alias("_value"))  # a block's other ranges answer no point
     levels = F.broadcast(dealt.agg(F.collect_set("level").alias("_levels")))  # one row of 16 numbers at most
     asked = points.select(F.col(point).cast("bigint").alias("_p")).where("_p is not null").distinct().crossJoin(levels).select("_p", F.explode("_levels").alias("level"))
     asked = asked.withColumn("cell", F.expr("shiftright(_p, 4 * level)"))
