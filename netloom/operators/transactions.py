@@ -25,7 +25,8 @@ def sweep_clock(packets: DataFrame, source: str = "source", every_us: int = SWEE
     """packets (source, ordinal, ts_us) with `swept_us`, the time of the newest sweep before each.
 
     Requests expire in sweeps, which the packets of a whole capture drive: a packet is matched first, then sweeps if the last
-    sweep is `every_us` old. A capture is one sequence; captures run side by side.
+    sweep is `every_us` old. A capture is one sequence, of which only time and place are put in order; what else the packets
+    hold stays dealt over the cluster and meets its sweep by (source, ordinal), which name one packet.
     """
 
     def step(state: dict, row: dict) -> int | None:
@@ -34,7 +35,9 @@ def sweep_clock(packets: DataFrame, source: str = "source", every_us: int = SWEE
             state["at"] = now
         return before
 
-    return fold(packets, source, ["ordinal"], dict, step, "swept_us", "bigint", ["ts_us"])
+    clock = fold(packets.select(source, "ordinal", "ts_us"), source, ["ordinal"], dict, step, "swept_us", "bigint", ["ts_us"])
+    clock = clock.where("swept_us is not null").groupBy(F.col(source).alias("_source"), F.col("ordinal").alias("_ordinal")).agg(F.min("swept_us").alias("swept_us"))
+    return packets.join(clock.hint("merge"), (F.col(source) == F.col("_source")) & (F.col("ordinal") == F.col("_ordinal")), "left").drop("_source", "_ordinal")
 
 
 def _expire(open_requests: dict, state: dict, row: dict, timeout: int) -> None:
