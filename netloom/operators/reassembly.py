@@ -121,6 +121,8 @@ class Datagram:
         return TRUNCATED if self.hole is not None and self.hole <= held else MISSING
 
 
+#: What a fragment is rejoined by, besides its key. All columns of the rows pass through Python, so callers leave out what they need not.
+FRAGMENT_READS = ["clock_ms", "frag_offset", "more_fragments", "ip_header", "ip_payload", "ip_declared"]
 FRAGMENT = "struct<status:string,datagram:binary,payload_len:int,ended:string,expired:string,conflicting:bigint,forged_end:boolean>"
 
 
@@ -161,8 +163,7 @@ def rejoined(fragments: DataFrame, key: list[str] | None = None, order: str = "o
         return out | {"status": status, "datagram": datagram(held.header, payload), "payload_len": len(payload)}
 
     blank = dict.fromkeys(x.split(":")[0] for x in FRAGMENT[7:-1].split(","))
-    reads = ["clock_ms", "frag_offset", "more_fragments", "ip_header", "ip_payload", "ip_declared"]
-    return fold(fragments, key or ["src", "dst", "ip_id", "proto"], [order], dict, lambda s, r: blank | step(s, r), "joined", FRAGMENT, reads)
+    return fold(fragments, key or ["src", "dst", "ip_id", "proto"], [order], dict, lambda s, r: blank | step(s, r), "joined", FRAGMENT, FRAGMENT_READS)
 
 
 class Direction:

@@ -196,7 +196,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["src", "dst", "ip_id", "proto", "day"]  # 65,536 identifications do not tell all events apart
     rows = captures.headers(fragments(spark, sf_dir)).withColumn("day", F.floor(F.col("ordinal") / F.lit(65536)))
-    return reassembly.rejoined(rows, key, "turn")
+    return reassembly.rejoined(rows.select("ordinal", "turn", *key, *reassembly.FRAGMENT_READS), key, "turn")
 
 
 def rejoined_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
