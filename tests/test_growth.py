@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from netloom.operators import joins, transactions
-from netloom.plans import traffic
+from netloom.plans import stateful, traffic
 from netloom.sources import captures
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,8 @@ def test_sweep_clock_orders_time_and_place_only(spark):
 def test_rejoined_datagrams_fold_what_they_need(spark):
     folds = [line for line in _plan(traffic.rejoined_datagrams(spark, SF)).splitlines() if "MapInArrow" in line]
     assert len(folds) == 1 and "window" not in folds[0] and "wscale" not in folds[0]
+
+
+def test_captures_meet_their_frames_without_a_broadcast(spark):
+    plan = stateful.capture_round_trip(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
