@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import cut, discard
@@ -182,6 +183,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, pa
     return held.groupBy("a", "salt").applyInPandas(linked, "a long, b long")
 
 
+def _among(rows: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows whose id is one of `ids`. Others leave before the join by a table of bits of a fixed size, so that their texts are not shuffled."""
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    found = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}L) % 64 as int))")).alias("mask")).toPandas()  # `bits` / 64 rows at most
+    table = np.zeros(bits // 64, np.int64)
+    table[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def held(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return rows.where(held(place)).join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def _rare_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int, cells: int = 1 << 18) -> DataFrame:
     """Pairs (a, b) of members (id, sig, c) that share a signature, lie in different components c and whose rarest elements
     meet. A set's prefix holds its n - ceil(t n) + 1 rarest elements; linked sets share one of those, so no link is lost.
@@ -190,7 +207,7 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int
     order that all sets follow keeps the guarantee. The table of cells has a fixed size, so tasks can hold it. At the
     first element both sets hold, what is left of either bounds the intersection.
     """
-    chosen = texts.join(members.select("id").distinct(), "id", "left_semi")
+    chosen = cut(_among(texts, members), "chosen")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, total = _WordHashes(), np.zeros(cells, np.int64)
@@ -226,7 +243,7 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, k: int, num: int, den: int
     held = cut(members.groupBy("id").agg(F.collect_set("sig").alias("sigs")), "held")  # as many as one set signs
     both = met.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
     pairs = cut(both.where(F.arrays_overlap("sa", "sb")).select("a", "b"), "cross")
-    discard(found, prefix, met, held)
+    discard(chosen, found, prefix, met, held)
     return pairs
 
 
@@ -257,22 +274,21 @@ def similar_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     sets = cut(wide.drop("sigs"), "keys")
     classes = cut(sets.where("named and n > 0").groupBy("key", "mark", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("held")), "classes")
 
+    # Signatures are dealt once: a join with the shared ones would shuffle all of them again.
     signs = wide.select("mark", F.explode("sigs").alias("sig"))
-    shared = signs.groupBy("sig").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("sig")
-    shared = cut(shared, "shared")
-    met = cut(signs.join(shared, "sig", "left_semi").distinct(), "met")
-    discard(wide, shared)
+    by_sig, by_mark = Window.partitionBy("sig"), Window.partitionBy("mark")
+    shared = signs.select("sig", "mark", F.min("mark").over(by_sig).alias("lo"), F.max("mark").over(by_sig).alias("hi")).where("lo != hi")
+    met = cut(shared.select("sig", "mark").distinct().withColumn("size", F.count(F.lit(1)).over(by_sig)), "met")
+    discard(wide)
     # From here on classes go by their smallest doc_id. Sets that share a mark by chance both stand for it.
-    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
-    weights = met.join(sizes, "sig").groupBy("mark").agg(F.sum("size").alias("weight"))
-    nodes = classes.join(weights, "mark").select("mark", F.col("rep").alias("id"), "n", "weight")
-    buckets = cut(met.join(nodes, "mark").select("sig", "id", "n", "weight").distinct(), "buckets")
+    weighed = met.select("sig", "mark", F.sum("size").over(by_mark).alias("weight"))
+    buckets = cut(weighed.join(classes, "mark").select("sig", F.col("rep").alias("id"), "n", "weight"), "buckets")
     # The member that meets others most often is compared with all of its bucket: of near copies that is often the original.
-    hubs = buckets.groupBy("sig").agg(F.max(F.struct("weight", F.negative("id").alias("last"), "n")).alias("hub"))
+    hub = F.max(F.struct("weight", F.negative("id").alias("last"), "n")).over(by_sig)
     near = f"least(n, m) * {den} >= greatest(n, m) * {num}"
-    star = buckets.select("sig", "id", "n").join(hubs, "sig").selectExpr("-hub.last as a", "hub.n as m", "id as b", "n").where("a != b").where(near)
+    star = buckets.select("id", "n", hub.alias("hub")).selectExpr("-hub.last as a", "hub.n as m", "id as b", "n").where("a != b").where(near)
     star = cut(star.select("a", "b").distinct(), "star")
-    pool = cut(texts.join(buckets.select("id").distinct(), "id", "left_semi"), "pool")
+    pool = cut(_among(texts, buckets), "pool")
     links = cut(_verified(star, pool, k, num, den), "links")
     comps = components(links)
     # Members of a bucket that are not in one component yet are compared across components, but for the pairs done above.

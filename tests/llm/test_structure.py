@@ -15,7 +15,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from netloom.llm import dialogue, linefreq, veccodes
+from netloom.llm import dialogue, linefreq, ngram_join, veccodes
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
@@ -247,3 +247,26 @@ def test_queries_run_on_workers_without_the_package(tmp_path):
 
 
 CONVERSATIONS = len(set(__import__("pyarrow.parquet").parquet.read_table(f"{SF}/conversations.parquet")["conv_id"].to_pylist()))
+
+
+def test_signatures_and_texts_are_not_shuffled_again(spark, monkeypatch):
+    plans, cut = {}, ngram_join.cut
+
+    def seen(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, label)
+
+    monkeypatch.setattr(ngram_join, "cut", seen)
+    ngram_join.similar_components(spark.read.parquet(f"{SF}/documents.parquet")).count()
+    dealt = [p for found in plans.values() for p in found if "explode(sigs" in p]
+    assert len(dealt) == 1 and dealt[0].count("explode(sigs") == 1 and dealt[0].count("Exchange hashpartitioning") == 1
+    assert all("ArrowEvalPython" in p for p in plans["pool"] + plans["chosen"])
+
+
+def test_rows_among_ids(spark):
+    rows = spark.range(-500, 500).selectExpr("id * 9007199254740993 as id", "repeat('x', 20) as text")
+    ids = rows.where("abs(id % 7) = 3").select("id")
+    want = sorted(r.id for r in ids.collect())
+    for bits in (64, 1 << 12, 1 << 26):  # 64 bits are all set
+        assert sorted(r.id for r in ngram_join._among(rows, ids.union(ids), bits).collect()) == want
+    assert ngram_join._among(rows, ids.limit(0)).count() == 0
