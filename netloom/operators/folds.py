@@ -18,32 +18,43 @@ def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.repartition(F.when(lost, F.xxhash64(*order)).otherwise(F.xxhash64(*keys))).sortWithinPartitions(*keys, *order)
 
 
+def _values(column: pa.Array) -> list:
+    """Exact Python values; numbers without a null, which are most, by way of numpy."""
+    plain = column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_boolean(column.type))
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 def fold(
-    rows: DataFrame, key: str | list[str], order: list[str], new: Callable[[], object], step: Callable[[object, dict], object], result: str, kind: str, reads: list[str] | None = None
+    rows: DataFrame, key: str | list[str], order: list[str], new: Callable[[], object], step: Callable[[object, dict], object], result: str, kind: str, reads: list[str] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """rows with `result` = step(state, row), rows of a key in order.
 
     Batches stream through and only the present key's state is held. The state sees the columns `reads` (all, if None) as
     exact Python values; the batches themselves are passed on untouched. Rows with a null key are kept with a null result.
+    With `keep` only those columns are passed on, and no others than these, the key, the order and what is read are shuffled.
     """
     keys = [key] if isinstance(key, str) else key
     seen = list(dict.fromkeys([*keys, *(rows.columns if reads is None else reads)]))
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{result}` {kind}").fields])
+    kept = rows.columns if keep is None else keep
+    rows = rows if keep is None else rows.select(*dict.fromkeys([*seen, *order, *keep]))
+    schema = StructType([*rows.select(*kept).schema.fields, *StructType.fromDDL(f"`{result}` {kind}").fields])
     arrow = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present, state = None, None
         for batch in batches:
             out = []
-            for row in batch.select(seen).to_pylist():
-                at = tuple(row[k] for k in keys)
+            for values in zip(*map(_values, batch.select(seen).columns), strict=True):
+                at = values[: len(keys)]
                 if None in at:
                     out.append(None)
                     continue
+                row = dict(zip(seen, values, strict=True))
                 if at != present:
                     present, state = at, new()
                 out.append(step(state, row))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow.field(len(arrow) - 1).type)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch if keep is None else batch.select(keep)).columns, pa.array(out, arrow.field(len(arrow) - 1).type)], names=schema.names)
 
     return _in_order(rows, keys, order).mapInArrow(run, schema)
 

@@ -331,19 +331,19 @@ def _segment_step(state: dict, row: dict) -> dict:
     return out | {"assembly": status} | found
 
 
-def desegmented(segments: DataFrame, key: list[str], order: str = "ordinal") -> DataFrame:
+def desegmented(segments: DataFrame, key: list[str], order: str = "ordinal", keep: list[str] | None = None) -> DataFrame:
     """segments with `app`: what each segment decided, alone or with what was held of its direction before.
 
     segments: key (a flow and its direction), clock_ms, seq, payload, declared (payload length by the headers), syn, src_port,
     dst_port, and cut_ms where known (see `cut_clock`). `assembly` says how complete the bytes are;
     a segment that decides with nothing held has none. A direction
     is held for 2 s and 16 KiB at most; it is dropped after 30 s of silence. `ended`: completeness of what was decided, or
-    abandoned; `conflicting`: bytes that contradict those held; `need`: more bytes that could decide, at least.
+    abandoned; `conflicting`: bytes that contradict those held; `need`: more bytes that could decide, at least. With `keep`
+    only those columns of the segments come back.
     """
     fields = StructType.fromDDL(f"{SEGMENT}, {payloads.APP}")
-    blank = dict.fromkeys(fields.names)
     reads = ["clock_ms", "seq", "payload", "declared", "syn", "src_port", "dst_port", *(c for c in ("cut_ms",) if c in segments.columns)]
-    return fold(segments, key, [order], dict, lambda s, r: blank | _segment_step(s, r), "app", fields.simpleString(), reads)
+    return fold(segments, key, [order], dict, _segment_step, "app", fields.simpleString(), reads, keep)
 
 
 def counters(results: DataFrame, column: str) -> DataFrame:

@@ -153,7 +153,7 @@ def http_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.lit(4294967294) + start) % (1 << 32)).alias("seq"), data.alias("payload"), F.octet_length(data).cast("bigint").alias("declared"), F.lit(False).alias("syn"), F.lit(40000).alias("src_port"), F.lit(80).alias("dst_port"))
 
 
-_register("desegmented_http", lambda spark, sf_dir: reassembly.desegmented(http_segments(spark, sf_dir), ["flow", "outbound"], "turn").select(
+_register("desegmented_http", lambda spark, sf_dir: reassembly.desegmented(http_segments(spark, sf_dir), ["flow", "outbound"], "turn", ["flow", "turn"]).select(
     "flow", F.col("turn").cast("int").alias("turn"), "app.assembly", "app.need", "app.kind", "app.path"),
     f""", t AS (SELECT ordinal, k, turn, CASE k % 3 WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [2, 1, 3] ELSE [3, 1, 2] END[turn + 1] AS part FROM p, range(0, 3) AS r(turn) WHERE k IS NOT NULL),
 s AS (SELECT *, k % 5 = 0 AS lossy, list(part) OVER (PARTITION BY ordinal ORDER BY turn) AS held FROM t WHERE NOT (k % 5 = 0 AND part = 2))
@@ -174,7 +174,7 @@ def dns_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A segment that starts inside a message is no new message, so only the first of the stream is decoded.
-_register("dns_over_tcp", lambda spark, sf_dir: reassembly.desegmented(dns_stream(spark, sf_dir), ["flow", "outbound"], "turn").select("flow", F.col("turn").cast("int").alias("turn"), "app.kind", "app.id", "app.name", "app.need", "app.assembly"),
+_register("dns_over_tcp", lambda spark, sf_dir: reassembly.desegmented(dns_stream(spark, sf_dir), ["flow", "outbound"], "turn", ["flow", "turn"]).select("flow", F.col("turn").cast("int").alias("turn"), "app.kind", "app.id", "app.name", "app.need", "app.assembly"),
           """SELECT ordinal AS flow, CAST(turn AS INTEGER) AS turn, CASE WHEN turn = 0 THEN 'dns' END AS kind, CASE WHEN turn = 0 THEN k END AS id, CASE WHEN turn = 0 THEN 'm0.' || ordinal END AS name,
   CAST(NULL AS INTEGER) AS need, CAST(NULL AS VARCHAR) AS assembly FROM p, range(0, 3) AS r(turn) WHERE k IS NOT NULL""")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from netloom.operators import joins, transactions
+from netloom.operators.folds import fold
 from netloom.plans import stateful, traffic
 from netloom.sources import captures
 
@@ -49,3 +50,19 @@ def test_rejoined_datagrams_fold_what_they_need(spark):
 def test_captures_meet_their_frames_without_a_broadcast(spark):
     plan = stateful.capture_round_trip(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_desegmented_folds_and_returns_what_is_read(spark):
+    plan = _plan(traffic.QUERIES["desegmented_http"](spark, SF))
+    mapped = [line for line in plan.splitlines() if "MapInArrow" in line]
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(mapped) == len(dealt) == 1 and "k#" not in dealt[0] and "payload#" not in mapped[0].rpartition("[")[2]
+
+
+def test_fold_keeps_chosen_columns_and_exact_values(spark):
+    rows = spark.range(200).selectExpr("if(id % 9 = 0, null, id % 5) as key", "id as at", "if(id % 2 = 0, null, 1152921504606846976 + id) as big", "9007199254740993 + id as whole", "id % 3 = 0 as flag", "'x' as lost")
+    step = lambda state, r: f"{r['big']} {r['whole']} {r['flag']}"
+    out = fold(rows, "key", ["at"], dict, step, "said", "string", ["big", "whole", "flag"], ["at"])
+    assert out.columns == ["at", "said"]
+    want = {i: None if i % 9 == 0 else f"{None if i % 2 == 0 else 2**60 + i} {2**53 + 1 + i} {i % 3 == 0}" for i in range(200)}
+    assert {r["at"]: r.said for r in out.collect()} == want
